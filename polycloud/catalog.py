@@ -1,15 +1,370 @@
-"""The registered queries of the retrieval engine."""
+"""The registered queries of the retrieval engine and the DuckDB SQL that they are compared with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import vector as V
+from .operators import clouds as C
+from .operators import cluster, evaluate, graph, search
+from .plans import fixtures as X
+from .plans.index import build
+from .plans.params import IndexParams, SearchParams
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def oracle_sql():
-    return {}
+def _query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+# --- exact search -----------------------------------------------------------------------------------------------
+
+_V = "v AS (SELECT vec_id, {id} AS cloud_id, embedding::DOUBLE[] AS e, label FROM embeddings)"
+_DIST = {"ip": "-list_inner_product(a.e, b.e)", "l2": "greatest(0, list_inner_product(a.e, a.e) + list_inner_product(b.e, b.e) - 2 * list_inner_product(a.e, b.e))"}
+
+
+def _chamfer_sql(metric: str, asks: str, corpus: str, cloud: str = "vec_id // 8") -> str:
+    """CTEs up to s(query_id, cloud_id, distance)."""
+    return f"""{_V.format(id=cloud)},
+        m AS (SELECT a.cloud_id AS query_id, a.vec_id, b.cloud_id, min({_DIST[metric]}) AS d FROM v a JOIN v b ON true WHERE ({asks}) AND ({corpus}) GROUP BY ALL),
+        s AS (SELECT query_id, cloud_id, avg(d) AS distance FROM m GROUP BY ALL)"""
+
+
+def _top_sql(metric: str, asks: str, corpus: str, k: int, cloud: str = "vec_id // 8") -> str:
+    return f"""WITH {_chamfer_sql(metric, asks, corpus, cloud)},
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), cloud_id) AS rank FROM s)
+        SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, cloud_id::BIGINT AS cloud_id, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""
+
+
+_FIRST5, _ALL = "a.cloud_id < 5", "true"
+_TENTH, _REST = "a.cloud_id % 10 = 0", "b.cloud_id % 10 <> 0"
+
+
+@_query(_top_sql("ip", _FIRST5, _ALL, 10))
+def exact_top_k_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.clouds8(spark, sf_dir)
+    return _rounded(search.exact_top_k(X.as_queries(c.filter("cloud_id < 5")), c, 10, "ip"))
+
+
+FLAGSHIP = exact_top_k_ip
+
+
+@_query(_top_sql("l2", _FIRST5, _ALL, 10))
+def exact_top_k_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.clouds8(spark, sf_dir)
+    return _rounded(search.exact_top_k(X.as_queries(c.filter("cloud_id < 5")), c, 10, "l2"))
+
+
+@_query(_top_sql("ip", _TENTH, _REST, 10))
+def exact_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    return _rounded(search.exact_top_k(q, c, 10, "ip"))
+
+
+@_query(_top_sql("ip", _TENTH, _REST, 10, "floor(sqrt(vec_id))::BIGINT"))
+def exact_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = X.held_out(X.clouds_ragged(spark, sf_dir))
+    return _rounded(search.exact_top_k(q, c, 10, "ip"))
+
+
+@_query(_top_sql("ip", "a.cloud_id < 3", "b.cloud_id < 6", 100))
+def top_k_beyond_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.clouds8(spark, sf_dir)
+    return _rounded(search.exact_top_k(X.as_queries(c.filter("cloud_id < 3")), c.filter("cloud_id < 6"), 100, "ip"))
+
+
+@_query(_top_sql("l2", _TENTH, _REST, 1))
+def top_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    return _rounded(search.exact_top_k(q, c, 1, "l2"))
+
+
+@_query(f"WITH {_chamfer_sql('ip', _TENTH, _REST)} SELECT query_id, cloud_id, round(distance, 6) AS distance FROM s")
+def many_to_many_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    return _rounded(search.all_distances(q, c, "ip"))
+
+
+@_query(f"WITH {_chamfer_sql('l2', 'a.cloud_id = 7', _ALL)} SELECT query_id, cloud_id, round(distance, 6) AS distance FROM s")
+def one_to_many_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.clouds8(spark, sf_dir)
+    return _rounded(search.all_distances(X.as_queries(c.filter("cloud_id = 7")), c, "l2"))
+
+
+@_query(_top_sql("l2", "a.cloud_id % 25 = 0", "true", 10, "vec_id"))
+def single_vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.vectors(spark, sf_dir).select(F.col("vec_id").alias("cloud_id"), F.array("embedding").alias("vectors"))
+    return _rounded(search.exact_top_k(X.as_queries(c.filter("cloud_id % 25 = 0")), c, 10, "l2"))
+
+
+# --- scalar vector functions and cloud operators ----------------------------------------------------------------
+
+
+@_query("""SELECT a.vec_id, round(-list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS ip, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2, 6) AS l2,
+           round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2, 6) AS split_l2, round(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS squared
+           FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = X.vectors(spark, sf_dir)
+    j = v.select("vec_id", F.col("embedding").alias("a")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return j.select("vec_id", r(V.ip_distance("a", "b"), "ip"), r(V.l2_distance("a", "b"), "l2"), r(V.split_l2_distance("a", "b"), "split_l2"), r(V.squared_norm("a"), "squared"))
+
+
+@_query(f"WITH {_chamfer_sql('ip', 'b.cloud_id = a.cloud_id + 1', _ALL)} SELECT query_id AS cloud_id, round(distance, 6) AS ip FROM s")
+def chamfer_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.clouds8(spark, sf_dir)
+    j = c.select("cloud_id", F.col("vectors").alias("a")).join(c.select((F.col("cloud_id") - 1).alias("cloud_id"), F.col("vectors").alias("b")), "cloud_id")
+    return j.select("cloud_id", F.round(V.chamfer("a", "b", "ip"), 6).alias("ip"))
+
+
+@_query("""WITH x AS (SELECT vec_id // 8 AS cloud_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+           SELECT cloud_id, i::INTEGER AS i, round(avg(x), 3) AS mean FROM x GROUP BY ALL""")
+def mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = X.clouds8(spark, sf_dir).select("cloud_id", F.posexplode(V.mean_pool("vectors")).alias("p", "x"))
+    return pooled.select("cloud_id", (F.col("p") + 1).alias("i"), F.round(F.col("x").cast("double"), 3).alias("mean"))
+
+
+@_query("WITH c AS (SELECT vec_id // 8 AS id, count(*) AS n FROM embeddings GROUP BY 1) SELECT count(*) AS clouds, sum(n)::BIGINT AS vectors, avg(n) AS mean_size, min(n)::INTEGER AS min_size, max(n)::INTEGER AS max_size, (SELECT max(len(embedding))::INTEGER FROM embeddings) AS dim FROM c")
+def cloud_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.stats(X.clouds8(spark, sf_dir))
+
+
+@_query("SELECT 0::BIGINT AS empty, 0::BIGINT AS non_finite, 0::BIGINT AS ragged_dim, 0::BIGINT AS off_unit, 1::BIGINT AS dims")
+def validate_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.validate(X.clouds8(spark, sf_dir))
+
+
+@_query("SELECT vec_id // 8 AS cloud_id, (vec_id % 8)::INTEGER AS vec_pos, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE (vec_id // 8) % 7 = 0")
+def filter_and_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.clouds8(spark, sf_dir)
+    return C.flatten_only(c, c.filter("cloud_id % 7 = 0").select("cloud_id")).select("cloud_id", "vec_pos", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("x"))
+
+
+@_query("SELECT o_orderkey, bit_count(xor(o_orderkey, o_custkey))::INTEGER AS bits FROM orders")
+def hamming_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", V.hamming(F.array(F.col("o_orderkey").cast("long")), F.array(F.col("o_custkey").cast("long"))).alias("bits"))
+
+
+# --- joins around an index, on fixed centers --------------------------------------------------------------------
+
+_FIXED = f"""{_V.format(id="vec_id // 8")},
+    am AS (SELECT a.cloud_id, a.vec_id, b.cloud_id AS center, min(-list_inner_product(a.e, b.e)) AS d FROM v a JOIN v b ON b.cloud_id % 9 = 0 GROUP BY ALL),
+    ad AS (SELECT cloud_id, center, avg(d) AS distance FROM am GROUP BY ALL),
+    ar AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY round(distance, 9), center) AS n FROM ad)"""
+
+
+def _fixed_centers(spark: SparkSession, sf_dir: str, top: int) -> tuple[DataFrame, DataFrame]:
+    c = X.clouds8(spark, sf_dir)
+    centers = c.filter("cloud_id % 9 = 0").select(F.col("cloud_id").alias("cluster"), "vectors")
+    return c, cluster.top_centers(c, centers, "ip", top)
+
+
+@_query(f"WITH {_FIXED} SELECT cloud_id, center AS cluster, round(distance, 6) AS distance FROM ar WHERE n = 1")
+def assign_to_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_fixed_centers(spark, sf_dir, 1)[1])
+
+
+@_query(f"WITH {_FIXED} SELECT cloud_id, center AS cluster, round(distance, 6) AS distance FROM ar WHERE n <= 3")
+def assign_spilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_fixed_centers(spark, sf_dir, 3)[1])
+
+
+@_query(f"WITH {_FIXED} SELECT round(sum(distance), 5) AS cost FROM ar WHERE n = 1")
+def clustering_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cost(_fixed_centers(spark, sf_dir, 1)[1]).select(F.round("cost", 5).alias("cost"))
+
+
+@_query(f"""WITH {_FIXED} SELECT center AS cluster, count(*) AS size, round(max(distance), 6) AS radius, round(avg(distance), 6) AS mean, round(quantile_cont(distance, 0.5), 6) AS median FROM ar WHERE n = 1 GROUP BY 1""")
+def assignment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = evaluate.assignment_stats(_fixed_centers(spark, sf_dir, 1)[1])
+    return s.select("cluster", "size", *[F.round(c, 6).alias(c) for c in ("radius", "mean", "median")])
+
+
+@_query(f"""WITH {_FIXED}, cand AS (SELECT DISTINCT q.cloud_id AS query_id, p.cloud_id FROM ar q JOIN ar p ON p.center = q.center WHERE q.n <= 3 AND p.n <= 2 AND q.cloud_id % 10 = 0),
+    cm AS (SELECT query_id, a.vec_id, c.cloud_id, min(-list_inner_product(a.e, b.e)) AS d FROM cand c JOIN v a ON a.cloud_id = query_id JOIN v b ON b.cloud_id = c.cloud_id GROUP BY ALL),
+    cs AS (SELECT query_id, cloud_id, avg(d) AS distance FROM cm GROUP BY ALL), cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), cloud_id) AS rank FROM cs)
+    SELECT query_id, rank::INTEGER AS rank, cloud_id, round(distance, 6) AS distance FROM cr WHERE rank <= 10""")
+def probe_and_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, placed = _fixed_centers(spark, sf_dir, 3)
+    rank = F.row_number().over(search.Window.partitionBy("cloud_id").orderBy("distance", "cluster"))
+    placed = placed.withColumn("n", rank)
+    postings = placed.filter("n <= 2").select(F.col("cluster").alias("leaf_id"), "cloud_id")
+    probes = placed.filter("cloud_id % 10 = 0").select(F.col("cloud_id").alias("query_id"), F.col("cluster").alias("leaf_id"))
+    q = X.as_queries(c)
+    return _rounded(search.ranked(search.score_pairs(search.probe_join(probes, postings), q, c, "ip"), 10))
+
+
+@_query(f"""WITH {_V.format(id="vec_id // 8")}, m AS (SELECT a.cloud_id AS query_id, a.vec_id, b.cloud_id, -list_inner_product(a.e, b.e) AS d FROM v a JOIN v b ON a.cloud_id < 3 AND a.vec_id <> b.vec_id AND -list_inner_product(a.e, b.e) < -0.3),
+    low AS (SELECT query_id, vec_id, cloud_id, min(d) AS d FROM m GROUP BY ALL) SELECT query_id, cloud_id, round(sum(d), 6) AS distance FROM low GROUP BY ALL""")
+def sum_of_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.vectors(spark, sf_dir).select(F.col("vec_id").alias("cloud_id"), F.array("embedding").alias("vectors"))
+    hits = search.all_distances(X.as_queries(c.filter("cloud_id < 24")), c, "ip").filter("query_id <> cloud_id and distance < -0.3")
+    return _rounded(search.sum_of_minima(hits.select(F.floor(F.col("query_id") / 8).alias("query_id"), F.col("query_id").alias("query_pos"), F.floor(F.col("cloud_id") / 8).alias("cloud_id"), "distance")))
+
+
+@_query("SELECT o_custkey AS query_id, o_orderkey % 50 AS cloud_id, min(o_totalprice)::DOUBLE AS distance FROM orders GROUP BY ALL")
+def deduplicate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    return search.nearest(o.select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 50).alias("cloud_id"), F.col("o_totalprice").cast("double").alias("distance")))
+
+
+@_query("WITH e AS (SELECT label AS node_id, vec_id % 97 AS neighbor FROM embeddings) SELECT DISTINCT q AS query_id, e.neighbor AS node_id FROM (SELECT vec_id AS q, label AS node_id FROM embeddings WHERE vec_id < 20) f JOIN e USING (node_id)")
+def graph_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = X.vectors(spark, sf_dir)
+    edges = v.select(F.col("label").alias("node_id"), (F.col("vec_id") % 97).alias("neighbor"))
+    return graph.hop(v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("node_id")), edges)
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------
+
+
+@_query("""WITH t AS (SELECT vec_id // 10 AS query_id, vec_id % 10 + 1 AS rank, vec_id AS cloud_id FROM embeddings), g AS (SELECT query_id, cloud_id FROM t WHERE rank <= 5),
+    f AS (SELECT vec_id // 10 AS query_id, vec_id AS cloud_id FROM embeddings WHERE label % 2 = 0)
+    SELECT q.query_id, count(f.cloud_id) / 5 AS recall FROM (SELECT DISTINCT query_id FROM t) q LEFT JOIN g USING (query_id) LEFT JOIN f ON f.query_id = g.query_id AND f.cloud_id = g.cloud_id GROUP BY ALL""")
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = X.vectors(spark, sf_dir).withColumn("query_id", F.floor(F.col("vec_id") / 10))
+    truth = v.select("query_id", (F.col("vec_id") % 10 + 1).cast("int").alias("rank"), F.col("vec_id").alias("cloud_id"), F.col("vec_id").cast("double").alias("distance"))
+    return evaluate.recall(v.filter("label % 2 = 0").select("query_id", F.col("vec_id").alias("cloud_id")), truth, 5)
+
+
+@_query("SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = evaluate.percentiles(_table(spark, sf_dir, "events"), "value")
+    return p.select(*[F.round(c, 6).alias(c) for c in p.columns])
+
+
+_POINTS = "pt AS (SELECT l_linenumber::VARCHAR AS method, round(l_discount::DOUBLE, 2) AS recall, l_extendedprice::DOUBLE AS qps FROM lineitem), best AS (SELECT method, recall, max(qps) AS qps FROM pt GROUP BY ALL), w AS (SELECT *, max(qps) OVER (PARTITION BY method ORDER BY recall DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM best), front AS (SELECT method, recall, qps FROM w WHERE m IS NULL OR qps > m)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("string").alias("method"), F.round(F.col("l_discount").cast("double"), 2).alias("recall"), F.col("l_extendedprice").cast("double").alias("qps"))
+
+
+@_query(f"WITH {_POINTS} SELECT * FROM front")
+def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.pareto(_points(spark, sf_dir))
+
+
+@_query(f"""WITH {_POINTS}, d AS (SELECT *, lag(recall) OVER o AS r0, lag(qps) OVER o AS q0 FROM front WINDOW o AS (PARTITION BY method ORDER BY recall)),
+    up AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY recall) AS n FROM d WHERE recall >= 0.055)
+    SELECT f.method, round(CASE WHEN r0 IS NULL THEN qps ELSE q0 + (qps - q0) * (0.055 - r0) / (recall - r0) END, 2) AS qps FROM (SELECT DISTINCT method FROM front) f LEFT JOIN (SELECT * FROM up WHERE n = 1) USING (method)""")
+def qps_at_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.qps_at_recall(_points(spark, sf_dir), 0.055).select("method", F.round("qps", 2).alias("qps"))
+
+
+@_query(f"WITH {_POINTS} SELECT method, max(qps) FILTER (WHERE recall >= 0.08) AS qps FROM pt GROUP BY 1")
+def best_qps_at_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.best_qps(_points(spark, sf_dir), 0.08)
+
+
+@_query(f"WITH {_POINTS} SELECT method, round(exp(avg(ln(qps))), 4) AS qps FROM pt GROUP BY 1")
+def geometric_mean_qps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.geometric_mean(_points(spark, sf_dir), "qps", "method").select("method", F.round("qps", 4).alias("qps"))
+
+
+@_query("""WITH x AS (SELECT event_id AS item, event_type AS x, user_id % 7 AS y FROM events), t AS (SELECT x, y, count(*)::DOUBLE AS n FROM x GROUP BY ALL), a AS (SELECT x, sum(n) AS a FROM t GROUP BY 1), b AS (SELECT y, sum(n) AS b FROM t GROUP BY 1),
+    s AS (SELECT (SELECT sum(n) FROM t) AS t, (SELECT sum(n * (n - 1) / 2) FROM t) AS ij, (SELECT sum(a * (a - 1) / 2) FROM a) AS i, (SELECT sum(b * (b - 1) / 2) FROM b) AS j,
+        (SELECT sum(n * ln(n / (a * b))) FROM t JOIN a USING (x) JOIN b USING (y)) AS m, (SELECT sum(-a * ln(a)) FROM a) AS ha, (SELECT sum(-b * ln(b)) FROM b) AS hb)
+    SELECT round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari, round((m / t + ln(t)) / ((ha / t + ln(t) + hb / t + ln(t)) / 2), 6) AS nmi FROM s""")
+def clustering_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    r = evaluate.clustering_agreement(e.select(F.col("event_id").alias("item"), F.col("event_type").alias("label")), e.select(F.col("event_id").alias("item"), (F.col("user_id") % 7).alias("label")))
+    return r.select(F.round("ari", 6).alias("ari"), F.round("nmi", 6).alias("nmi"))
+
+
+@_query("""WITH t AS (SELECT vec_id // 8 AS cloud_id, label AS fine_id FROM embeddings), tf AS (SELECT cloud_id, fine_id, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT cloud_id) AS n FROM t),
+    idf AS (SELECT fine_id, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), w AS (SELECT cloud_id, fine_id % 3 AS coarse_id, sum(tf * idf) AS weight FROM tf JOIN idf USING (fine_id) GROUP BY ALL)
+    SELECT cloud_id, coarse_id, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY round(weight, 9) DESC, coarse_id) AS r FROM w) WHERE r <= 2""")
+def tfidf_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = X.vectors(spark, sf_dir)
+    coarse = v.select(F.col("label").alias("fine_id"), (F.col("label") % 3).alias("coarse_id")).distinct()
+    return evaluate.tfidf_clusters(v.select(F.floor(F.col("vec_id") / 8).alias("cloud_id"), F.col("label").alias("fine_id")), coarse, 2).withColumn("weight", F.round("weight", 6))
+
+
+@_query("""SELECT DISTINCT quality AS query_id, l.doc_id + 1000 AS cloud_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE toxic > 0 AND lang <> 'fr'""")
+def qrels_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qrels = _table(spark, sf_dir, "labels").select(F.col("quality").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("toxic").alias("score"))
+    rows = _table(spark, sf_dir, "documents").filter("lang <> 'fr'").select((F.col("doc_id") + 1000).alias("row"), F.col("doc_id").cast("string").alias("external_id"))
+    return search.map_qrels(qrels, rows)[0]
+
+
+@_query("""WITH p AS (SELECT label AS leaf_id, vec_id // 8 AS cloud_id FROM embeddings GROUP BY ALL), c AS (SELECT vec_id // 8 AS cloud_id, count(*) AS n FROM embeddings GROUP BY 1)
+    SELECT (SELECT count(*) / count(DISTINCT cloud_id) FROM p) AS replication, (SELECT avg(n) FROM p JOIN c USING (cloud_id)) AS mean_listed, (SELECT avg(n) FROM c) AS mean_corpus, 0::BIGINT AS uncovered""")
+def posting_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = X.vectors(spark, sf_dir).select(F.col("label").alias("leaf_id"), F.floor(F.col("vec_id") / 8).alias("cloud_id")).distinct()
+    return evaluate.posting_stats(postings, X.clouds8(spark, sf_dir))
+
+
+# --- index families. Probing everything must give the exact answer, which SQL can state; ordinary settings are rows only.
+
+_FULL = SearchParams(k=10, nprobes=10_000, num_rerank=100_000, beam=4096)
+
+
+def _family(spark: SparkSession, sf_dir: str, family: str, sp: SearchParams, **ip) -> DataFrame:
+    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    settings = {"max_leaf": 12, "niters": 2, "prototypes": 8, "bucket": 100_000 if sp is _FULL else 24, "shard_rows": 512} | ip
+    return _rounded(build(c, IndexParams.of(family, **settings)).search(q, sp))
+
+
+_EXACT = _top_sql("ip", _TENTH, _REST, 10)
+for _f in ("flat", "mvivf", "mvivf_flat", "mvivf_spill", "muvera", "mpool", "svh_ivf", "emdivf"):
+    _query(_EXACT, f"{_f}_full_probe")(partial(_family, family=_f, sp=_FULL))
+for _f in ("mvivf", "mvivf_flat", "mvivf_spill", "muvera", "mpool", "vamana", "svh_ivf", "svh_graph", "emdivf"):
+    _query(None, f"{_f}_search")(partial(_family, family=_f, sp=SearchParams(k=10, nprobes=4, num_rerank=20)))
+for _z in ("pq", "fastscan", "rabitq", "tq4", "tq8", "tq1", "tq1a", "spqtq", "tqc", "tq2"):
+    _query(None, f"flat_{_z}_search")(partial(_family, family="flat", sp=SearchParams(k=10, num_rerank=30, quantizer=_z)))
+    _query(_EXACT, f"flat_{_z}_full_rerank")(partial(_family, family="flat", sp=SearchParams(k=10, num_rerank=100_000, quantizer=_z)))
+for _m in ("ball", "ward", "dynamic"):
+    _query(_EXACT, f"compressed_{_m}_full_probe")(partial(_family, family="mvivf_flat", sp=SearchParams(k=10, nprobes=10_000, num_rerank=100_000, compression=_m)))
+
+
+@_query()
+def cluster_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster(X.clouds8(spark, sf_dir), 6, "l2", iters=3)[1]
+
+
+@_query()
+def tree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.tree_stats(build(X.clouds8(spark, sf_dir), IndexParams.of("mvivf", max_leaf=12, niters=2)).tables["nodes"])
+
+
+@_query()
+def recall_curve_tq4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    found = build(c, IndexParams.of("flat")).search(q, SearchParams(k=50, num_rerank=0, quantizer="tq4"))
+    return evaluate.over_retrieval(found, search.exact_top_k(q, c, 10), 10, (10, 20, 50))
+
+
+@_query()
+def sampled_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.clouds_ragged(spark, sf_dir)
+    return C.stratified_sample(c, F.size("vectors"), F.col("cloud_id") % 2 == 0, 10).select("cloud_id", F.size("vectors").alias("size"))
