@@ -8,7 +8,7 @@ each word a polarity; a document is scored from the polarities of its words, put
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import ALNUM, LOWER, batches_of, table, text_bytes, unused, word_hashes, word_spans
 
 #: Labelled rows that the lexicon is fitted on, at most about (chosen by hash of doc_id); everything scored is scored whole.
-MAX_FIT_ROWS = 10_000
+MAX_FIT_ROWS = 6_000
 #: Documents a term must occur in, and the share of documents beyond which it is a function word.
 MIN_DOCS, MAX_SHARE = 3, 0.2
 WINDOW, RESTART, STEPS = 5, 0.15, 30
@@ -38,7 +38,8 @@ class Lexicon:
     polarity: np.ndarray
     stems: dict[int, tuple[np.ndarray, np.ndarray]]
     beta: np.ndarray
-    words: list[str]
+    #: The words themselves, for reading the lexicon; scoring needs only hashes and does not ship them.
+    words: list[bytes]
 
 
 def _lookup(sorted_hashes: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +122,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Lex
 
     stats = sample.mapInArrow(count, "h long, word binary, n long, t long").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("t").alias("t"))
     stats = table(stats, "words")
-    vocabulary = stats.filter((F.col("n") >= MIN_DOCS) & ((F.col("n") <= max(MIN_DOCS, int(MAX_SHARE * total))) | (F.col("t") > 0.8 * F.col("n")))).toPandas()
-    h = vocabulary["h"].to_numpy(np.int64).view(np.uint64)
+    vocabulary = stats.filter((F.col("n") >= MIN_DOCS) & ((F.col("n") <= max(MIN_DOCS, int(MAX_SHARE * total))) | (F.col("t") > 0.8 * F.col("n")))).toArrow()
+    h = vocabulary["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    h, n, t = h[order], vocabulary["n"].to_numpy(np.float64)[order], vocabulary["t"].to_numpy(np.float64)[order]
-    words = [bytes(w).decode("utf-8", "replace") for w in vocabulary["word"].to_numpy()[order]]
+    h, n, t = h[order], vocabulary["n"].to_numpy().astype(np.float64)[order], vocabulary["t"].to_numpy().astype(np.float64)[order]
+    raws = vocabulary["word"].take(pa.array(order)).to_pylist()
+    del vocabulary
     size = len(h)
     if not size or not toxic or toxic == total:
         base = (toxic + 1) / (total + 2)
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), {}, np.array([np.log(base / (1 - base)), 0, 0, 0, 0, 0]), [])
     base = toxic / total
-    raws = [bytes(w) for w in vocabulary["word"].to_numpy()[order]]
     stem_z: dict[int, dict[bytes, float]] = {}
     for k in STEMS:
         per = stats.filter(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("stem")).agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count("*").alias("m"))
@@ -168,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Lex
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c, pa.int64())], names=["code", "c"])
 
     # An edge must be seen twice; chance pairs of the sample do not reach the driver.
-    edges = sample.mapInArrow(pairs, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).filter("c >= 2").toPandas()
-    code, c = edges["code"].to_numpy(np.int64), edges["c"].to_numpy(np.float64)
+    edges = sample.mapInArrow(pairs, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).filter("c >= 2").toArrow()
+    code, c = edges["code"].to_numpy(), edges["c"].to_numpy().astype(np.float64)
+    del edges
     i, j = code >> 32, code & 0xFFFFFFFF
     mass = np.bincount(i, c, size) + np.bincount(j, c, size)
     pmi = np.log(c * mass.sum() / np.maximum(mass[i] * mass[j], 1e-12))
@@ -192,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Lex
             sh = word_hashes(buf, at, at + k)
             o = np.argsort(sh)
             stems[k] = (sh[o], np.array(value)[o])
-    lex = Lexicon(h, polarity, stems, np.zeros(6), words)
-    sent = spark.sparkContext.broadcast(lex)
+    lex = Lexicon(h, polarity, stems, np.zeros(6), raws)
+    sent = spark.sparkContext.broadcast(replace(lex, words=[]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,8 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Lex
                 f = features(part.column(1), sent.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(f[:, k]) for k in range(5)]], names=["y", *"abcde"])
 
-    data = sample.mapInArrow(measure, "y int, a double, b double, c double, d double, e double").toPandas()
-    lex.beta = _logistic(data[list("abcde")].to_numpy(), data["y"].to_numpy(np.float64))
+    data = sample.mapInArrow(measure, "y int, a double, b double, c double, d double, e double").toArrow()
+    lex.beta = _logistic(np.stack([data[c].to_numpy() for c in "abcde"], 1), data["y"].to_numpy().astype(np.float64))
     return lex
 
 
@@ -221,7 +223,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def score(docs: DataFrame, lex: Lexicon, carry: list[str] | None = None, text: str = "text", name: str = "score") -> DataFrame:
     """The columns ``carry`` (all by default) plus the score in 0..1; null and empty texts get the score of no evidence."""
     carry = docs.columns if carry is None else carry
-    sent = docs.sparkSession.sparkContext.broadcast(lex)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(lex, words=[]))
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
