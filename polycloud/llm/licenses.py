@@ -81,12 +81,13 @@ class Scanner:
         if last:
             yield last
 
-    def classify(self, block: str) -> tuple[str, str, int, str] | None:
-        """(license, exact / contains / variant, bytes saved, wording differences) of the best confirmed template."""
+    def classify(self, block: str) -> tuple[str, str, int, str, int, int] | None:
+        """(license, exact / contains / variant, bytes saved, wording differences, start, end) of the best confirmed template; the place runs from the first to the last word in common."""
         if block in self.seen:
             return self.seen[block]
         low = block.lower()
-        raw, words = low.encode(), WORD.findall(low)
+        at = list(WORD.finditer(low)) if len(low) == len(block) else list(WORD.finditer(block))
+        raw, words = low.encode(), [m.group().lower() for m in at]
         base = len(self.alone.compress(raw))
         saved = sorted(((base - len(c.compress(raw)), -i) for i, (_, _, c) in enumerate(self.entries)), reverse=True)
         best = None
@@ -94,16 +95,21 @@ class Scanner:
             if gain <= 0:
                 break
             name, want, _ = self.entries[-i]
-            ops = [op for op in SequenceMatcher(None, want, words, autojunk=False).get_opcodes() if op[0] != "equal"]
+            every = SequenceMatcher(None, want, words, autojunk=False).get_opcodes()
+            ops, common = [op for op in every if op[0] != "equal"], [op for op in every if op[0] == "equal"]
             missing = sum(b - a for _, a, b, _, _ in ops)
             inside = [op for op in ops if not (op[0] == "insert" and op[1] in (0, len(want)))]
             kind = "exact" if not ops else "contains" if not inside else "variant"
             if kind == "variant" and 1 - missing / max(1, len(want)) < VARIANT:
                 continue
             note = "; ".join(f"{op}:{' '.join(want[a:b])}>{' '.join(words[c:d])}" for op, a, b, c, d in ops)
+            if not common:
+                continue
+            start, end = at[common[0][3]].start(), at[common[-1][4] - 1].end()
+            end += block[end : end + 1] == "."
             rank = ({"exact": 0, "contains": 1, "variant": 2}[kind], missing, -gain)
             if best is None or rank < best[0]:
-                best = (rank, (name, kind, gain, note))
+                best = (rank, (name, kind, gain, note, start, end))
         out = best[1] if best else None
         if len(self.seen) < 50_000:  # notices repeat; the memory only saves time
             self.seen[block] = out
@@ -113,7 +119,7 @@ class Scanner:
         out = []
         for a, b in self.blocks(text or ""):
             if got := self.classify((text or "")[a:b]):
-                out.append({"license": got[0], "start": a, "end": b, "kind": got[1], "saved": got[2], "differences": got[3]})
+                out.append({"license": got[0], "start": a + got[4], "end": a + got[5], "kind": got[1], "saved": got[2], "differences": got[3]})
         return out
 
 
