@@ -125,3 +125,18 @@ def test_query_stream_answers_once(spark, sf_dir, tmp_path):
     s = serve(spark.readStream.schema(q.schema).parquet(f"{tmp_path}/in"), index, SearchParams(k=2, num_rerank=0), f"{tmp_path}/out", f"{tmp_path}/cp")
     s.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2 * q.count()
+
+
+def test_command_line(spark, sf_dir, tmp_path):
+    from polycloud.__main__ import main
+
+    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    c.write.parquet(f"{tmp_path}/c")
+    q.write.parquet(f"{tmp_path}/q")
+    main(["build", f"{tmp_path}/c", f"{tmp_path}/i", "--family", "mvivf_flat", "--niters", "1"])
+    main(["search", f"{tmp_path}/i", f"{tmp_path}/q", f"{tmp_path}/r", "--k", "3", "--nprobes", "100"])
+    main(["truth", f"{tmp_path}/c", f"{tmp_path}/q", f"{tmp_path}/t", "--k", "3"])
+    main(["sweep", f"{tmp_path}/i", f"{tmp_path}/q", f"{tmp_path}/t", f"{tmp_path}/s", "--k", "3", "--nprobes", "1", "100"])
+    assert rows_of(spark.read.parquet(f"{tmp_path}/r")) == rows_of(spark.read.parquet(f"{tmp_path}/t"))
+    swept = spark.read.option("header", True).csv(f"{tmp_path}/s").orderBy(F.col("nprobes").cast("int")).collect()
+    assert [float(r.recall_k_k) <= 1 for r in swept] == [True, True] and float(swept[1].recall_k_k) == 1
