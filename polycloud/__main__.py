@@ -1,6 +1,6 @@
 """Command line: build an index, search it, compute ground truth, encode a dataset, measure a sweep.
 
-    python -m polycloud build  clouds.parquet index --family mvivf --metric ip
+    python -m polycloud build  clouds.parquet index --family cluster_tree --metric ip
     python -m polycloud search index queries.parquet out.parquet --k 10 --nprobes 8 --rerank 50 --quantizer tq4
     python -m polycloud truth  clouds.parquet queries.parquet out.parquet --k 100
     python -m polycloud embed  dataset-folder out-folder
@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> None:
     b = sub.add_parser("build")
     b.add_argument("clouds")
     b.add_argument("index")
-    b.add_argument("--family", choices=FAMILIES, default="mvivf_flat")
+    b.add_argument("--family", choices=FAMILIES, default="lists")
     for name, kind in (("k-per-level", int), ("max-leaf", int), ("max-depth", int), ("niters", int), ("mpcc", int), ("fde", int), ("degree", int), ("beam", int), ("alpha", float), ("prototypes", int), ("bucket", int)):
         b.add_argument(f"--{name}", type=kind)
     s, w = sub.add_parser("search"), sub.add_parser("sweep")

@@ -336,15 +336,15 @@ def _family(spark: SparkSession, sf_dir: str, family: str, sp: SearchParams, **i
 
 
 _EXACT = _top_sql("ip", _TENTH, _REST, 10)
-for _f in ("flat", "mvivf", "mvivf_flat", "mvivf_spill", "muvera", "mpool", "svh_ivf", "emdivf"):
+for _f in ("flat", "cluster_tree", "lists", "spill_tree", "fde_scan", "pooled_scan", "vector_tree", "emd_routes"):
     _query(_EXACT, f"{_f}_full_probe")(partial(_family, family=_f, sp=_FULL))
-for _f in ("mvivf", "mvivf_flat", "mvivf_spill", "muvera", "mpool", "vamana", "svh_ivf", "svh_graph", "emdivf"):
+for _f in ("cluster_tree", "lists", "spill_tree", "fde_scan", "pooled_scan", "cloud_graph", "vector_tree", "vector_graph", "emd_routes"):
     _query(None, f"{_f}_search")(partial(_family, family=_f, sp=SearchParams(k=10, nprobes=4, num_rerank=20)))
-for _z in ("pq", "fastscan", "rabitq", "tq4", "tq8", "tq1", "tq1a", "spqtq", "tqc", "tq2"):
+for _z in ("pq", "fastscan", "rabitq", "tq4", "tq8", "tq1", "tq1a", "sympq", "tqc", "tq2"):
     _query(None, f"flat_{_z}_search")(partial(_family, family="flat", sp=SearchParams(k=10, num_rerank=30, quantizer=_z)))
     _query(_EXACT, f"flat_{_z}_full_rerank")(partial(_family, family="flat", sp=SearchParams(k=10, num_rerank=100_000, quantizer=_z)))
 for _m in ("ball", "ward", "dynamic"):
-    _query(_EXACT, f"compressed_{_m}_full_probe")(partial(_family, family="mvivf_flat", sp=SearchParams(k=10, nprobes=10_000, num_rerank=100_000, compression=_m)))
+    _query(_EXACT, f"compressed_{_m}_full_probe")(partial(_family, family="lists", sp=SearchParams(k=10, nprobes=10_000, num_rerank=100_000, compression=_m)))
 
 
 @_query()
@@ -354,7 +354,7 @@ def cluster_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def tree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.tree_stats(build(X.clouds8(spark, sf_dir), IndexParams.of("mvivf", max_leaf=12, niters=2)).tables["nodes"])
+    return evaluate.tree_stats(build(X.clouds8(spark, sf_dir), IndexParams.of("cluster_tree", max_leaf=12, niters=2)).tables["nodes"])
 
 
 @_query()

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-NAMES = ("none", "pq", "fastscan", "rabitq", "tq4", "tq8", "tq1", "tq1a", "spqtq", "tqc", "tq2")
+NAMES = ("none", "pq", "fastscan", "rabitq", "tq4", "tq8", "tq1", "tq1a", "sympq", "tqc", "tq2")
 #: Vectors the data-dependent quantizers are fitted on, at most.
 FIT_VECTORS = 50_000
 
@@ -210,7 +210,7 @@ class SignQuant(_Rotated):
 class SymmetricPQ(_Rotated):
     """Rotated blocks of ``block`` coordinates against 16 words fitted to a standard normal; both sides are coded, one 16 x 16 table scores."""
 
-    name = "spqtq"
+    name = "sympq"
 
     def __init__(self, block: int = 4, seed: int = 42):
         super().__init__(seed)
@@ -283,7 +283,7 @@ def make(name: str, dim: int = 0) -> Quantizer:
     """An unfitted quantizer by name."""
     table: dict[str, Callable[[], Quantizer]] = {
         "none": Quantizer, "pq": ProductQuantizer, "fastscan": lambda: ProductQuantizer(4, 16, True, name="fastscan"), "rabitq": RaBitQ,
-        "tq4": TurboQuant, "tq8": TurboQuant8, "tq1": SignQuant, "tq1a": lambda: SignQuant(True), "spqtq": SymmetricPQ, "tqc": CenteredTurboQuant, "tq2": lambda: TurboQuant(2),
+        "tq4": TurboQuant, "tq8": TurboQuant8, "tq1": SignQuant, "tq1a": lambda: SignQuant(True), "sympq": SymmetricPQ, "tqc": CenteredTurboQuant, "tq2": lambda: TurboQuant(2),
     }
     if name not in table:
         raise ValueError(f"quantizer must be one of {NAMES}, not {name!r}")
@@ -291,4 +291,4 @@ def make(name: str, dim: int = 0) -> Quantizer:
 
 
 #: Compressed queries come in multiples of these, by quantizer.
-ALIGNMENT = {"tq4": 6, "tq1": 4, "tq8": 6, "spqtq": 3, "fastscan": 6}
+ALIGNMENT = {"tq4": 6, "tq1": 4, "tq8": 6, "sympq": 3, "fastscan": 6}

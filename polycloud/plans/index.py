@@ -21,7 +21,7 @@ from ..sources.manifest import read_manifest, write_manifest
 from .params import IndexParams, SearchParams
 
 VERSION = 1
-#: A bounded training set of emdivf prototypes.
+#: A bounded training set of emd_routes prototypes.
 PROTOTYPE_POOL = 2000
 
 
@@ -165,7 +165,7 @@ def _vector_rows(clouds: DataFrame) -> DataFrame:
     return C.flatten(clouds).select((F.col("cloud_id") * (1 << 20) + F.col("vec_pos")).alias("cloud_id"), F.array("v").alias("vectors"))
 
 
-def _build_svh_ivf(index: Index) -> None:
+def _build_vector_tree(index: Index) -> None:
     own = Index(index.params, {"clouds": _vector_rows(index.tables["clouds"])})
     _build_tree(own)
     index.tables |= {"nodes": own.tables["nodes"], "postings": own.tables["postings"], "vectors": own.tables["clouds"]}
@@ -176,16 +176,16 @@ def _graph(index: Index, clouds: DataFrame, metric: str | None = None) -> DataFr
     return _persisted(graph.build_graphs(clouds, metric or p.metric, p.degree, p.beam, p.alpha, p.shard_rows))
 
 
-def _build_muvera(index: Index) -> None:
+def _build_fde_scan(index: Index) -> None:
     cfg = FDEConfig.preset(index.params.fde, seed=index.params.seed)
     index.tables["encodings"] = _persisted(encode_clouds(index.tables["clouds"], cfg, False))
 
 
-def _build_mpool(index: Index) -> None:
+def _build_pooled_scan(index: Index) -> None:
     index.tables["pooled"] = C.mean_pooled(index.tables["clouds"], normalize=True)
 
 
-def _build_emdivf(index: Index) -> None:
+def _build_emd_routes(index: Index) -> None:
     """Prototypes by k-center under EMD over a bounded pool; buckets are each prototype's nearest clouds."""
     p, base = index.params, index.tables["clouds"]
     pool = C.subsample(base, PROTOTYPE_POOL, "cloud_id", p.seed).orderBy("cloud_id").collect()
@@ -198,9 +198,9 @@ def _build_emdivf(index: Index) -> None:
 
 
 _BUILD = {
-    "mvivf": lambda i: _build_tree(i), "mvivf_flat": lambda i: _build_tree(i, depth=1), "mvivf_spill": lambda i: _build_tree(i, spill=i.params.spill),
-    "muvera": _build_muvera, "mpool": _build_mpool, "svh_ivf": _build_svh_ivf, "emdivf": _build_emdivf,
-    "vamana": lambda i: i.tables.update(graph=_graph(i, i.tables["clouds"])), "svh_graph": lambda i: i.tables.update(graph=_graph(i, _vector_rows(i.tables["clouds"]))),
+    "cluster_tree": lambda i: _build_tree(i), "lists": lambda i: _build_tree(i, depth=1), "spill_tree": lambda i: _build_tree(i, spill=i.params.spill),
+    "fde_scan": _build_fde_scan, "pooled_scan": _build_pooled_scan, "vector_tree": _build_vector_tree, "emd_routes": _build_emd_routes,
+    "cloud_graph": lambda i: i.tables.update(graph=_graph(i, i.tables["clouds"])), "vector_graph": lambda i: i.tables.update(graph=_graph(i, _vector_rows(i.tables["clouds"]))),
 }
 
 # --- search -----------------------------------------------------------------------------------------------------
@@ -242,12 +242,12 @@ def _search_tree(index: Index, queries: DataFrame, sp: SearchParams) -> DataFram
     return search.score_pairs(pairs, queries, index.tables["clouds"], index.params.metric, index.quantizer(sp.quantizer))
 
 
-def _search_muvera(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
+def _search_fde_scan(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
     cfg = FDEConfig.preset(index.params.fde, seed=index.params.seed)
     return search.exact_top_k(encode_clouds(queries, cfg, True, "query_id"), index.tables["encodings"], max(sp.k, sp.num_rerank), "ip", make(sp.quantizer) if sp.quantizer not in ("pq", "fastscan", "rabitq", "tqc", "none") else None).drop("rank")
 
 
-def _search_mpool(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
+def _search_pooled_scan(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
     pooled = queries.select("query_id", F.array(V.mean_pool("vectors")).alias("vectors"))
     return search.exact_top_k(pooled, index.tables["pooled"], max(sp.k, sp.num_rerank), index.params.metric).drop("rank")
 
@@ -263,21 +263,21 @@ def _vector_hits(scored: DataFrame, per_vector: int) -> DataFrame:
     return search.sum_of_minima(best.select(F.shiftright("query_id", 12).alias("query_id"), F.col("query_id").alias("query_pos"), "cloud_id", "distance"))
 
 
-def _search_svh_ivf(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
+def _search_vector_tree(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
     own = Index(index.params, {"clouds": index.tables["vectors"], "nodes": index.tables["nodes"], "postings": index.tables["postings"]})
     own._fitted = index._fitted
     return _vector_hits(_search_tree(own, _query_vectors(queries), sp), max(sp.k, sp.num_rerank))
 
 
-def _search_vamana(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
+def _search_cloud_graph(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
     return graph.search_graphs(queries, index.tables["graph"], max(sp.k, sp.num_rerank), sp.beam, index.params.metric, index.quantizer(sp.quantizer))
 
 
-def _search_svh_graph(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
+def _search_vector_graph(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
     return _vector_hits(graph.search_graphs(_query_vectors(queries), index.tables["graph"], sp.beam, 2 * sp.beam, index.params.metric, index.quantizer(sp.quantizer)), max(sp.k, sp.num_rerank))
 
 
-def _search_emdivf(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
+def _search_emd_routes(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
     """Routes to the nearest prototypes, unites their buckets, scores with the quantizer (one bit by default)."""
     protos = index.tables["prototypes"].select(F.col("proto_id").alias("cloud_id"), "vectors")
     routes = search.exact_top_k(queries, protos, sp.nprobes, index.params.metric).select("query_id", F.col("cloud_id").alias("proto_id"))
@@ -286,6 +286,6 @@ def _search_emdivf(index: Index, queries: DataFrame, sp: SearchParams) -> DataFr
 
 
 _SEARCH: dict[str, Any] = {
-    "flat": _search_flat, "mvivf": _search_tree, "mvivf_flat": _search_tree, "mvivf_spill": _search_tree, "muvera": _search_muvera,
-    "mpool": _search_mpool, "svh_ivf": _search_svh_ivf, "svh_graph": _search_svh_graph, "vamana": _search_vamana, "emdivf": _search_emdivf,
+    "flat": _search_flat, "cluster_tree": _search_tree, "lists": _search_tree, "spill_tree": _search_tree, "fde_scan": _search_fde_scan,
+    "pooled_scan": _search_pooled_scan, "vector_tree": _search_vector_tree, "vector_graph": _search_vector_graph, "cloud_graph": _search_cloud_graph, "emd_routes": _search_emd_routes,
 }

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-FAMILIES = ("flat", "mvivf", "mvivf_flat", "mvivf_spill", "muvera", "vamana", "mpool", "svh_ivf", "svh_graph", "emdivf")
+FAMILIES = ("flat", "cluster_tree", "lists", "spill_tree", "fde_scan", "cloud_graph", "pooled_scan", "vector_tree", "vector_graph", "emd_routes")
 
 
 @dataclass(frozen=True)
 class IndexParams:
     """One dataclass for all families; each reads what concerns it."""
 
-    family: str = "mvivf_flat"
+    family: str = "lists"
     metric: str = "ip"
     #: Children per node (0: square root of its clouds), clouds per leaf, levels (0: no limit).
     k_per_level: int = 0
@@ -23,13 +23,13 @@ class IndexParams:
     mpcc: int = 100
     #: Lists a cloud joins at the root and at the first level (spill).
     spill: tuple[int, int] = (2, 1)
-    #: Encoding size of muvera; degree, beam and pruning of graphs; clouds per graph shard.
+    #: Encoding size of fde_scan; degree, beam and pruning of graphs; clouds per graph shard.
     fde: int = 1280
     degree: int = 24
     beam: int = 48
     alpha: float = 1.0
     shard_rows: int = 4096
-    #: Prototypes and bucket size of emdivf.
+    #: Prototypes and bucket size of emd_routes.
     prototypes: int = 64
     bucket: int = 256
     #: "float" or "tq8": what clustering compares.

@@ -79,7 +79,7 @@ def test_emd_top_k_solves_fewer_problems():
     assert [(d, i) for i, d in got] == every and solved < 4
 
 
-@pytest.mark.parametrize("name,least", [("none", 0.999), ("pq", 0.8), ("fastscan", 0.75), ("rabitq", 0.98), ("tq4", 0.98), ("tq8", 0.999), ("tq1", 0.55), ("tq1a", 0.7), ("spqtq", 0.55), ("tqc", 0.98), ("tq2", 0.9)])
+@pytest.mark.parametrize("name,least", [("none", 0.999), ("pq", 0.8), ("fastscan", 0.75), ("rabitq", 0.98), ("tq4", 0.98), ("tq8", 0.999), ("tq1", 0.55), ("tq1a", 0.7), ("sympq", 0.55), ("tqc", 0.98), ("tq2", 0.9)])
 def test_quantizers_keep_the_order(name, least):
     g = np.random.default_rng(0)
     x = g.normal(size=(1500, 64))

@@ -67,7 +67,7 @@ def test_cloud_operators(spark):
     assert {r.cloud_id for r in C.only(c, spark.createDataFrame([(1,)], "cloud_id long")).collect()} == {1}
 
 
-@pytest.mark.parametrize("family", ["flat", "mvivf", "mvivf_flat", "mvivf_spill", "muvera", "mpool", "vamana", "svh_ivf", "svh_graph", "emdivf"])
+@pytest.mark.parametrize("family", ["flat", "cluster_tree", "lists", "spill_tree", "fde_scan", "pooled_scan", "cloud_graph", "vector_tree", "vector_graph", "emd_routes"])
 def test_families_find_most_neighbours(spark, sf_dir, family):
     q, c = X.held_out(X.clouds8(spark, sf_dir))
     index = build(c, IndexParams.of(family, max_leaf=12, niters=2, prototypes=8, bucket=32, shard_rows=512))
@@ -79,7 +79,7 @@ def test_families_find_most_neighbours(spark, sf_dir, family):
 
 def test_save_load_and_introspection(spark, sf_dir, tmp_path):
     q, c = X.held_out(X.clouds8(spark, sf_dir))
-    index = build(c, IndexParams.of("mvivf", max_leaf=12, niters=1))
+    index = build(c, IndexParams.of("cluster_tree", max_leaf=12, niters=1))
     index.save(f"file://{tmp_path}/i")
     again = Index.load(spark, f"file://{tmp_path}/i")
     sp = SearchParams(k=3, nprobes=4, num_rerank=10, quantizer="tq8", rerank_on="tq8")
@@ -133,7 +133,7 @@ def test_command_line(spark, sf_dir, tmp_path):
     q, c = X.held_out(X.clouds8(spark, sf_dir))
     c.write.parquet(f"{tmp_path}/c")
     q.write.parquet(f"{tmp_path}/q")
-    main(["build", f"{tmp_path}/c", f"{tmp_path}/i", "--family", "mvivf_flat", "--niters", "1"])
+    main(["build", f"{tmp_path}/c", f"{tmp_path}/i", "--family", "lists", "--niters", "1"])
     main(["search", f"{tmp_path}/i", f"{tmp_path}/q", f"{tmp_path}/r", "--k", "3", "--nprobes", "100"])
     main(["truth", f"{tmp_path}/c", f"{tmp_path}/q", f"{tmp_path}/t", "--k", "3"])
     main(["sweep", f"{tmp_path}/i", f"{tmp_path}/q", f"{tmp_path}/t", f"{tmp_path}/s", "--k", "3", "--nprobes", "1", "100"])
