@@ -138,30 +138,32 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, chunk: int = C
     """
     if least > chunk:
         raise ValueError("payloads below the revisit limit must fit in one chunk")
-    types = record_types(pages, least)
-    c = chunk_table(pages, chunk, least)
-    t = types.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "shared", "response")
-    joined = c.join(t, c["page_id"].eqNullSafe(t["p"]) & (c["digest"] == t["d"])).drop("p", "d")
-    answers = ~F.col("shared") | F.col("page_id").eqNullSafe(F.col("response"))
-    # Only an answering page needs its payload; of a revisit the first chunk row goes on, emptied.
-    slim = joined.filter(answers | (F.col("chunk_no") == 0)).withColumn("data", F.when(answers, F.col("data"))).withColumn("answers", answers)
+    # One shuffle of the payloads: a page's decision travels as a row ahead of its chunks.
+    decided = record_types(pages, least).select("page_id", "digest", F.lit(-1).cast("long").alias("chunk_no"), "shared", "response")
+    rows = chunk_table(pages, chunk, least).drop("so_far").unionByName(decided, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        path = out = member = key = None
-        written, extra = -1, 0
+        path = out = member = None
+        shared = answers = opened = False
+        response, written, extra = None, -1, 0
         for batch in batches:
-            for page_id, url, digest, total, n, last, _, data, _, shared, response, ok in zip(*[col.to_pylist() for col in batch.columns]):
+            for page_id, url, digest, total, n, last, data, is_shared, said in zip(*[col.to_pylist() for col in batch.columns]):
+                if n < 0:
+                    shared, response, opened = is_shared, said, False
+                    answers = not shared or page_id == response
+                    continue
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     out = fs.open_output_stream(path, compression=None)
-                again = key == (page_id, digest)
-                if not ok or (again and shared and n == 0 and member is None):
-                    _whole(out, page_id, url, digest, total, response)
-                elif again and shared and n == 0:
+                if not answers or (n == 0 and shared and opened and member is None):
+                    if n == 0:
+                        _whole(out, page_id, url, digest, total, response)
+                    continue
+                if n == 0 and shared and opened:
                     extra += 1  # another copy of the row whose payload is being written
                 elif n == 0:
-                    key, written, extra, member = (page_id, digest), -1, 0, _Member(out)
+                    opened, written, extra, member = True, -1, 0, _Member(out)
                     for part in _head(page_id, url, digest, total, "response", None):
                         member.write(part)
                 if member is not None and n == written + 1:  # copies bring each chunk again
@@ -177,7 +179,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, chunk: int = C
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
-    files = slim.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", "chunk_no", "copy").mapInArrow(run, "path string")
+    ordered = rows.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", "chunk_no", "copy")
+    files = ordered.select("page_id", "url", "digest", "bytes", "chunk_no", "last", "data", "shared", "response").mapInArrow(run, "path string")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     return sorted(r.path for r in files.collect())
