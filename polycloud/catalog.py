@@ -65,65 +65,58 @@ def _top_sql(metric: str, asks: str, corpus: str, k: int, cloud: str = "vec_id /
         SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, cloud_id::BIGINT AS cloud_id, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""
 
 
-_FIRST5, _ALL = "a.cloud_id < 5", "true"
-_TENTH, _REST = "a.cloud_id % 10 = 0", "b.cloud_id % 10 <> 0"
+# Every cloud of the table asks, against all clouds.
+_ALL = "true"
+_RAGGED = "floor(sqrt(vec_id))::BIGINT"
 
 
-@_query(_top_sql("ip", _FIRST5, _ALL, 10))
+def _exact(clouds: DataFrame, k: int, metric: str) -> DataFrame:
+    return _rounded(search.exact_top_k(X.as_queries(clouds), clouds, k, metric))
+
+
+@_query(_top_sql("ip", _ALL, _ALL, 10))
 def exact_top_k_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = X.clouds8(spark, sf_dir)
-    return _rounded(search.exact_top_k(X.as_queries(c.filter("cloud_id < 5")), c, 10, "ip"))
+    return _exact(X.clouds8(spark, sf_dir), 10, "ip")
 
 
 FLAGSHIP = exact_top_k_ip
 
 
-@_query(_top_sql("l2", _FIRST5, _ALL, 10))
+@_query(_top_sql("l2", _ALL, _ALL, 10))
 def exact_top_k_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = X.clouds8(spark, sf_dir)
-    return _rounded(search.exact_top_k(X.as_queries(c.filter("cloud_id < 5")), c, 10, "l2"))
+    return _exact(X.clouds8(spark, sf_dir), 10, "l2")
 
 
-@_query(_top_sql("ip", _TENTH, _REST, 10))
-def exact_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = X.held_out(X.clouds8(spark, sf_dir))
-    return _rounded(search.exact_top_k(q, c, 10, "ip"))
-
-
-@_query(_top_sql("ip", _TENTH, _REST, 10, "floor(sqrt(vec_id))::BIGINT"))
+@_query(_top_sql("ip", _ALL, _ALL, 10, _RAGGED))
 def exact_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = X.held_out(X.clouds_ragged(spark, sf_dir))
-    return _rounded(search.exact_top_k(q, c, 10, "ip"))
+    return _exact(X.clouds_ragged(spark, sf_dir), 10, "ip")
 
 
-@_query(_top_sql("ip", "a.cloud_id < 3", "b.cloud_id < 6", 100))
+@_query(_top_sql("ip", _ALL, _ALL, 100, "label"))
 def top_k_beyond_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = X.clouds8(spark, sf_dir)
-    return _rounded(search.exact_top_k(X.as_queries(c.filter("cloud_id < 3")), c.filter("cloud_id < 6"), 100, "ip"))
+    return _exact(X.clouds_label(spark, sf_dir), 100, "ip")
 
 
-@_query(_top_sql("l2", _TENTH, _REST, 1))
+@_query(_top_sql("l2", _ALL, _ALL, 1, _RAGGED))
 def top_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = X.held_out(X.clouds8(spark, sf_dir))
-    return _rounded(search.exact_top_k(q, c, 1, "l2"))
+    return _exact(X.clouds_ragged(spark, sf_dir), 1, "l2")
 
 
-@_query(f"WITH {_chamfer_sql('ip', _TENTH, _REST)} SELECT query_id, cloud_id, round(distance, 6) AS distance FROM s")
+@_query(f"WITH {_chamfer_sql('ip', _ALL, _ALL)} SELECT query_id, cloud_id, round(distance, 6) AS distance FROM s")
 def many_to_many_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = X.held_out(X.clouds8(spark, sf_dir))
-    return _rounded(search.all_distances(q, c, "ip"))
+    c = X.clouds8(spark, sf_dir)
+    return _rounded(search.all_distances(X.as_queries(c), c, "ip"))
 
 
-@_query(f"WITH {_chamfer_sql('l2', 'a.cloud_id = 7', _ALL)} SELECT query_id, cloud_id, round(distance, 6) AS distance FROM s")
-def one_to_many_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = X.clouds8(spark, sf_dir)
-    return _rounded(search.all_distances(X.as_queries(c.filter("cloud_id = 7")), c, "l2"))
+@_query(f"WITH {_chamfer_sql('l2', _ALL, _ALL, 'label')} SELECT query_id::BIGINT AS query_id, cloud_id::BIGINT AS cloud_id, round(distance, 6) AS distance FROM s")
+def many_to_many_large_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.clouds_label(spark, sf_dir)
+    return _rounded(search.all_distances(X.as_queries(c), c, "l2"))
 
 
-@_query(_top_sql("l2", "a.cloud_id % 25 = 0", "true", 10, "vec_id"))
+@_query(_top_sql("l2", _ALL, _ALL, 10, "vec_id"))
 def single_vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = X.vectors(spark, sf_dir).select(F.col("vec_id").alias("cloud_id"), F.array("embedding").alias("vectors"))
-    return _rounded(search.exact_top_k(X.as_queries(c.filter("cloud_id % 25 = 0")), c, 10, "l2"))
+    return _exact(X.vectors(spark, sf_dir).select(F.col("vec_id").alias("cloud_id"), F.array("embedding").alias("vectors")), 10, "l2")
 
 
 # --- scalar vector functions and cloud operators ----------------------------------------------------------------
@@ -163,10 +156,10 @@ def validate_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.validate(X.clouds8(spark, sf_dir))
 
 
-@_query("SELECT vec_id // 8 AS cloud_id, (vec_id % 8)::INTEGER AS vec_pos, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE (vec_id // 8) % 7 = 0")
+@_query("SELECT vec_id // 8 AS cloud_id, (vec_id % 8)::INTEGER AS vec_pos, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE vec_id // 8 IN (SELECT n_nationkey FROM nation)")
 def filter_and_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = X.clouds8(spark, sf_dir)
-    return C.flatten_only(c, c.filter("cloud_id % 7 = 0").select("cloud_id")).select("cloud_id", "vec_pos", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("x"))
+    return C.flatten_only(c, _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cloud_id"))).select("cloud_id", "vec_pos", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("x"))
 
 
 @_query("SELECT o_orderkey, bit_count(xor(o_orderkey, o_custkey))::INTEGER AS bits FROM orders")
@@ -177,14 +170,15 @@ def hamming_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins around an index, on fixed centers --------------------------------------------------------------------
 
 _FIXED = f"""{_V.format(id="vec_id // 8")},
-    am AS (SELECT a.cloud_id, a.vec_id, b.cloud_id AS center, min(-list_inner_product(a.e, b.e)) AS d FROM v a JOIN v b ON b.cloud_id % 9 = 0 GROUP BY ALL),
+    w AS (SELECT label::INTEGER AS cloud_id, embedding::DOUBLE[] AS e FROM embeddings),
+    am AS (SELECT a.cloud_id, a.vec_id, b.cloud_id AS center, min(-list_inner_product(a.e, b.e)) AS d FROM v a JOIN w b ON true GROUP BY ALL),
     ad AS (SELECT cloud_id, center, avg(d) AS distance FROM am GROUP BY ALL),
     ar AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY round(distance, 9), center) AS n FROM ad)"""
 
 
 def _fixed_centers(spark: SparkSession, sf_dir: str, top: int) -> tuple[DataFrame, DataFrame]:
     c = X.clouds8(spark, sf_dir)
-    centers = c.filter("cloud_id % 9 = 0").select(F.col("cloud_id").alias("cluster"), "vectors")
+    centers = X.clouds_label(spark, sf_dir).select(F.col("cloud_id").cast("int").alias("cluster"), "vectors")
     return c, cluster.top_centers(c, centers, "ip", top)
 
 
@@ -209,7 +203,7 @@ def assignment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("cluster", "size", *[F.round(c, 6).alias(c) for c in ("radius", "mean", "median")])
 
 
-@_query(f"""WITH {_FIXED}, cand AS (SELECT DISTINCT q.cloud_id AS query_id, p.cloud_id FROM ar q JOIN ar p ON p.center = q.center WHERE q.n <= 3 AND p.n <= 2 AND q.cloud_id % 10 = 0),
+@_query(f"""WITH {_FIXED}, cand AS (SELECT DISTINCT q.cloud_id AS query_id, p.cloud_id FROM ar q JOIN ar p ON p.center = q.center WHERE q.n <= 3 AND p.n <= 2),
     cm AS (SELECT query_id, a.vec_id, c.cloud_id, min(-list_inner_product(a.e, b.e)) AS d FROM cand c JOIN v a ON a.cloud_id = query_id JOIN v b ON b.cloud_id = c.cloud_id GROUP BY ALL),
     cs AS (SELECT query_id, cloud_id, avg(d) AS distance FROM cm GROUP BY ALL), cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), cloud_id) AS rank FROM cs)
     SELECT query_id, rank::INTEGER AS rank, cloud_id, round(distance, 6) AS distance FROM cr WHERE rank <= 10""")
@@ -218,16 +212,16 @@ def probe_and_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(search.Window.partitionBy("cloud_id").orderBy("distance", "cluster"))
     placed = placed.withColumn("n", rank)
     postings = placed.filter("n <= 2").select(F.col("cluster").alias("leaf_id"), "cloud_id")
-    probes = placed.filter("cloud_id % 10 = 0").select(F.col("cloud_id").alias("query_id"), F.col("cluster").alias("leaf_id"))
+    probes = placed.select(F.col("cloud_id").alias("query_id"), F.col("cluster").alias("leaf_id"))
     q = X.as_queries(c)
     return _rounded(search.ranked(search.score_pairs(search.probe_join(probes, postings), q, c, "ip"), 10))
 
 
-@_query(f"""WITH {_V.format(id="vec_id // 8")}, m AS (SELECT a.cloud_id AS query_id, a.vec_id, b.cloud_id, -list_inner_product(a.e, b.e) AS d FROM v a JOIN v b ON a.cloud_id < 3 AND a.vec_id <> b.vec_id AND -list_inner_product(a.e, b.e) < -0.3),
+@_query(f"""WITH {_V.format(id="vec_id // 8")}, m AS (SELECT a.cloud_id AS query_id, a.vec_id, b.cloud_id, -list_inner_product(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id AND -list_inner_product(a.e, b.e) < -0.3),
     low AS (SELECT query_id, vec_id, cloud_id, min(d) AS d FROM m GROUP BY ALL) SELECT query_id, cloud_id, round(sum(d), 6) AS distance FROM low GROUP BY ALL""")
 def sum_of_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = X.vectors(spark, sf_dir).select(F.col("vec_id").alias("cloud_id"), F.array("embedding").alias("vectors"))
-    hits = search.all_distances(X.as_queries(c.filter("cloud_id < 24")), c, "ip").filter("query_id <> cloud_id and distance < -0.3")
+    hits = search.all_distances(X.as_queries(c), c, "ip").filter("query_id <> cloud_id and distance < -0.3")
     return _rounded(search.sum_of_minima(hits.select(F.floor(F.col("query_id") / 8).alias("query_id"), F.col("query_id").alias("query_pos"), F.floor(F.col("cloud_id") / 8).alias("cloud_id"), "distance")))
 
 
@@ -237,23 +231,23 @@ def deduplicate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(o.select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 50).alias("cloud_id"), F.col("o_totalprice").cast("double").alias("distance")))
 
 
-@_query("WITH e AS (SELECT label AS node_id, vec_id % 97 AS neighbor FROM embeddings) SELECT DISTINCT q AS query_id, e.neighbor AS node_id FROM (SELECT vec_id AS q, label AS node_id FROM embeddings WHERE vec_id < 20) f JOIN e USING (node_id)")
+@_query("WITH e AS (SELECT label AS node_id, vec_id % 97 AS neighbor FROM embeddings) SELECT DISTINCT q AS query_id, e.neighbor AS node_id FROM (SELECT vec_id AS q, label AS node_id FROM embeddings) f JOIN e USING (node_id)")
 def graph_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = X.vectors(spark, sf_dir)
     edges = v.select(F.col("label").alias("node_id"), (F.col("vec_id") % 97).alias("neighbor"))
-    return graph.hop(v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("node_id")), edges)
+    return graph.hop(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("node_id")), edges)
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------
 
 
 @_query("""WITH t AS (SELECT vec_id // 10 AS query_id, vec_id % 10 + 1 AS rank, vec_id AS cloud_id FROM embeddings), g AS (SELECT query_id, cloud_id FROM t WHERE rank <= 5),
-    f AS (SELECT vec_id // 10 AS query_id, vec_id AS cloud_id FROM embeddings WHERE label % 2 = 0)
+    f AS (SELECT vec_id // 10 AS query_id, vec_id AS cloud_id FROM embeddings WHERE embedding[1] > 0)
     SELECT q.query_id, count(f.cloud_id) / 5 AS recall FROM (SELECT DISTINCT query_id FROM t) q LEFT JOIN g USING (query_id) LEFT JOIN f ON f.query_id = g.query_id AND f.cloud_id = g.cloud_id GROUP BY ALL""")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = X.vectors(spark, sf_dir).withColumn("query_id", F.floor(F.col("vec_id") / 10))
     truth = v.select("query_id", (F.col("vec_id") % 10 + 1).cast("int").alias("rank"), F.col("vec_id").alias("cloud_id"), F.col("vec_id").cast("double").alias("distance"))
-    return evaluate.recall(v.filter("label % 2 = 0").select("query_id", F.col("vec_id").alias("cloud_id")), truth, 5)
+    return evaluate.recall(v.filter(F.get("embedding", F.lit(0)) > 0).select("query_id", F.col("vec_id").alias("cloud_id")), truth, 5)
 
 
 @_query("SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events")
@@ -330,12 +324,13 @@ _FULL = SearchParams(k=10, nprobes=10_000, num_rerank=100_000, beam=4096)
 
 
 def _family(spark: SparkSession, sf_dir: str, family: str, sp: SearchParams, **ip) -> DataFrame:
-    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    c = X.clouds8(spark, sf_dir)
+    q = X.as_queries(c)
     settings = {"max_leaf": 12, "niters": 2, "prototypes": 8, "bucket": 100_000 if sp is _FULL else 24, "shard_rows": 512} | ip
     return _rounded(build(c, IndexParams.of(family, **settings)).search(q, sp))
 
 
-_EXACT = _top_sql("ip", _TENTH, _REST, 10)
+_EXACT = _top_sql("ip", _ALL, _ALL, 10)
 for _f in ("flat", "cluster_tree", "lists", "spill_tree", "fde_scan", "pooled_scan", "vector_tree", "emd_routes"):
     _query(_EXACT, f"{_f}_full_probe")(partial(_family, family=_f, sp=_FULL))
 for _f in ("cluster_tree", "lists", "spill_tree", "fde_scan", "pooled_scan", "cloud_graph", "vector_tree", "vector_graph", "emd_routes"):
@@ -359,7 +354,8 @@ def tree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def recall_curve_tq4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    c = X.clouds8(spark, sf_dir)
+    q = X.as_queries(c)
     found = build(c, IndexParams.of("flat")).search(q, SearchParams(k=50, num_rerank=0, quantizer="tq4"))
     return evaluate.over_retrieval(found, search.exact_top_k(q, c, 10), 10, (10, 20, 50))
 

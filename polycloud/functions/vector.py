@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _sum(pairs: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression used inside a lambda is else evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Col, b: Col) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
@@ -37,8 +44,12 @@ def squared_norm(v: Col) -> Column:
 
 def normalized(v: Col, least: float = 1e-7) -> Column:
     """Unit vector, or the vector itself where its norm is not above ``least``."""
-    n = F.sqrt(squared_norm(v))
-    return F.when(n > least, F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(v)
+    v = F.col(v) if isinstance(v, str) else v
+
+    def scaled(x: Column) -> Column:
+        return _let(F.sqrt(squared_norm(x)), lambda n: F.when(n > least, F.transform(x, lambda y: (y.cast("double") / n).cast("float"))).otherwise(x))
+
+    return _let(v, scaled)
 
 
 def distance(a: Col, b: Col, metric: str) -> Column:
@@ -55,7 +66,7 @@ def mean_pool(vectors: Col, normalize: bool = False) -> Column:
     """Coordinate-wise mean of a cloud."""
     zero = F.transform(F.get(vectors, F.lit(0)), lambda x: F.lit(0.0))
     total = F.aggregate(vectors, zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y.cast("double")))
-    mean = F.transform(total, lambda x: (x / F.size(vectors)).cast("float"))
+    mean = _let(F.size(vectors), lambda n: F.transform(total, lambda x: (x / n).cast("float")))
     return normalized(mean) if normalize else mean
 
 

@@ -24,6 +24,11 @@ def clouds_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clouds_by(spark, sf_dir, F.floor(F.sqrt(F.col("vec_id"))))
 
 
+def clouds_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few large clouds."""
+    return clouds_by(spark, sf_dir, F.col("label"))
+
+
 def as_queries(clouds: DataFrame) -> DataFrame:
     return clouds.select(F.col("cloud_id").alias("query_id"), "vectors")
 
