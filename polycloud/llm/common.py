@@ -252,12 +252,12 @@ def numbered(df: DataFrame, group: str, total: int, salt: Column, order: list[Co
     """
     from pyspark.sql import Window
 
-    bucket, first = unused(df, "bucket", "first")
-    d = df.withColumn(bucket, F.pmod(salt, F.lit(max(1, -(-total // NUMBER_ROWS)))))
-    counts = d.groupBy(group, bucket).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(group).alias("_g"), F.col(bucket).alias("_b"), F.coalesce(before, F.lit(0)).alias(first))
-    local = F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order))
-    out = d.withColumn(name, local)
-    out = out.join(starts, out[group].eqNullSafe(starts["_g"]) & (out[bucket] == starts["_b"])).withColumn(name, (F.col(name) + F.col(first) - 1).cast("long"))
-    return out.drop(bucket, first, "_g", "_b")
+    key, first = unused(df, "bucket", "first")
+    # One key for the window and the join with the buckets' starts, so the rows are shuffled once.
+    d = df.withColumn(key, F.struct(F.col(group).alias("g"), F.pmod(salt, F.lit(max(1, -(-total // NUMBER_ROWS)))).alias("b")))
+    counts = d.groupBy(key).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.col(key)["g"]).orderBy(F.col(key)["b"]).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col(key).alias("_k"), F.coalesce(before, F.lit(0)).alias(first))
+    out = d.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    out = out.join(starts, out[key] == starts["_k"]).withColumn(name, (F.col(name) + F.col(first) - 1).cast("long"))
+    return out.drop(key, first, "_k")
