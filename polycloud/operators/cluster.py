@@ -24,7 +24,7 @@ Centers = dict[int, tuple[np.ndarray, np.ndarray]]
 def centers_of(rows: DataFrame, key: str = "node_id") -> Centers:
     """Center clouds (key, child, vectors) as arrays per node; bounded by the caller."""
     found: dict[int, list] = {}
-    for r in rows.orderBy(key, "child").toLocalIterator():
+    for r in rows.orderBy(key, "child").collect():
         found.setdefault(r[key], []).append(r["vectors"])
     return {n: (np.array([v for c in cs for v in c], np.float64), np.concatenate([[0], np.cumsum([len(c) for c in cs])])) for n, cs in found.items()}
 
@@ -101,7 +101,7 @@ def train(clouds: DataFrame, ks: dict[int, int], counts: dict[int, int], metric:
     for step in range(iters):
         placed = assign(sample, centers, metric, 1, scorer).select("node_id", "child", "vectors")
         fresh = {}
-        for r in placed.groupBy("node_id", "child").applyInArrow(shrink, schema).toLocalIterator():
+        for r in placed.groupBy("node_id", "child").applyInArrow(shrink, schema).collect():  # one center cloud each
             fresh[r.node_id, r.child] = np.array(r.vectors, np.float64)
         for n, (flat, off) in list(centers.items()):
             parts = [fresh.get((n, c), flat[off[c] : off[c + 1]]) for c in range(len(off) - 1)]
