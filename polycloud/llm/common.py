@@ -60,9 +60,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, copies: str, total: in
 
     Keys with more than ``total / HOT_KEYS`` copies (at least 10,000) number fewer than HOT_KEYS, so that part of
     ``right`` is broadcast; the rest is an ordinary shuffle join, in which the rows already matched carry a salted
-    key and spread evenly. ``copies`` is the column of ``right`` that counts the key's rows in ``left``.
+    key and spread evenly. Null keys match nothing. ``copies`` is the column of ``right`` that counts the key's rows in ``left``.
     """
     least = max(10_000, total // HOT_KEYS)
+    right = right.filter(F.col(key).isNotNull())
     columns = [c for c in right.columns if c not in (key, copies)]
     hot = right.filter(F.col(copies) > least).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in columns])
     cold = right.filter(F.col(copies) <= least).select(F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in columns])
@@ -177,7 +178,7 @@ def lower_words(text: bytes, member: np.ndarray = ALNUM) -> list[bytes]:
     return [low[a:b] for a, b in zip(s.tolist(), e.tolist())]
 
 
-def batches_of(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text (one row at least)."""
     n = batch.num_rows
     if not n:
