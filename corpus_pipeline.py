@@ -21,11 +21,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.in_mix_order(docs)
+    """Adds the place in the mix as last column, which the shards' slots follow."""
+    mixed = mixing.mix(docs)
+    return mixed.drop(mixed.columns[-2])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.into_shards(docs)
+    return sharding.into_shards(docs, mixed=docs.columns[-1])
 
 
 STAGES = [

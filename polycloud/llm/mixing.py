@@ -13,7 +13,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, unused
+from .common import NUMBER_ROWS, numbered, unused
 
 BLOCK_ROWS = 64
 #: Exponent of the default weights (rows of the source to this power) and the slots of a period.
@@ -73,39 +73,52 @@ def default_shares(rows: list[int], alpha: float = ALPHA, period: int = PERIOD)
     return [max(1, round(period * n**alpha / total)) for n in rows]
 
 
-def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", shares: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", shares: dict | None = None, block_rows: int = BLOCK_ROWS, within: str | None = None, order: str | None = None) -> DataFrame:
     """``docs`` with mix_block (slot of its block) and mix_position (gapless from 0): every row once, none dropped or repeated.
 
     ``shares`` maps sources to integer weights (default: rows to the power ALPHA). Blocks hold ``block_rows`` rows in
     hash order, the last of a source perhaps fewer. Null is a source of its own; sources without a share get 1.
+    With ``within``, each value of that column is a mix of its own, to the same weights. ``order`` names the gapless
+    position of an earlier mix; a source's rows then keep that order instead of the hash's.
     """
     spark = docs.sparkSession
-    counts = sorted(docs.groupBy(source).count().collect(), key=lambda r: (r[0] is not None, str(r[0])))
-    names, rows = [r[0] for r in counts], [r[1] for r in counts]
+    part = F.lit(0) if within is None else F.col(f"`{within}`")
+    counts = docs.groupBy(part.alias("g"), F.col(f"`{source}`").alias("s")).agg(F.count("*").alias("n")).collect()
+    names = sorted({r.s for r in counts}, key=lambda s: (s is not None, str(s)))
+    per_part: dict = {}
+    for r in counts:
+        per_part.setdefault(r.g, {})[r.s] = r.n
+    rows = [sum(p.get(s, 0) for p in per_part.values()) for s in names]
     weight = default_shares(rows) if shares is None else [int(shares.get(n, 1)) for n in names]
-    blocks = [-(-n // block_rows) for n in rows]
-    if len(names) * sum(weight) > MAX_SCHEDULE:
-        raise ValueError(f"{len(names)} sources with {sum(weight)} shares: the schedule would exceed {MAX_SCHEDULE} numbers; use smaller shares")
-    plan = phases(weight, blocks)
-    short = [(slot_of(plan, i, blocks[i] - 1), block_rows * blocks[i] - rows[i]) for i in range(len(names)) if rows[i]]
-    no, first, start, period, share, places, block, position = unused(docs, "mix_row", "mix_first", "mix_start", "mix_period", "mix_share", "mix_places", "mix_block", "mix_position")
-    per = [(names[i], *map(list, zip(*[(p["sources"][i][0], p["start"], p["period"], p["sources"][i][1], p["sources"][i][2]) for p in plan if i in p["sources"]]))) for i in range(len(names))]
-    kind = docs.schema[source].dataType.simpleString()
-    side = spark.createDataFrame(per, f"_s {kind}, `{first}` array<long>, `{start}` array<long>, `{period}` array<long>, `{share}` array<long>, `{places}` array<array<long>>")
-    # Hash order spreads a source's documents; all columns take part, so only wholly equal rows share a place.
-    salt = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.simpleString() != "map"])
-    out = numbered(docs, source, sum(rows), salt, [salt, F.col(id_col)], no)
-    out = out.join(F.broadcast(side), out[source].eqNullSafe(side["_s"])).drop("_s")
+    if len(names) * sum(weight) * max(1, len(per_part)) > MAX_SCHEDULE:
+        raise ValueError(f"{len(names)} sources with {sum(weight)} shares in {len(per_part)} mixes: the schedules would exceed {MAX_SCHEDULE} numbers; use smaller shares")
+    per = []
+    for g, have in per_part.items():
+        blocks = [-(-have.get(s, 0) // block_rows) for s in names]
+        plan = phases(weight, blocks)
+        short = [(slot_of(plan, i, blocks[i] - 1), block_rows * blocks[i] - have[s]) for i, s in enumerate(names) if s in have]
+        for i, s in enumerate(names):
+            if s in have:
+                per.append((g, s, *map(list, zip(*[(p["sources"][i][0], p["start"], p["period"], p["sources"][i][1], p["sources"][i][2]) for p in plan if i in p["sources"]])), [x for x in short if x[1]]))
+    no, pair, first, start, period, share, places, lacks, block, position = unused(docs, "mix_row", "mix_pair", "mix_first", "mix_start", "mix_period", "mix_share", "mix_places", "mix_short", "mix_block", "mix_position")
+    kind, part_kind = docs.schema[source].dataType.simpleString(), "int" if within is None else docs.schema[within].dataType.simpleString()
+    side = spark.createDataFrame(per, f"_g {part_kind}, _s {kind}, `{first}` array<long>, `{start}` array<long>, `{period}` array<long>, `{share}` array<long>, `{places}` array<array<long>>, `{lacks}` array<struct<s:long,m:long>>")
+    if order is None:
+        # Hash order spreads a source's documents; all columns take part, so only wholly equal rows share a place.
+        salt = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.simpleString() != "map"])
+        sort = [salt, F.col(id_col)]
+    else:  # numbered() takes its buckets in turn, and these are runs of the order
+        salt, sort = F.floor(F.col(f"`{order}`") / NUMBER_ROWS), [F.col(f"`{order}`")]
+    out = numbered(docs.withColumn(pair, F.struct(part.alias("g"), F.col(f"`{source}`").alias("s"))), pair, sum(rows), salt, sort, no)
+    out = out.join(F.broadcast(side), out[pair]["g"].eqNullSafe(side["_g"]) & out[pair]["s"].eqNullSafe(side["_s"])).drop("_g", "_s", pair)
     j = F.floor(F.col(no) / block_rows)
     k = F.size(F.filter(first, lambda f: f <= j)) - 1
     at = lambda c: F.get(c, k)
     slot = at(start) + F.floor((j - at(first)) / at(share)) * at(period) + F.get(at(places), ((j - at(first)) % at(share)).cast("int"))
     out = out.withColumn(block, slot.cast("long"))
-    missing = F.lit(0).cast("long")
-    if short:
-        missing = F.aggregate(F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(m).cast("long").alias("m")) for s, m in short if m] or [F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("m"))]), F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["s"] < F.col(block), x["m"]).otherwise(0))
+    missing = F.aggregate(lacks, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["s"] < F.col(block), x["m"]).otherwise(0))
     out = out.withColumn(position, (F.col(block) * block_rows + F.col(no) % block_rows - missing).cast("long"))
-    return out.drop(no, first, start, period, share, places)
+    return out.drop(no, first, start, period, share, places, lacks)
 
 
 def in_mix_order(docs: DataFrame, rows_per_file: int = 20_000, **how) -> DataFrame:
@@ -113,4 +126,4 @@ def in_mix_order(docs: DataFrame, rows_per_file: int = 20_000, **how) -> DataFra
     mixed = mix(docs, **how)
     position = mixed.columns[-1]
     parts = max(1, -(-docs.count() // rows_per_file))
-    return mixed.repartition(parts, F.floor(F.col(position) / rows_per_file)).sortWithinPartitions(position).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed.repartitionByRange(parts, position).sortWithinPartitions(position).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_hot, numbered, table, unused
+from .mixing import mix
 
 SHARDS = 8
 #: Groups differenced together; a task holds no more at a time.
@@ -117,8 +118,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def into_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with shard and slot: the documents themselves, ready to be written ``partitionBy`` shard."""
+def into_shards(docs: DataFrame, shards: int = SHARDS, mixed: str | None = None, **how) -> DataFrame:
+    """``docs`` with shard and slot: the documents themselves, ready to be written ``partitionBy`` shard.
+
+    ``mixed`` names the position that ``mixing.mix`` gave the rows (it is dropped): the slots of every shard are then a
+    mix to the same weights (``how`` as for ``mix``), in which each source keeps the order of its positions.
+    """
     shard, slot, row = unused(docs, "shard", "slot", "row_no")
     key, = unused(docs, "text_key")
     keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
@@ -126,5 +131,8 @@ def into_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = table(assign_groups(groups, shards).withColumnRenamed("key", key).withColumnRenamed("shard", shard), "placed")
     total = docs.count()
     rows = join_hot(keyed, placed, key, "copies", total, F.xxhash64("doc_id"))
+    if mixed is not None:
+        out = mix(rows.drop(key), within=shard, order=mixed, **how)
+        return out.withColumnRenamed(out.columns[-1], slot).drop(out.columns[-2], mixed)
     salt = F.xxhash64("doc_id", key)
     return numbered(rows, shard, total, salt, [salt, F.col("doc_id")], slot).drop(key, row)

@@ -211,6 +211,31 @@ def test_mix_keeps_all_rows_and_follows_the_plan(spark):
         mixing.mix(d, shares={"a": 10**7})
 
 
+def test_slots_of_every_shard_follow_the_mix(spark):
+    rows = [(i, words(i, 5 + i % 7), "a" if i % 8 else "b" if i % 16 else None) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(d, block_rows=4)
+    place = {r.doc_id: r.mix_position for r in mixed.collect()}
+    got = sharding.into_shards(mixed.drop("mix_block"), mixed="mix_position", block_rows=4)
+    assert got.columns == [*d.columns, "shard", "slot"]
+    out = got.collect()
+    assert len(out) == 3000
+    rows_of = {s: sum(r.source == s for r in out) for s in ("a", "b", None)}
+    shares = dict(zip((None, "a", "b"), mixing.default_shares([rows_of[None], rows_of["a"], rows_of["b"]])))
+    for shard in range(8):
+        mine = sorted((r for r in out if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        for s in rows_of:
+            own = [place[r.doc_id] for r in mine if r.source == s]
+            assert own == sorted(own)
+        seen, left = dict.fromkeys(rows_of, 0), {s: sum(r.source == s for r in mine) for s in rows_of}
+        for n, r in enumerate(mine, 1):
+            seen[r.source] += 1
+            if any(left[s] - seen[s] < 4 for s in left):
+                break  # a source is about to end, and a new phase to begin
+            assert all(abs(seen[s] - n * shares[s] / sum(shares.values())) <= 4 for s in seen)
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------
 
 
