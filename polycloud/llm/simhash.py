@@ -25,8 +25,10 @@ LEAF = 64
 #: Node or member pairs handled by one numpy step; bounds memory only.
 STEP = 1 << 19
 #: Near-duplicate stage: words of the wide fingerprint, and the slices of it that the trie joins.
-WIDE_WORDS, SLICE_BITS, SLICES, SLICE_BUDGET = 8, 22, 12, 2
+WIDE_WORDS, SLICE_BITS, SLICES, SLICE_BUDGET = 8, 22, 16, 2
 SHINGLE, SIMILARITY = 5, 0.8
+#: Standard deviations that a candidate's differing bits may lie above those expected at SIMILARITY.
+MARGIN = 4.0
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
 
@@ -68,8 +70,8 @@ def fingerprint_batch(data: np.ndarray, offsets: np.ndarray, shingle: int = 4) -
     return _majority(h, doc, n)
 
 
-def wide_batch(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, words: int = WIDE_WORDS) -> np.ndarray:
-    """``words`` x 64 SimHash bits per text over alphanumeric words; (texts, words) uint64. A text of no words is zero."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct word shingles of each text, sorted within the text, and the n + 1 bounds; a text under ``shingle`` words is one shingle, one without words has none."""
     s, e = word_spans(data, offsets, ALNUM)
     first = np.searchsorted(s, offsets)
     n_words = np.diff(first)
@@ -82,6 +84,18 @@ def wide_batch(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, wo
     for k in range(shingle):
         at = np.minimum(a + k, len(h) - 1)
         g = mix(g + np.where(a + k < limit, h[at], np.uint64(k + 1)))
+    order = np.lexsort((g, doc))
+    g, doc = g[order], doc[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+    return g[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
+
+
+def wide_batch(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, words: int = WIDE_WORDS) -> np.ndarray:
+    """``words`` x 64 SimHash bits per text over its set of word shingles; (texts, words) uint64. A text of no words is zero."""
+    g, bounds = shingle_sets(data, offsets, shingle)
+    n = np.diff(bounds)
+    doc = np.repeat(np.arange(len(n)), n)
     return np.stack([_majority(mix(g ^ np.uint64(0xA0761D6478BD642F * (k + 1) % 2**64)), doc, n) for k in range(words)], 1) if len(n) else np.zeros((0, words), np.uint64)
 
 
@@ -248,31 +262,17 @@ def similar_components(docs: DataFrame, budget: int = 4, shingle: int = 4) -> Da
 
 
 def angle_budget(similarity: float, bits: int) -> int:
-    """Differing bits expected at a Jaccard similarity (sets of equal size share 2s / (1 + s) of their shingles), plus one standard deviation, so that a pair at the threshold is rather taken."""
+    """Differing bits expected at a Jaccard similarity (sets of equal size share 2s / (1 + s) of their shingles), plus MARGIN standard deviations: candidates, to be confirmed on the shingles themselves."""
     p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    return int(p * bits + (p * (1 - p) * bits) ** 0.5)
+    return int(p * bits + MARGIN * (p * (1 - p) * bits) ** 0.5)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, group): every row's wide fingerprint and the group of texts it is linked to at ``similarity`` or more.
+def candidates(nodes: DataFrame, budget: int, forest: bool) -> DataFrame:
+    """Pairs (u, v) of ``nodes(fp, root)`` of different roots that agree on a slice but for SLICE_BUDGET bits and differ in at most ``budget`` bits.
 
-    A 64-bit fingerprint within few bits only finds pairs far above 0.8, so the join runs over SLICES slices of a
-    512-bit fingerprint (SLICE_BITS wide, SLICE_BUDGET bits apart), each pair being confirmed on all 512 bits. A pair at
-    exactly 0.8 shares a slice with probability over 0.98.
+    All of them, or with ``forest`` at most one a member of a bucket, which touch every node that has a pair.
     """
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.BinaryType())])
-
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in batches_of(whole, text):
-                data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
-                raw = wide_batch(data, offsets, shingle).tobytes()
-                n = 8 * WIDE_WORDS
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)), pa.array([raw[i : i + n] for i in range(0, len(raw), n)], pa.binary())], names=["id", "fp"])
-
-    fp = table(docs.select(id_col, text).mapInArrow(wide, schema), "wide")
-    nodes = table(fp.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("least")), "nodes")
-    budget, plan = angle_budget(similarity, 64 * WIDE_WORDS), blocks(SLICE_BITS, SLICE_BUDGET)
+    plan = blocks(SLICE_BITS, SLICE_BUDGET)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,11 +283,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 buckets += [(np.int64((k * len(plan) + b) << 32) + (_rotated(x, off, SLICE_BITS) >> np.uint64(SLICE_BITS - w)).astype(np.int64)) for b, (off, w) in enumerate(plan)]
             for a in range(0, len(buckets), 6):
                 some = buckets[a : a + 6]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.concat_arrays([batch.column(0)] * len(some))], names=["bucket", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.concat_arrays([batch.column(0)] * len(some)), pa.concat_arrays([batch.column(1)] * len(some))], names=["bucket", "fp", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _buckets(batches, 1 << 16):
-            bucket = whole.column(0).to_numpy()
+            bucket, roots = whole.column(0).to_numpy(), whole.column(2).to_numpy()
             raw = np.frombuffer(b"".join(whole.column(1).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
             kind = bucket >> 32
             for t in np.unique(kind).tolist():
@@ -295,25 +295,96 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 off, width = plan[t % len(plan)]
                 value = _rotated(_slice(raw[mine], t // len(plan)), off, SLICE_BITS)
                 order = np.lexsort((value, bucket[mine]))
-                value, w = value[order], raw[mine[order]]
+                value, w, root = value[order], raw[mine[order]], roots[mine[order]]
                 parent = np.arange(len(value))
+                pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
-                def found(i: np.ndarray, j: np.ndarray, parent=parent, w=w) -> None:
-                    apart = parent[i] != parent[j]
+                def found(i: np.ndarray, j: np.ndarray, parent=parent, w=w, root=root, pairs=pairs) -> None:
+                    apart = (parent[i] != parent[j]) & (root[i] != root[j])
                     i, j = i[apart], j[apart]
                     near = np.bitwise_count(w[i] ^ w[j]).sum(1) <= budget
-                    union_arrays(parent, i[near], j[near])
+                    if forest:
+                        union_arrays(parent, i[near], j[near])
+                    else:
+                        pairs.append((i[near], j[near]))
 
                 trie_self_join(value, _bounds(bucket[mine][order]), width, SLICE_BITS, SLICE_BUDGET, found)
-                at = np.flatnonzero(parent != np.arange(len(parent)))
-                give = lambda rows, w=w: pa.array([w[r].tobytes() for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([give(at), give(parent[at])], names=["u", "v"])
+                if forest:
+                    at = np.flatnonzero(parent != np.arange(len(parent)))
+                    pairs.append((at, parent[at]))
+                give = lambda rows, w=w: pa.array([w[r].tobytes() for r in rows.tolist()], pa.binary())
+                for i, j in pairs:
+                    for a in range(0, len(i), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([give(i[a : a + (1 << 16)]), give(j[a : a + (1 << 16)])], names=["u", "v"])
 
-    links = nodes.select("fp").mapInArrow(slices, "bucket long, fp binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u binary, v binary")
-    roots = components(links)
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root"))
-    named = table(joined.join(joined.groupBy("root").agg(F.min("least").alias("keep")), "root").select("fp", "copies", "keep", F.col("root").alias("group")), "groups")
-    return join_hot(fp, named, "fp", "copies", fp.count(), F.xxhash64("id"))
+    out = nodes.select("fp", "root").mapInArrow(slices, "bucket long, fp binary, root long").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u binary, v binary")
+    return out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(u, v)`` whose sets of shingles have Jaccard similarity ``similarity`` or more; ``sets(fp, shingles)``."""
+    a = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([c.values.to_numpy()[p:q] for p, q in zip(c.offsets[:-1].to_pylist(), c.offsets[1:].to_pylist())] for c in (batch.column(2), batch.column(3)))
+            both = np.array([len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)], np.float64)
+            size = np.array([len(s) + len(t) for s, t in zip(x, y)], np.float64)
+            near = both >= similarity * (size - both) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, str, DataFrame]:
+    """The documents written with a row number, the number's column, and (fp, group, keep) of every fingerprint.
+
+    Texts are linked whose sets of five-word shingles have Jaccard similarity ``similarity`` or more; a group is what links
+    connect, ``keep`` its row with the smallest doc_id. Candidates come from SLICES slices (SLICE_BITS wide, SLICE_BUDGET
+    bits apart) of a 512-bit fingerprint and a wide bound on all its bits; every link is confirmed on the shingles. A pair at
+    exactly 0.8 shares no slice with probability 0.002, and by the binomial estimate exceeds the bound with less than 0.0001.
+
+    First a forest of the candidates is confirmed, then all candidates between groups that are still apart, among the texts
+    that have any: pairs inside a large group are never listed.
+    """
+    row, fp = unused(docs, "row_no", "wide_fp")
+    schema = T.StructType([*docs.schema, T.StructField(row, T.LongType()), T.StructField(fp, T.BinaryType())])
+    i_text = docs.columns.index("text")
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in batches_of(whole, "text"):
+                data, offsets = text_bytes(batch.column(i_text))
+                raw = wide_batch(data, offsets, shingle).tobytes()
+                n = 8 * WIDE_WORDS
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([raw[i : i + n] for i in range(0, len(raw), n)], pa.binary())], names=[*batch.schema.names, fp])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in batches_of(whole, "text"):
+                g, bounds = shingle_sets(*text_bytes(batch.column(1)), shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(g.view(np.int64)))], names=["fp", "shingles"])
+
+    all_rows = table(docs.withColumn(row, F.monotonically_increasing_id()).mapInArrow(wide, schema), "wide")
+    light = all_rows.select(F.col(row).alias("_row"), F.col("doc_id").alias("id"), F.col(fp).alias("fp"))
+    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "_row"))).alias("least")
+    nodes = table(light.groupBy("fp").agg(least, F.min("_row").alias("_any")), "nodes")
+    budget = angle_budget(similarity, 64 * WIDE_WORDS)
+    tree = table(candidates(nodes.select("fp", F.xxhash64("fp").alias("root")), budget, True), "forest")
+    ends = tree.select(F.col("u").alias("fp")).unionAll(tree.select("v")).distinct()
+    chosen = nodes.join(ends, "fp", "left_semi").select(F.col("_any").alias("_row"))
+    sets = table(all_rows.join(chosen, all_rows[row] == chosen["_row"], "left_semi").select(F.col(fp).alias("fp"), "text").mapInArrow(shingles, "fp binary, shingles array<long>"), "shingles")
+    sure = table(confirmed(tree, sets, similarity), "links")
+    roots = components(sure)
+    apart = sets.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("root"))
+    rest = candidates(apart, budget, False).join(tree, ["u", "v"], "left_anti")
+    more = table(confirmed(rest, sets, similarity), "links")
+    roots = components(sure.unionAll(more))
+    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    keep = joined.groupBy("root").agg(F.min("least").alias("keep"))
+    named = table(joined.join(keep, "root").select("fp", F.col("keep._row").alias("keep"), F.col("root").alias("group")), "groups")
+    return all_rows, row, named
 
 
 def _slice(raw: np.ndarray, k: int) -> np.ndarray:
@@ -330,9 +401,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id cannot be told apart, so they stay; of rows that repeat a doc_id within a group one stays.
     """
-    groups = near_duplicates(docs)
-    kept = groups.filter("id = keep").select("id").distinct()
-    extra, = unused(docs, "n")
-    out = docs.join(kept, docs["doc_id"] == kept["id"], "inner").select(*[docs[c] for c in docs.columns])
-    one = out.withColumn(extra, F.monotonically_increasing_id()).dropDuplicates(["doc_id"]).drop(extra)
-    return one.unionByName(docs.filter("doc_id is null"))
+    rows, row, groups = near_duplicates(docs)
+    one = rows.join(groups.select("keep").distinct(), rows[row] == F.col("keep"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(rows.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
