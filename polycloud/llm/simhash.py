@@ -402,5 +402,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id cannot be told apart, so they stay; of rows that repeat a doc_id within a group one stays.
     """
     rows, row, groups = near_duplicates(docs)
-    one = rows.join(groups.select("keep").distinct(), rows[row] == F.col("keep"), "left_semi").dropDuplicates(["doc_id"])
+    one = rows.join(groups.select("keep").distinct(), rows[row] == F.col("keep"), "left_semi")
     return one.unionByName(rows.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -346,6 +346,12 @@ def test_near_duplicate_stage_cuts_at_the_similarity(spark):
     assert len(set(got) - want) <= 1  # the slices miss a pair at 0.8 with probability 0.002
 
 
+def test_rows_of_one_id_replace_each_other_within_a_group_only(spark):
+    a, b = words(60_000, 100), words(60_001, 100)
+    d = docs_of(spark, [(1, a), (1, b), (1, b), (2, a), (3, b)])
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(d).collect()) == sorted([(1, a), (1, b)])
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------
 
 
