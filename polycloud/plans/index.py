@@ -23,6 +23,8 @@ from .params import IndexParams, SearchParams
 VERSION = 1
 #: A bounded training set of emd_routes prototypes.
 PROTOTYPE_POOL = 2000
+#: Levels of a tree; what is still too large for a leaf there becomes one all the same.
+MAX_LEVELS = 12
 
 
 @dataclass
@@ -127,7 +129,7 @@ def _build_tree(index: Index, depth: int | None = None, spill: tuple[int, int] =
         level += 1
         one = depth == 1
         big = {n: c for n, c in counts.items() if (one and n == 0) or c > p.max_leaf}
-        if not big or (depth and level > depth) or level > 12:
+        if not big or (depth and level > depth):
             break
         ks = {n: (math.ceil(math.sqrt(c)) if one and not p.k_per_level else min(c, p.k_per_level) if one else _children(c, p)) for n, c in big.items()}
         centers = cluster.train(at, ks, big, p.metric, p.niters, p.center_size, p.mpcc, p.seed + level, p.assign_on)
@@ -142,7 +144,7 @@ def _build_tree(index: Index, depth: int | None = None, spill: tuple[int, int] =
         here = {r.node_id: (r.n, r.parent_id) for r in moved.groupBy("node_id").agg(F.count("*").alias("n"), F.first("parent_id").alias("parent_id")).collect()}
         # A split that moves everything into one child is no split: that child stays a leaf.
         stuck = {n for n, (c, up) in here.items() if c == counts[up]}
-        final = one or (depth and level == depth)
+        final = one or (depth and level == depth) or level == MAX_LEVELS
         open_ = {n: c for n, (c, _) in here.items() if c > p.max_leaf and n not in stuck and not final}
         size = F.broadcast(spark.createDataFrame([(n, c, n not in open_) for n, (c, _) in here.items()], "node_id long, n_clouds long, is_leaf boolean"))
         named = centers.join(start, "node_id").select((F.col("first") + F.col("child")).alias("node_id"), F.col("node_id").alias("parent_id"), F.lit(level).alias("level"), F.col("vectors").alias("center"))

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.errors import PythonException, SparkRuntimeException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from polycloud.functions import register
@@ -10,6 +13,7 @@ from polycloud.functions import vector as V
 from polycloud.operators import clouds as C
 from polycloud.operators import cluster, evaluate, search
 from polycloud.plans import fixtures as X
+from polycloud.plans import index as plans
 from polycloud.plans.index import Index, build
 from polycloud.plans.params import IndexParams, SearchParams
 from polycloud.streaming.query_stream import serve
@@ -77,6 +81,19 @@ def test_families_find_most_neighbours(spark, sf_dir, family):
     assert evaluate.mean_recall(found, truth, 5).first().recall_k_k >= 0.6
 
 
+def test_a_tree_that_peels_slowly_posts_every_cloud(spark, monkeypatch):
+    def peel(at, centers, metric, top=1):  # all but one cloud of a node stay together
+        last = F.max("cloud_id").over(Window.partitionBy("node_id"))
+        return at.select("node_id", "cloud_id", (F.col("cloud_id") == last).cast("int").alias("child"), F.lit(0.0).alias("distance"), "vectors")
+
+    monkeypatch.setattr(plans, "cluster", SimpleNamespace(**{**vars(cluster), "assign": peel}))
+    c = clouds_of(spark, [[[float(i)]] for i in range(40)])
+    index = build(c, IndexParams.of("cluster_tree", metric="l2", max_leaf=2, niters=1))
+    assert index.height() == 12  # the cap is met
+    assert index.flat_clustering().select("cloud_id").distinct().count() == 40
+    assert index.tables["nodes"].filter("not is_leaf and level = 12").count() == 0
+
+
 def test_save_load_and_introspection(spark, sf_dir, tmp_path):
     q, c = X.held_out(X.clouds8(spark, sf_dir))
     index = build(c, IndexParams.of("cluster_tree", max_leaf=12, niters=1))
