@@ -326,7 +326,7 @@ _FULL = SearchParams(k=10, nprobes=10_000, num_rerank=100_000, beam=4096)
 def _family(spark: SparkSession, sf_dir: str, family: str, sp: SearchParams, **ip) -> DataFrame:
     c = X.clouds8(spark, sf_dir)
     q = X.as_queries(c)
-    settings = {"max_leaf": 12, "niters": 2, "prototypes": 8, "bucket": 100_000 if sp is _FULL else 24, "shard_rows": 512} | ip
+    settings = {"max_leaf": 12, "niters": 2, "prototypes": 8, "bucket": 24, "shard_rows": 512} | ip
     return _rounded(build(c, IndexParams.of(family, **settings)).search(q, sp))
 
 

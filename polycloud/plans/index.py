@@ -188,7 +188,7 @@ def _build_pooled_scan(index: Index) -> None:
 
 
 def _build_emd_routes(index: Index) -> None:
-    """Prototypes by k-center under EMD over a bounded pool; buckets are each prototype's nearest clouds."""
+    """Prototypes by k-center under EMD over a bounded pool; buckets are each prototype's nearest clouds, and every cloud that is in none goes to its nearest prototype's."""
     p, base = index.params, index.tables["clouds"]
     pool = C.subsample(base, PROTOTYPE_POOL, "cloud_id", p.seed).orderBy("cloud_id").collect()
     vectors = [np.array(r.vectors, np.float64) for r in pool]
@@ -196,7 +196,12 @@ def _build_emd_routes(index: Index) -> None:
     spark = base.sparkSession
     protos = spark.createDataFrame([(i, pool[c].cloud_id, radius[i], pool[c].vectors) for i, c in enumerate(chosen)], "proto_id long, train_row long, cover_radius double, vectors array<array<float>>")
     buckets = search.exact_top_k(protos.select(F.col("proto_id").alias("query_id"), "vectors"), base, p.bucket, p.metric)
-    index.tables |= {"prototypes": protos, "buckets": _persisted(buckets.select(F.col("query_id").alias("proto_id"), "rank", "cloud_id", "distance"))}
+    near = _persisted(buckets.select(F.col("query_id").alias("proto_id"), "rank", "cloud_id", "distance"))
+    # As a query is routed: by the distance from the cloud to the prototype.
+    left = base.join(near.select("cloud_id"), "cloud_id", "left_anti").select(F.lit(0).cast("long").alias("node_id"), "cloud_id", "vectors")
+    centers = cluster.centers_of(protos.select(F.lit(0).cast("long").alias("node_id"), F.col("proto_id").alias("child"), "vectors"))
+    placed = cluster.assign(left, centers, p.metric).select(F.col("child").cast("long").alias("proto_id"), F.lit(None).cast("int").alias("rank"), "cloud_id", "distance")
+    index.tables |= {"prototypes": protos, "buckets": _persisted(near.unionByName(placed))}
 
 
 _BUILD = {

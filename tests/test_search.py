@@ -94,6 +94,23 @@ def test_a_tree_that_peels_slowly_posts_every_cloud(spark, monkeypatch):
     assert index.tables["nodes"].filter("not is_leaf and level = 12").count() == 0
 
 
+def test_emd_routes_reach_every_cloud(spark, sf_dir):
+    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    index = build(c, IndexParams.of("emd_routes", prototypes=4, bucket=6))
+    assert index.tables["buckets"].select("cloud_id").distinct().count() == c.count()
+    full = index.search(q, SearchParams(k=5, nprobes=4, num_rerank=10_000))
+    assert rows_of(full) == rows_of(search.exact_top_k(q, c, 5))
+
+
+def test_emd_routes_recall(spark, sf_dir):
+    q, c = X.held_out(X.clouds8(spark, sf_dir))
+    truth = search.exact_top_k(q, c, 10)
+    index = build(c, IndexParams.of("emd_routes", prototypes=8, bucket=24))
+    for n in (4, 6):
+        found = index.search(q, SearchParams(k=10, nprobes=n, num_rerank=100))
+        assert evaluate.mean_recall(found, truth, 10).first().recall_k_k >= 0.9
+
+
 def test_save_load_and_introspection(spark, sf_dir, tmp_path):
     q, c = X.held_out(X.clouds8(spark, sf_dir))
     index = build(c, IndexParams.of("cluster_tree", max_leaf=12, niters=1))
