@@ -1,8 +1,8 @@
 """License notices by conditional compression.
 
 A candidate block (a line, or adjacent lines, with the vocabulary of notices) is compressed alone and with each template
-as a raw zstandard dictionary; the template that shrinks it most is proposed, and confirmed by the exact differences in
-wording between the block and the template.
+as a raw zstandard dictionary; the templates that shrink it are proposed, and the best is confirmed by the exact differences
+in wording between the block and the template. What lies outside its place is then looked at in the same way.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "Copyright. All rights reserved."),
 )
 CUE = re.compile(r"(?i)licen[cs]ed?|copyright|spdx|redistribut|rights reserved|hereby granted")
-#: Templates confirmed by wording, in order of their size reduction.
-RANKED = 4
 #: Least share of common words for a block to be a variant of a template.
 VARIANT = 0.7
 #: Longer lines are cut at sentence ends around each cue.
@@ -91,7 +89,7 @@ class Scanner:
         base = len(self.alone.compress(raw))
         saved = sorted(((base - len(c.compress(raw)), -i) for i, (_, _, c) in enumerate(self.entries)), reverse=True)
         best = None
-        for gain, i in saved[:RANKED]:
+        for gain, i in saved:
             if gain <= 0:
                 break
             name, want, _ = self.entries[-i]
@@ -115,11 +113,21 @@ class Scanner:
             self.seen[block] = out
         return out
 
+    def notices(self, block: str, at: int) -> Iterator[dict]:
+        """Every notice of a block that begins at ``at``: the best one, then those of the text before and after it."""
+        rest = [(block, at)]
+        while rest:
+            part, a = rest.pop()
+            if got := self.classify(part):
+                yield {"license": got[0], "start": a + got[4], "end": a + got[5], "kind": got[1], "saved": got[2], "differences": got[3]}
+                rest += [(p, b) for p, b in ((part[: got[4]], a), (part[got[5] :], a + got[5])) if CUE.search(p)]
+
     def scan(self, text: str | None) -> list[dict]:
-        out = []
+        out: list[dict] = []
         for a, b in self.blocks(text or ""):
-            if got := self.classify((text or "")[a:b]):
-                out.append({"license": got[0], "start": a + got[4], "end": a + got[5], "kind": got[1], "saved": got[2], "differences": got[3]})
+            for found in sorted(self.notices((text or "")[a:b], a), key=lambda x: x["start"]):
+                if not out or found["start"] >= out[-1]["end"]:  # blocks of a long line may overlap
+                    out.append(found)
         return out
 
 

@@ -419,6 +419,17 @@ def test_license_notices(spark):
     assert texts[9][s["start"] : s["end"]].strip() == "Released under the MIT License."
 
 
+def test_every_notice_of_a_block_is_found(spark):
+    mit, by, gpl = "Released under the MIT License.", "Licensed under CC BY 4.0.", "This work is licenced under the GNU General Public Licence, version 3."
+    texts = [f"{mit}\n{by}\nbody", f"{mit} {by}", f"{by}\n{gpl}", f"{mit} {by} {gpl}", f"{mit}\n{mit}", "body " * 200 + f"{mit} {by} " + "body " * 200]
+    got = {r.doc_id: r for r in licenses.report(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].licenses for i in range(6)] == ["CC-BY-4.0,MIT", "CC-BY-4.0,MIT", "CC-BY-4.0,GPL-3.0", "CC-BY-4.0,GPL-3.0,MIT", "MIT", "CC-BY-4.0,MIT"]
+    assert [got[i].n_notices for i in range(6)] == [2, 2, 2, 3, 2, 2]
+    for found, t in ((licenses.Scanner().scan(t), t) for t in texts):
+        assert all(t[x["start"] : x["end"]] in (mit, by, gpl) for x in found)
+        assert all(x["end"] <= y["start"] for x, y in zip(found, found[1:]))
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------
 
 
