@@ -1,6 +1,6 @@
 """Toxicity by lexicon induction.
 
-Words of a labelled sample form a graph weighted by positive pointwise mutual information of their co-occurrence within
+The words of all documents form a graph weighted by positive pointwise mutual information of their co-occurrence within
 WINDOW words. Random walks with restart from words that labels mark as toxic, and from words they mark as clean, give
 each word a polarity; a document is scored from the polarities of its words, put on a 0..1 scale by a logistic fit.
 """
@@ -12,14 +12,17 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ALNUM, LOWER, batches_of, table, text_bytes, unused, word_hashes, word_spans
 
-#: Labelled rows that the lexicon is fitted on, at most about (chosen by hash of doc_id); everything scored is scored whole.
-MAX_FIT_ROWS = 6_000
+#: Labelled rows that seeds and scale are fitted on, at most about (chosen by hash of doc_id); words and their pairs are counted in all documents.
+MAX_FIT_ROWS = 10_000
+#: Larger graphs are walked by the executors, smaller ones by the driver; and the distinct pairs a task holds before it passes them on.
+LOCAL_EDGES, HELD_PAIRS = 300_000, 3_000_000
 #: Documents a term must occur in, and the share of documents beyond which it is a function word.
 MIN_DOCS, MAX_SHARE = 3, 0.2
 WINDOW, RESTART, STEPS = 5, 0.15, 30
@@ -39,7 +42,7 @@ class Lexicon:
     stems: dict[int, tuple[np.ndarray, np.ndarray]]
     beta: np.ndarray
     #: The words themselves, for reading the lexicon; scoring needs only hashes and does not ship them.
-    words: list[bytes]
+    words: pa.Array
 
 
 def _lookup(sorted_hashes: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,16 +95,66 @@ def _walk(rows: np.ndarray, cols: np.ndarray, w: np.ndarray, n: int, seed: np.nd
     return x
 
 
+def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+
+
+def _far_walks(edges: DataFrame, size: int, seeds: list[np.ndarray]) -> list[np.ndarray]:
+    """The walks of ``_walk`` on ``edges(code, c)`` of any number: a pass over them a step, of which sums per word reach the driver."""
+    spark = edges.sparkSession
+    i, j = F.shiftright("code", 32), F.col("code").bitwiseAND(0xFFFFFFFF)
+    both = edges.select(F.explode(F.array(F.struct(i.alias("i"), j.alias("j")), F.struct(j.alias("i"), i.alias("j")))).alias("e"), "c").select("e.i", "e.j", "c")
+    arcs = table(both.repartition("j").sortWithinPartitions("j"), "arcs")
+
+    def sums(columns: int, of) -> np.ndarray:
+        """For each word, the sums of ``of(i, j, c)`` over its arcs."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                i, j, c = (batch.column(k).to_numpy() for k in range(3))
+                if len(j):
+                    at = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(j[at]), *[pa.array(np.add.reduceat(v, at)) for v in of(i, j, c.astype(np.float64))]], names=["j", *"ab"[:columns]])
+
+        out = np.zeros((columns, size))
+        got = arcs.mapInArrow(run, "j long, " + ", ".join(f"{x} double" for x in "ab"[:columns])).toArrow()
+        for k in range(columns):
+            out[k] = np.bincount(got["j"].to_numpy(), got["ab"[k]].to_numpy(), size)
+        return out
+
+    mass = sums(1, lambda i, j, c: [c])[0]
+    sent = spark.sparkContext.broadcast(mass)
+    total = float(mass.sum())
+
+    def weight(i, j, c):
+        m = sent.value
+        return np.maximum(np.log(c * total / np.maximum(m[i] * m[j], 1e-12)), 0.0)
+
+    out = np.maximum(sums(1, lambda i, j, c: [weight(i, j, c)])[0], 1e-300)
+    start = np.stack([s / max(s.sum(), 1e-12) for s in seeds])
+    x = start.copy()
+    for _ in range(STEPS):
+        now = spark.sparkContext.broadcast(x / out)
+        moved = sums(2, lambda i, j, c, now=now: list(now.value[:, i] * weight(i, j, c)))
+        now.destroy()
+        moved += start * (1 - moved.sum(1, keepdims=True))
+        x = RESTART * start + (1 - RESTART) * moved
+    return list(x)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Lexicon:
-    """The lexicon from ``labels(doc_id, toxic)`` and the texts of at most about ``max_rows`` of them."""
+    """The lexicon from all of ``docs`` and ``labels(doc_id, toxic)``; at most about ``max_rows`` labels give the seeds and the scale."""
     spark = docs.sparkSession
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.filter("toxic in (0, 1)")
     share = min(1.0, max_rows / max(1, marks.count()))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"))
     # ``chosen`` is bounded by max_rows, so it may be broadcast.
-    sample = table(docs.select("doc_id", "text").filter("doc_id is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("_y").alias("y"), "text"), "sample")
-    total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left").select(F.col("_y").alias("y"), "text")
+    sample = table(marked.filter("y is not null"), "sample")
+    labelled, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    total = docs.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,89 +166,112 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Lex
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
                 h, doc, at = h[new], doc[new], at[new]
-                y = batch.column(0).to_numpy()[doc]
+                mark = batch.column(0).fill_null(-1).to_numpy()[doc]
                 begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
                 n = np.diff(np.append(begin, len(h)))
-                t = np.add.reduceat(y, begin) if len(begin) else np.zeros(0, np.int64)
+                m, t = ((np.add.reduceat(x.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)) for x in (mark >= 0, mark == 1))
                 word = [LOWER[data[s[i] : e[i]]].tobytes() for i in at[begin].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(t, pa.int64())], names=["h", "word", "n", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(t, pa.int64())], names=["h", "word", "n", "m", "t"])
 
-    stats = sample.mapInArrow(count, "h long, word binary, n long, t long").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    # n: documents with the word; m, t: labelled ones, toxic ones.
+    stats = marked.mapInArrow(count, "h long, word binary, n long, m long, t long").groupBy("h").agg(F.min("word").alias("word"), *[F.sum(x).alias(x) for x in "nmt"])
     stats = table(stats, "words")
-    vocabulary = stats.filter((F.col("n") >= MIN_DOCS) & ((F.col("n") <= max(MIN_DOCS, int(MAX_SHARE * total))) | (F.col("t") > 0.8 * F.col("n")))).toArrow()
+    vocabulary = stats.filter((F.col("n") >= MIN_DOCS) & ((F.col("n") <= max(MIN_DOCS, int(MAX_SHARE * total))) | (F.col("t") > 0.8 * F.col("m")))).toArrow()
     h = vocabulary["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    h, n, t = h[order], vocabulary["n"].to_numpy().astype(np.float64)[order], vocabulary["t"].to_numpy().astype(np.float64)[order]
-    raws = vocabulary["word"].take(pa.array(order)).to_pylist()
+    h = h[order]
+    n, m, t = (vocabulary[x].to_numpy().astype(np.float64)[order] for x in "nmt")
+    raws = vocabulary["word"].take(pa.array(order)).combine_chunks()
     del vocabulary
     size = len(h)
-    if not size or not toxic or toxic == total:
-        base = (toxic + 1) / (total + 2)
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), {}, np.array([np.log(base / (1 - base)), 0, 0, 0, 0, 0]), [])
-    base = toxic / total
+    tested = m >= MIN_DOCS
+    if not tested.any() or not toxic or toxic == labelled:
+        base = (toxic + 1) / (labelled + 2)
+        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), {}, np.array([np.log(base / (1 - base)), 0, 0, 0, 0, 0]), pa.array([], pa.binary()))
+    base = toxic / labelled
     stem_z: dict[int, dict[bytes, float]] = {}
     for k in STEMS:
-        per = stats.filter(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("stem")).agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count("*").alias("m"))
+        per = stats.filter((F.length("word") > k) & (F.col("m") > 0)).groupBy(F.substring("word", 1, k).alias("stem")).agg(F.sum("m").alias("n"), F.sum("t").alias("t"), F.count("*").alias("m"))
         # Occurrences in labelled documents pay for every row kept, so their number is bounded by the sample.
         per = per.filter((F.col("m") > 1) & (F.col("t") >= STEM_PURITY * F.col("n")) & (F.col("t") - F.col("n") * base >= STEM_Z * F.sqrt(F.col("n") * base * (1 - base) + 0.25)))
         stem_z[k] = {bytes(r.stem): r.t / r.n for r in per.collect()}
-    z = (t - n * base) / np.sqrt(n * base * (1 - base) + 0.25)
+    # The words of the vocabulary that a toxic beginning begins, per beginning.
+    members: dict[int, dict[bytes, np.ndarray]] = {}
+    by_stem = np.zeros(size, bool)
+    for k in STEMS:
+        starts, long = pc.binary_slice(raws, 0, k), pc.greater(pc.binary_length(raws), k)
+        hit = np.flatnonzero(pc.and_(long, pc.is_in(starts, pa.array(list(stem_z[k]), pa.binary()))).to_numpy(zero_copy_only=False))
+        by_stem[hit] = True
+        own: dict[bytes, list[int]] = {}
+        for x, g in zip(hit.tolist(), starts.take(pa.array(hit)).to_pylist()):
+            own.setdefault(g, []).append(x)
+        members[k] = {g: np.array(x) for g, x in own.items()}
+    rate = t / np.maximum(m, 1)
+    z = (t - m * base) / np.sqrt(m * base * (1 - base) + 0.25)
     # Of so many words, some stand out by chance: the bar follows the largest of that many normal draws.
-    bad, good = np.where((z >= np.sqrt(2 * np.log(size + 1)) - 0.3) & (t / n > 2.5 * base), z, 0.0), np.where(z < -0.5, -z, 0.0)
-    by_stem = np.array([any(len(w) > k and w[:k] in stem_z[k] for k in STEMS) for w in raws])
-    bad = np.where((bad == 0) & by_stem & (t / n > base), np.maximum(z, 1.0), bad)
+    bad, good = np.where(tested & (z >= np.sqrt(2 * np.log(tested.sum() + 1)) - 0.3) & (rate > 2.5 * base), z, 0.0), np.where(tested & (z < -0.5), -z, 0.0)
+    bad = np.where((bad == 0) & by_stem & (rate > base), np.maximum(z, 1.0), bad)
     good = np.where(bad > 0, 0.0, good)
     if not bad.any():
-        bad = np.where(z == z.max(), 1.0, 0.0)
+        bad = np.where(tested & (z == z[tested].max()), 1.0, 0.0)
     if not good.any():
-        good = np.where(z <= np.median(z), 1.0, 0.0)
+        good = np.where(tested & (z <= np.median(z[tested])), 1.0, 0.0)
 
     shipped = spark.sparkContext.broadcast(h)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
+        codes, counts, held = [], [], 0
         for whole in batches:
             for batch in batches_of(whole, "text"):
-                _, _, _, first, g = _tokens(batch.column(1))
+                _, _, _, first, g = _tokens(batch.column(0))
                 k, ok = _lookup(known, np.arange(len(known), dtype=np.float64), g)
                 k = np.where(ok, k, -1).astype(np.int64)
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
-                codes = []
+                near = []
                 for d in range(1, WINDOW + 1):
                     a, b = k[:-d], k[d:]
                     use = (a >= 0) & (b >= 0) & (a != b) & (doc[:-d] == doc[d:])
-                    codes.append((np.minimum(a, b)[use] << 32) | np.maximum(a, b)[use])
-                code, c = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c, pa.int64())], names=["code", "c"])
-
-    # An edge must be seen twice; chance pairs of the sample do not reach the driver.
-    edges = sample.mapInArrow(pairs, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).filter("c >= 2").toArrow()
-    code, c = edges["code"].to_numpy(), edges["c"].to_numpy().astype(np.float64)
-    del edges
-    i, j = code >> 32, code & 0xFFFFFFFF
-    mass = np.bincount(i, c, size) + np.bincount(j, c, size)
-    pmi = np.log(c * mass.sum() / np.maximum(mass[i] * mass[j], 1e-12))
-    up = pmi > 0
-    rows, cols, w = np.concatenate([i[up], j[up]]), np.concatenate([j[up], i[up]]), np.concatenate([pmi[up]] * 2)
-    p, q = _walk(rows, cols, w, size, bad), _walk(rows, cols, w, size, good)
+                    near.append((np.minimum(a, b)[use] << 32) | np.maximum(a, b)[use])
+                code, c = np.unique(np.concatenate(near), return_counts=True)
+                codes, counts, held = [*codes, code], [*counts, c], held + len(code)
+                if held > HELD_PAIRS:
+                    code, c = _merged(codes, counts)
+                    codes, counts, held = [code], [c], len(code)
+                    if held > HELD_PAIRS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c, pa.int64())], names=["code", "c"])
+                        codes, counts, held = [], [], 0
+        if codes:
+            code, c = _merged(codes, counts)
+            for a in range(0, len(code), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + (1 << 18)]), pa.array(c[a : a + (1 << 18)], pa.int64())], names=["code", "c"])
+
+    edges = table(docs.select("text").mapInArrow(pairs, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "edges")
+    if edges.count() > LOCAL_EDGES:
+        p, q = _far_walks(edges, size, [bad, good])
+    else:
+        near = edges.toArrow()
+        code, c = near["code"].to_numpy(), near["c"].to_numpy().astype(np.float64)
+        i, j = code >> 32, code & 0xFFFFFFFF
+        mass = np.bincount(i, c, size) + np.bincount(j, c, size)
+        pmi = np.log(c * mass.sum() / np.maximum(mass[i] * mass[j], 1e-12))
+        up = pmi > 0
+        rows, cols, w = np.concatenate([i[up], j[up]]), np.concatenate([j[up], i[up]]), np.concatenate([pmi[up]] * 2)
+        p, q = _walk(rows, cols, w, size, bad), _walk(rows, cols, w, size, good)
     # Visits well below those of a typical toxic seed say nothing.
     polarity = (p - q) / (p + q + 0.3 * np.median(p[bad > 0]))
     stems = {}
     for k in STEMS:
-        members: dict[bytes, list[int]] = {}
-        for x, raw in enumerate(raws):
-            if len(raw) > k and raw[:k] in stem_z[k]:
-                members.setdefault(raw[:k], []).append(x)
         if stem_z[k]:
             names = list(stem_z[k])
-            value = [float(np.average(polarity[members[g]], weights=n[members[g]])) if g in members else 2 * stem_z[k][g] - 1 for g in names]
+            value = [float(np.average(polarity[members[k][g]], weights=n[members[k][g]])) if g in members[k] else 2 * stem_z[k][g] - 1 for g in names]
             buf = np.frombuffer(b"".join(names), np.uint8)
             at = np.arange(len(names)) * k
             sh = word_hashes(buf, at, at + k)
             o = np.argsort(sh)
             stems[k] = (sh[o], np.array(value)[o])
     lex = Lexicon(h, polarity, stems, np.zeros(6), raws)
-    sent = spark.sparkContext.broadcast(replace(lex, words=[]))
+    sent = spark.sparkContext.broadcast(replace(lex, words=None))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +299,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def score(docs: DataFrame, lex: Lexicon, carry: list[str] | None = None, text: str = "text", name: str = "score") -> DataFrame:
     """The columns ``carry`` (all by default) plus the score in 0..1; null and empty texts get the score of no evidence."""
     carry = docs.columns if carry is None else carry
-    sent = docs.sparkSession.sparkContext.broadcast(replace(lex, words=[]))
+    sent = docs.sparkSession.sparkContext.broadcast(replace(lex, words=None))
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -407,6 +407,31 @@ def test_toxicity_separates_held_out_rows(spark):
     assert {x.predicted for x in toxicity.report(d, lab.filter("toxic = 0")).collect()} == {0}
 
 
+def test_unlabelled_documents_teach_the_lexicon(spark, monkeypatch):
+    r = random.Random(3)
+    bad = ["vile", "scumbag", "filthy", "moronic", "lowlife"]
+    rows, labels = [], []
+    for i in range(400):
+        w = words(i, 40).split()
+        y = int(i % 5 == 0)
+        for k in r.sample(range(40), 5 * y):
+            w[k] = r.choice(bad)
+        rows.append((i, " ".join(w)))
+        labels.append((i, y))
+    for i in range(400, 480):  # no label knows this word, but its neighbours are known
+        w = words(i, 40).split()
+        w[10:15] = [r.choice(bad), r.choice(bad), "zorgon", r.choice(bad), r.choice(bad)]
+        rows.append((i, " ".join(w)))
+    d, lab = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    near = toxicity.fit(d, lab)
+    polarity = dict(zip(near.words.to_pylist(), near.polarity))
+    assert polarity[b"zorgon"] > max(0.1, np.quantile(near.polarity, 0.9))
+    monkeypatch.setattr(toxicity, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(toxicity, "HELD_PAIRS", 100)
+    far = toxicity.fit(d, lab)
+    assert np.array_equal(far.hashes, near.hashes) and np.allclose(far.polarity, near.polarity, atol=1e-9)
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------
 
 
