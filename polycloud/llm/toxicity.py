@@ -3,71 +3,80 @@
 The words of all documents form a graph weighted by positive pointwise mutual information of their co-occurrence within
 WINDOW words. Random walks with restart from words that labels mark as toxic, and from words they mark as clean, give
 each word a polarity; a document is scored from the polarities of its words, put on a 0..1 scale by a logistic fit.
+
+Pairs of words are as many as the words of the corpus, so they travel and rest packed: sorted codes of a bucket, their
+differences as zstandard-compressed byte planes (about two bytes a pair).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, batches_of, table, text_bytes, unused, word_hashes, word_spans
+from .common import ALNUM, batches_of, drop_table, mix, table, text_bytes, unused, word_hashes, word_spans
 
 #: Labelled rows that seeds and scale are fitted on, at most about (chosen by hash of doc_id); words and their pairs are counted in all documents.
 MAX_FIT_ROWS = 10_000
-#: Larger graphs are walked by the executors, smaller ones by the driver; and the distinct pairs a task holds before it passes them on.
-LOCAL_EDGES, HELD_PAIRS = 300_000, 3_000_000
-#: Documents a term must occur in, and the share of documents beyond which it is a function word.
-MIN_DOCS, MAX_SHARE = 3, 0.2
-WINDOW, RESTART, STEPS = 5, 0.15, 30
-#: A beginning of words that is toxic with this z makes seeds of the words it begins.
-STEM_Z, STEM_PURITY = 4.0, 0.6
-#: Bytes of the word beginnings that stand in for words the lexicon lacks.
-STEMS = (5, 4)
+#: Documents a term must occur in, at least and as a share of all; and the share beyond which it is a function word.
+#: Words in a share s of the documents or more number at most (distinct words of a mean document) / s, which bounds
+#: the vocabulary whatever the corpus.
+MIN_DOCS, MIN_SHARE, MAX_SHARE = 3, 1e-5, 0.2
+#: Walks end when no more than TOLERANCE of the visits move in a step.
+WINDOW, RESTART, STEPS, TOLERANCE = 5, 0.15, 60, 1e-4
+#: Distinct words or pairs that a task holds before it passes them on; pairs of a bucket; passes that turn pairs into arcs.
+HELD, BUCKET_PAIRS, PASSES = 4_000_000, 4_000_000, 2
+#: Graphs that are smaller once packed are walked by the driver (the same steps without a job for each).
+LOCAL_BYTES = 8 << 20
 STRONG = 0.5
 
 
+class Words:
+    """Places of hashes in a sorted table of distinct ones, started from their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.append(hashes, ~np.uint64(0))
+        bits = max(8, (4 * len(hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each of ``h``, and whether it is there (a place is arbitrary where it is not)."""
+        k = self.start[(h >> self.shift).astype(np.int64)]
+        low = np.flatnonzero(self.hashes[k] < h)
+        while len(low):
+            k[low] += 1
+            low = low[self.hashes[k[low]] < h[low]]
+        return k, (self.hashes[k] == h) & (k < len(self.hashes) - 1)
+
+
 @dataclass
 class Lexicon:
-    """Terms (hash, sorted) with polarity in -1..1, the same for beginnings of words, and the logistic scale."""
+    """Terms (hash, sorted) with polarity in -1..1, and the logistic scale."""
 
     hashes: np.ndarray
     polarity: np.ndarray
-    stems: dict[int, tuple[np.ndarray, np.ndarray]]
     beta: np.ndarray
-    #: The words themselves, for reading the lexicon; scoring needs only hashes and does not ship them.
-    words: pa.Array
 
 
-def _lookup(sorted_hashes: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_hashes):
-        return np.zeros(len(h)), np.zeros(len(h), bool)
-    k = np.searchsorted(sorted_hashes, h)
-    k[k == len(sorted_hashes)] = 0
-    ok = sorted_hashes[k] == h
-    return np.where(ok, values[k], 0.0), ok
-
-
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the first of each text."""
     data, offsets = text_bytes(column)
     s, e = word_spans(data, offsets, ALNUM)
-    return data, s, e, np.searchsorted(s, offsets), word_hashes(data, s, e)
+    return word_hashes(data, s, e), np.searchsorted(s, offsets)
 
 
-def features(column: pa.Array, lex: Lexicon) -> np.ndarray:
+def features(column: pa.Array, words: Words, polarity: np.ndarray) -> np.ndarray:
     """Per text: strongest polarity, log strong words, log summed positive polarity, share of strong words, mean polarity."""
-    data, s, e, first, h = _tokens(column)
-    weight, _ = _lookup(lex.hashes, lex.polarity, h)
-    for n, (sh, sv) in lex.stems.items():
-        long = np.flatnonzero(e - s > n)
-        w, ok = _lookup(sh, sv, word_hashes(data, s[long], s[long] + n))
-        weight[long[ok]] = np.maximum(weight[long[ok]], w[ok])
+    h, first = _tokens(column)
+    k, ok = words.find(h)
+    weight = np.where(ok, np.append(polarity, 0.0)[k], 0.0)
     n = np.diff(first)
     out = np.zeros((len(n), 5))
     some = np.flatnonzero(n)
@@ -82,69 +91,220 @@ def features(column: pa.Array, lex: Lexicon) -> np.ndarray:
     return out
 
 
-def _walk(rows: np.ndarray, cols: np.ndarray, w: np.ndarray, n: int, seed: np.ndarray) -> np.ndarray:
-    """Stationary visits of a walk on the weighted graph that returns to the seeds with probability RESTART."""
-    out = np.bincount(rows, w, n)
-    p = w / out[rows]
-    start = seed / max(seed.sum(), 1e-12)
-    x = start.copy()
-    for _ in range(STEPS):
-        moved = np.bincount(cols, x[rows] * p, n)
-        moved += start * (1 - moved.sum())  # what stood on words without neighbours returns
-        x = RESTART * start + (1 - RESTART) * moved
-    return x
+# --- packed counts ----------------------------------------------------------------------------------------------
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Non-negative integers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    wide = np.flatnonzero(planes.any(1))
+    out = np.zeros(planes.shape[1], np.int64)
+    for k in wide.tolist():
+        out |= planes[k].astype(np.int64) << (8 * k)
+    return out
+
+
+def _rows(bucket: np.ndarray, code: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, codes, counts) of counts whose codes ascend within a bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, code, c = bucket[order], code[order], c[order]
+    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    parts = [(int(bucket[a]), pack(np.diff(code[a:b], prepend=0)), pack(c[a:b])) for a, b in zip(cut[:-1], cut[1:]) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts), (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "codes", "counts"])
+
+
+PACKED = "bucket long, codes binary, counts binary"
 
 
-def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+class Counter:
+    """Sums of counts per code, held sorted; ``add`` takes codes in any order."""
+
+    def __init__(self, width: int = 1):
+        self.width, self.parts, self.held, self.least = width, [], 0, HELD
+
+    def add(self, code: np.ndarray, *counts: np.ndarray) -> bool:
+        """Whether so many codes are held, even once merged, that they should go on."""
+        self.parts.append((code, *counts))
+        self.held += len(code)
+        if self.held > self.least:
+            self.merge()
+            self.least = max(HELD, 2 * self.held)
+            return self.held > HELD // 2
+        return False
+
+    def merge(self) -> tuple[np.ndarray, ...]:
+        if len(self.parts) != 1 and self.parts:
+            code, *counts = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+            self.parts = [(code[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts))]
+            self.held = len(at)
+        return self.parts[0] if self.parts else (np.zeros(0, np.int64),) * (1 + self.width)
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        out = self.merge()
+        self.parts, self.held, self.least = [], 0, HELD
+        return out
+
+
+def _merged(packed: DataFrame) -> DataFrame:
+    """One row per bucket: equal codes summed. A task holds one bucket's distinct codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Counter()
+        for batch in batches:
+            for b, codes, counts in zip(*(x.to_pylist() for x in batch.columns)):
+                if b != now and now is not None:
+                    code, c = held.take()
+                    yield _rows(np.full(len(code), now), code, c)
+                now = b
+                held.add(np.cumsum(unpack(codes)), unpack(counts))
+        if now is not None:
+            code, c = held.take()
+            yield _rows(np.full(len(code), now), code, c)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED)
+
+
+def word_counts(marked: DataFrame) -> DataFrame:
+    """(h, n, m, t) of ``marked(y, text)``: documents with the word, labelled ones among them, toxic ones among those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counter(3)
+        for whole in batches:
+            for batch in batches_of(whole, "text"):
+                h, first = _tokens(batch.column(1))
+                rows = batch.num_rows
+                word, inverse = np.unique(h, return_inverse=True)
+                code = np.unique(inverse * rows + np.repeat(np.arange(rows), np.diff(first)))
+                mark = batch.column(0).fill_null(-1).to_numpy()[code % rows]
+                if held.add(word.view(np.int64), *(np.bincount(code // rows, w, len(word)).astype(np.int64) for w in (None, mark >= 0, mark == 1))):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.take()], names=["h", *"nmt"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held.take()], names=["h", *"nmt"])
 
+    return marked.mapInArrow(run, "h long, n long, m long, t long").groupBy("h").agg(*[F.sum(x).alias(x) for x in "nmt"])
 
-def _far_walks(edges: DataFrame, size: int, seeds: list[np.ndarray]) -> list[np.ndarray]:
-    """The walks of ``_walk`` on ``edges(code, c)`` of any number: a pass over them a step, of which sums per word reach the driver."""
-    spark = edges.sparkSession
-    i, j = F.shiftright("code", 32), F.col("code").bitwiseAND(0xFFFFFFFF)
-    both = edges.select(F.explode(F.array(F.struct(i.alias("i"), j.alias("j")), F.struct(j.alias("i"), i.alias("j")))).alias("e"), "c").select("e.i", "e.j", "c")
-    arcs = table(both.repartition("j").sortWithinPartitions("j"), "arcs")
 
-    def sums(columns: int, of) -> np.ndarray:
-        """For each word, the sums of ``of(i, j, c)`` over its arcs."""
+def pair_counts(docs: DataFrame, vocabulary: np.ndarray, ids: np.ndarray, buckets: int) -> DataFrame:
+    """Packed counts of the pairs (i < j) of words within WINDOW words of each other, code i * size + j; ``ids`` numbers the sorted ``vocabulary``."""
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, ids))
+    size = len(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number = Words(sent.value[0]), np.append(sent.value[1].astype(np.int64), -1)
+        held = Counter()
+
+        def flush() -> pa.RecordBatch:
+            code, c = held.take()
+            # A frequent word's pairs are spread over buckets by their other end.
+            key = mix((code // size * 65536 + (code % size >> 16)).astype(np.uint64))
+            return _rows((key % np.uint64(buckets)).astype(np.int64), code, c)
+
+        for whole in batches:
+            for batch in batches_of(whole, "text"):
+                h, first = _tokens(batch.column(0))
+                k, ok = words.find(h)
+                k = np.where(ok, number[k], -1)
+                doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
+                near = []
+                for d in range(1, WINDOW + 1):
+                    a, b = k[:-d], k[d:]
+                    use = np.flatnonzero((a >= 0) & (b >= 0) & (a != b) & (doc[:-d] == doc[d:]))
+                    a, b = a[use], b[use]
+                    near.append(np.minimum(a, b) * size + np.maximum(a, b))
+                code = np.sort(np.concatenate(near))
+                at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+                if held.add(code[at], np.diff(np.append(at, len(code)))):
+                    yield flush()
+        if held.held:
+            yield flush()
+
+    return _merged(docs.select("text").mapInArrow(run, PACKED))
+
+
+def arcs_of(pairs: DataFrame, size: int, buckets: int, part: int, parts: int) -> DataFrame:
+    """The pairs in both directions, code to * size + from, in buckets of ``to``; those buckets that ``part`` of ``parts`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                code, c = np.cumsum(unpack(codes)), unpack(counts)
+                i, j = code // size, code % size
+                to, at = np.concatenate([i, j]), np.concatenate([j, i])
+                bucket = to % buckets
+                mine = np.flatnonzero(bucket % parts == part)
+                order = mine[np.argsort((to * size + at)[mine], kind="stable")]
+                if len(order):
+                    yield _rows(bucket[order], (to * size + at)[order], np.concatenate([c, c])[order])
+
+    return _merged(pairs.mapInArrow(run, PACKED))
+
+
+def walks(arcs: list[DataFrame], size: int, seeds: list[np.ndarray]) -> list[np.ndarray]:
+    """Stationary visits of walks on the graph that return to their seeds with probability RESTART; one sum per word and step reaches the driver."""
+    context = arcs[0].sparkSession.sparkContext
+    rows = arcs[0]
+    for more in arcs[1:]:
+        rows = rows.unionAll(more)
+    volume = rows.agg(F.coalesce(F.sum(F.octet_length("codes") + F.octet_length("counts")), F.lit(0))).first()[0]
+    local = rows.toArrow().to_batches() if volume < LOCAL_BYTES else None
+
+    def sums(columns: int, of: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]) -> np.ndarray:
+        """For each word, the sums of ``of(to, from, c)`` over its arcs."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                i, j, c = (batch.column(k).to_numpy() for k in range(3))
-                if len(j):
-                    at = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(j[at]), *[pa.array(np.add.reduceat(v, at)) for v in of(i, j, c.astype(np.float64))]], names=["j", *"ab"[:columns]])
-
-        out = np.zeros((columns, size))
-        got = arcs.mapInArrow(run, "j long, " + ", ".join(f"{x} double" for x in "ab"[:columns])).toArrow()
-        for k in range(columns):
-            out[k] = np.bincount(got["j"].to_numpy(), got["ab"[k]].to_numpy(), size)
-        return out
+                for codes, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    code = np.cumsum(unpack(codes))
+                    to = code // size
+                    at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[at]), *[pa.array(np.add.reduceat(v, at)) for v in of(to, code - to * size, unpack(counts).astype(np.float64))]], names=["j", *"ab"[:columns]])
+
+        if local is not None:
+            got = pa.Table.from_batches(run(iter(local)), pa.schema([("j", pa.int64()), *((x, pa.float64()) for x in "ab"[:columns])]))
+        else:
+            got = rows.mapInArrow(run, "j long, " + ", ".join(f"{x} double" for x in "ab"[:columns])).toArrow()
+        return np.stack([np.bincount(got["j"].to_numpy(), got[x].to_numpy(), size) for x in "ab"[:columns]])
 
     mass = sums(1, lambda i, j, c: [c])[0]
-    sent = spark.sparkContext.broadcast(mass)
-    total = float(mass.sum())
+    sent = context.broadcast(np.log(np.maximum(mass, 1e-12)))
+    total = float(np.log(max(mass.sum(), 1e-12)))
 
-    def weight(i, j, c):
+    def weight(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> np.ndarray:
         m = sent.value
-        return np.maximum(np.log(c * total / np.maximum(m[i] * m[j], 1e-12)), 0.0)
+        return np.maximum(np.log(c) + total - m[i] - m[j], 0.0)
 
     out = np.maximum(sums(1, lambda i, j, c: [weight(i, j, c)])[0], 1e-300)
     start = np.stack([s / max(s.sum(), 1e-12) for s in seeds])
     x = start.copy()
     for _ in range(STEPS):
-        now = spark.sparkContext.broadcast(x / out)
-        moved = sums(2, lambda i, j, c, now=now: list(now.value[:, i] * weight(i, j, c)))
+        now = context.broadcast(x / out)
+
+        def send(i: np.ndarray, j: np.ndarray, c: np.ndarray, now=now) -> list[np.ndarray]:
+            w = weight(i, j, c)
+            return [y[j] * w for y in now.value]
+
+        moved = sums(len(seeds), send)
         now.destroy()
-        moved += start * (1 - moved.sum(1, keepdims=True))
-        x = RESTART * start + (1 - RESTART) * moved
+        moved += start * (1 - moved.sum(1, keepdims=True))  # what stood on words without neighbours returns
+        before, x = x, RESTART * start + (1 - RESTART) * moved
+        if np.abs(x - before).sum(1).max() < TOLERANCE:
+            break
+    sent.destroy()
     return list(x)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Lexicon:
-    """The lexicon from all of ``docs`` and ``labels(doc_id, toxic)``; at most about ``max_rows`` labels give the seeds and the scale."""
+    """The lexicon from all of ``docs`` and ``labels(doc_id, toxic)``; at most about ``max_rows`` labels give the seeds and the scale.
+
+    Labels that are null, neither 0 nor 1, or of no document teach nothing; of repeated labels the largest counts. Null and
+    empty texts have no words. Without a toxic and a clean labelled row, or without words, every score is the share of toxic labels.
+    """
     spark = docs.sparkSession
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.filter("toxic in (0, 1)")
@@ -154,132 +314,58 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Lex
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left").select(F.col("_y").alias("y"), "text")
     sample = table(marked.filter("y is not null"), "sample")
     labelled, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    total = docs.count()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in batches_of(whole, "text"):
-                data, s, e, first, h = _tokens(batch.column(1))
-                doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
-                order = np.lexsort((doc, h))
-                h, doc, at = h[order], doc[order], order
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                h, doc, at = h[new], doc[new], at[new]
-                mark = batch.column(0).fill_null(-1).to_numpy()[doc]
-                begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                n = np.diff(np.append(begin, len(h)))
-                m, t = ((np.add.reduceat(x.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)) for x in (mark >= 0, mark == 1))
-                word = [LOWER[data[s[i] : e[i]]].tobytes() for i in at[begin].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(t, pa.int64())], names=["h", "word", "n", "m", "t"])
-
-    # n: documents with the word; m, t: labelled ones, toxic ones.
-    stats = marked.mapInArrow(count, "h long, word binary, n long, m long, t long").groupBy("h").agg(F.min("word").alias("word"), *[F.sum(x).alias(x) for x in "nmt"])
-    stats = table(stats, "words")
-    vocabulary = stats.filter((F.col("n") >= MIN_DOCS) & ((F.col("n") <= max(MIN_DOCS, int(MAX_SHARE * total))) | (F.col("t") > 0.8 * F.col("m")))).toArrow()
-    h = vocabulary["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    h = h[order]
+    total, volume = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+
+    least = max(MIN_DOCS, int(np.ceil(MIN_SHARE * total)))
+    stats = table(word_counts(marked).filter((F.col("n") >= least) & ((F.col("n") <= max(MIN_DOCS, int(MAX_SHARE * total))) | (F.col("t") > 0.8 * F.col("m")))), "words")
+    vocabulary = stats.toArrow()
+    drop_table(stats)
+    order = np.argsort(vocabulary["h"].to_numpy().view(np.uint64))
+    h = vocabulary["h"].to_numpy().view(np.uint64)[order]
     n, m, t = (vocabulary[x].to_numpy().astype(np.float64)[order] for x in "nmt")
-    raws = vocabulary["word"].take(pa.array(order)).combine_chunks()
     del vocabulary
     size = len(h)
     tested = m >= MIN_DOCS
     if not tested.any() or not toxic or toxic == labelled:
         base = (toxic + 1) / (labelled + 2)
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), {}, np.array([np.log(base / (1 - base)), 0, 0, 0, 0, 0]), pa.array([], pa.binary()))
+        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), np.array([np.log(base / (1 - base)), 0, 0, 0, 0, 0]))
     base = toxic / labelled
-    stem_z: dict[int, dict[bytes, float]] = {}
-    for k in STEMS:
-        per = stats.filter((F.length("word") > k) & (F.col("m") > 0)).groupBy(F.substring("word", 1, k).alias("stem")).agg(F.sum("m").alias("n"), F.sum("t").alias("t"), F.count("*").alias("m"))
-        # Occurrences in labelled documents pay for every row kept, so their number is bounded by the sample.
-        per = per.filter((F.col("m") > 1) & (F.col("t") >= STEM_PURITY * F.col("n")) & (F.col("t") - F.col("n") * base >= STEM_Z * F.sqrt(F.col("n") * base * (1 - base) + 0.25)))
-        stem_z[k] = {bytes(r.stem): r.t / r.n for r in per.collect()}
-    # The words of the vocabulary that a toxic beginning begins, per beginning.
-    members: dict[int, dict[bytes, np.ndarray]] = {}
-    by_stem = np.zeros(size, bool)
-    for k in STEMS:
-        starts, long = pc.binary_slice(raws, 0, k), pc.greater(pc.binary_length(raws), k)
-        hit = np.flatnonzero(pc.and_(long, pc.is_in(starts, pa.array(list(stem_z[k]), pa.binary()))).to_numpy(zero_copy_only=False))
-        by_stem[hit] = True
-        own: dict[bytes, list[int]] = {}
-        for x, g in zip(hit.tolist(), starts.take(pa.array(hit)).to_pylist()):
-            own.setdefault(g, []).append(x)
-        members[k] = {g: np.array(x) for g, x in own.items()}
     rate = t / np.maximum(m, 1)
     z = (t - m * base) / np.sqrt(m * base * (1 - base) + 0.25)
     # Of so many words, some stand out by chance: the bar follows the largest of that many normal draws.
     bad, good = np.where(tested & (z >= np.sqrt(2 * np.log(tested.sum() + 1)) - 0.3) & (rate > 2.5 * base), z, 0.0), np.where(tested & (z < -0.5), -z, 0.0)
-    bad = np.where((bad == 0) & by_stem & (rate > base), np.maximum(z, 1.0), bad)
     good = np.where(bad > 0, 0.0, good)
     if not bad.any():
         bad = np.where(tested & (z == z[tested].max()), 1.0, 0.0)
     if not good.any():
         good = np.where(tested & (z <= np.median(z[tested])), 1.0, 0.0)
 
-    shipped = spark.sparkContext.broadcast(h)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
-        codes, counts, held = [], [], 0
-        for whole in batches:
-            for batch in batches_of(whole, "text"):
-                _, _, _, first, g = _tokens(batch.column(0))
-                k, ok = _lookup(known, np.arange(len(known), dtype=np.float64), g)
-                k = np.where(ok, k, -1).astype(np.int64)
-                doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
-                near = []
-                for d in range(1, WINDOW + 1):
-                    a, b = k[:-d], k[d:]
-                    use = (a >= 0) & (b >= 0) & (a != b) & (doc[:-d] == doc[d:])
-                    near.append((np.minimum(a, b)[use] << 32) | np.maximum(a, b)[use])
-                code, c = np.unique(np.concatenate(near), return_counts=True)
-                codes, counts, held = [*codes, code], [*counts, c], held + len(code)
-                if held > HELD_PAIRS:
-                    code, c = _merged(codes, counts)
-                    codes, counts, held = [code], [c], len(code)
-                    if held > HELD_PAIRS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c, pa.int64())], names=["code", "c"])
-                        codes, counts, held = [], [], 0
-        if codes:
-            code, c = _merged(codes, counts)
-            for a in range(0, len(code), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + (1 << 18)]), pa.array(c[a : a + (1 << 18)], pa.int64())], names=["code", "c"])
-
-    edges = table(docs.select("text").mapInArrow(pairs, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "edges")
-    if edges.count() > LOCAL_EDGES:
-        p, q = _far_walks(edges, size, [bad, good])
-    else:
-        near = edges.toArrow()
-        code, c = near["code"].to_numpy(), near["c"].to_numpy().astype(np.float64)
-        i, j = code >> 32, code & 0xFFFFFFFF
-        mass = np.bincount(i, c, size) + np.bincount(j, c, size)
-        pmi = np.log(c * mass.sum() / np.maximum(mass[i] * mass[j], 1e-12))
-        up = pmi > 0
-        rows, cols, w = np.concatenate([i[up], j[up]]), np.concatenate([j[up], i[up]]), np.concatenate([pmi[up]] * 2)
-        p, q = _walk(rows, cols, w, size, bad), _walk(rows, cols, w, size, good)
+    # Numbers by falling frequency: small differences between the codes of a word's pairs.
+    ids = np.empty(size, np.int32)
+    ids[np.lexsort((h, -n))] = np.arange(size, dtype=np.int32)
+    buckets = max(1, -(-min(volume // 6 * WINDOW, size * size // 2) // BUCKET_PAIRS))
+    pairs = table(pair_counts(docs, h, ids, buckets), "pairs")
+    arcs = [table(arcs_of(pairs, size, buckets, k, PASSES), "arcs") for k in range(PASSES)]
+    drop_table(pairs)
+    seed = [np.zeros(size), np.zeros(size)]
+    seed[0][ids], seed[1][ids] = bad, good
+    p, q = (x[ids] for x in walks(arcs, size, seed))
+    for x in arcs:
+        drop_table(x)
     # Visits well below those of a typical toxic seed say nothing.
     polarity = (p - q) / (p + q + 0.3 * np.median(p[bad > 0]))
-    stems = {}
-    for k in STEMS:
-        if stem_z[k]:
-            names = list(stem_z[k])
-            value = [float(np.average(polarity[members[k][g]], weights=n[members[k][g]])) if g in members[k] else 2 * stem_z[k][g] - 1 for g in names]
-            buf = np.frombuffer(b"".join(names), np.uint8)
-            at = np.arange(len(names)) * k
-            sh = word_hashes(buf, at, at + k)
-            o = np.argsort(sh)
-            stems[k] = (sh[o], np.array(value)[o])
-    lex = Lexicon(h, polarity, stems, np.zeros(6), raws)
-    sent = spark.sparkContext.broadcast(replace(lex, words=None))
+    lex = Lexicon(h, polarity, np.zeros(6))
+    sent = spark.sparkContext.broadcast(lex)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(sent.value.hashes)
         for batch in batches:
             for part in batches_of(batch, "text"):
-                f = features(part.column(1), sent.value)
+                f = features(part.column(1), words, sent.value.polarity)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(f[:, k]) for k in range(5)]], names=["y", *"abcde"])
 
     data = sample.mapInArrow(measure, "y int, a double, b double, c double, d double, e double").toArrow()
+    drop_table(sample)
     lex.beta = _logistic(np.stack([data[c].to_numpy() for c in "abcde"], 1), data["y"].to_numpy().astype(np.float64))
     return lex
 
@@ -299,14 +385,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def score(docs: DataFrame, lex: Lexicon, carry: list[str] | None = None, text: str = "text", name: str = "score") -> DataFrame:
     """The columns ``carry`` (all by default) plus the score in 0..1; null and empty texts get the score of no evidence."""
     carry = docs.columns if carry is None else carry
-    sent = docs.sparkSession.sparkContext.broadcast(replace(lex, words=None))
+    sent = docs.sparkSession.sparkContext.broadcast(lex)
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model, words = sent.value, Words(sent.value.hashes)
         for whole in batches:
             for batch in batches_of(whole, text):
-                f = features(batch.column(batch.schema.get_field_index(text)), model)
+                f = features(batch.column(batch.schema.get_field_index(text)), words, model.polarity)
                 p = 1 / (1 + np.exp(-np.clip(model.beta[0] + f @ model.beta[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in carry], pa.array(p)], names=[*carry, name])
 
@@ -319,13 +405,19 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; fitted on the labels that are not held out."""
+    """doc_id, held_out, score, predicted for every document; fitted on the labels that are not held out.
+
+    Null and empty texts get the score of no evidence, repeated rows a row each, an empty table none; see ``fit`` for labels.
+    """
     lex = fit(docs, labels.filter(~held_out()))
     scored = score(docs.select("doc_id", "text"), lex, ["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """The documents that score below ``limit``, columns unchanged."""
+    """The documents that score below ``limit``, columns unchanged (whatever their names).
+
+    Null and empty texts stay unless toxic labels prevail; repeated rows share their fate; an empty table stays empty.
+    """
     name, = unused(docs, "score")
     return score(docs, fit(docs, labels.filter(~held_out())), name=name).filter(F.col(name) < limit).drop(name)

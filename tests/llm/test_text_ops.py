@@ -423,13 +423,56 @@ def test_unlabelled_documents_teach_the_lexicon(spark, monkeypatch):
         w[10:15] = [r.choice(bad), r.choice(bad), "zorgon", r.choice(bad), r.choice(bad)]
         rows.append((i, " ".join(w)))
     d, lab = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
-    near = toxicity.fit(d, lab)
-    polarity = dict(zip(near.words.to_pylist(), near.polarity))
-    assert polarity[b"zorgon"] > max(0.1, np.quantile(near.polarity, 0.9))
-    monkeypatch.setattr(toxicity, "LOCAL_EDGES", 0)
-    monkeypatch.setattr(toxicity, "HELD_PAIRS", 100)
-    far = toxicity.fit(d, lab)
-    assert np.array_equal(far.hashes, near.hashes) and np.allclose(far.polarity, near.polarity, atol=1e-9)
+    lex = toxicity.fit(d, lab)
+    polarity = lambda w: lex.polarity[lex.hashes == common.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))][0]
+    assert polarity(b"zorgon") > max(0.1, np.quantile(lex.polarity, 0.9))
+    monkeypatch.setattr(toxicity, "HELD", 100)
+    monkeypatch.setattr(toxicity, "BUCKET_PAIRS", 500)
+    small = toxicity.fit(d, lab)
+    assert np.array_equal(small.hashes, lex.hashes) and np.allclose(small.polarity, lex.polarity, atol=1e-9)
+
+
+def test_pairs_and_walks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 50)
+    texts = [words(i, 30) for i in range(40)] + [None, "", "one"]
+    h = np.unique(np.concatenate([toxicity._tokens(pa.array([t], pa.string()))[0] for t in texts]))
+    size = len(h)
+    ids = np.random.default_rng(0).permutation(size).astype(np.int32)
+    d = docs_of(spark, list(enumerate(texts)))
+    pairs = common.table(toxicity.pair_counts(d, h, ids, 7), "pairs")
+    want = np.zeros((size, size))
+    for t in texts:
+        k = ids[np.searchsorted(h, toxicity._tokens(pa.array([t], pa.string()))[0])]
+        for a in range(len(k)):
+            for b in range(a + 1, min(len(k), a + toxicity.WINDOW + 1)):
+                if k[a] != k[b]:
+                    want[k[a], k[b]] += 1
+                    want[k[b], k[a]] += 1
+    got = np.zeros((size, size))
+    arcs = [common.table(toxicity.arcs_of(pairs, size, 5, k, 2), "arcs") for k in range(2)]
+    for r in arcs[0].unionAll(arcs[1]).collect():
+        code = np.cumsum(toxicity.unpack(r.codes))
+        got[code // size, code % size] += toxicity.unpack(r["counts"])
+    assert np.array_equal(got, want)
+    mass = want.sum(1)
+    with np.errstate(divide="ignore"):
+        w = np.maximum(np.log(want * mass.sum() / np.maximum(np.outer(mass, mass), 1e-12)), 0)
+    seeds = [np.eye(size)[3], np.eye(size)[5] + np.eye(size)[6]]
+    near = toxicity.walks(arcs, size, seeds)
+    monkeypatch.setattr(toxicity, "LOCAL_BYTES", 0)
+    assert np.allclose(near, toxicity.walks(arcs, size, seeds), atol=1e-12)
+    for seed, found in zip(seeds, near):
+        start = seed / seed.sum()
+        step = (w / np.maximum(w.sum(0), 1e-12)).T
+        x = np.linalg.solve(np.eye(size) - (1 - toxicity.RESTART) * step.T, toxicity.RESTART * start)
+        assert np.allclose(found, x, atol=5e-4) and abs(found.sum() - 1) < 1e-3
+
+
+def test_places_of_words():
+    h = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
+    k, ok = toxicity.Words(h[::2]).find(h)
+    assert np.array_equal(np.flatnonzero(ok), np.arange(0, len(h), 2)) and np.array_equal(k[ok], np.arange(len(h[::2])))
+    assert not toxicity.Words(h[:0]).find(h)[1].any()
 
 
 # --- 9 ----------------------------------------------------------------------------------------------------------
