@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that one numpy step looks at; only bounds memory, results do not depend on it.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 17
 # Rows of the largest broadcast built here: keys so frequent that fewer than this many can exist.
 HOT_KEYS = 1000
 
@@ -84,16 +85,19 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, copies: str, total: in
     key and spread evenly. Null keys match nothing. ``copies`` is the column of ``right`` that counts the key's rows in ``left``.
     """
     least = max(10_000, total // HOT_KEYS)
-    right = right.filter(F.col(key).isNotNull())
+    right = right.filter(F.col(f"`{key}`").isNotNull())
     columns = [c for c in right.columns if c not in (key, copies)]
-    hot = right.filter(F.col(copies) > least).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in columns])
-    cold = right.filter(F.col(copies) <= least).select(F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in columns])
-    out = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    spread = F.when(F.col("_hk").isNull(), 0).otherwise(1 + F.pmod(salt, F.lit(997)).cast("int"))
-    out = out.withColumn("_lk", F.struct(F.col(key).alias("k"), spread.alias("s"))).join(cold, F.col("_lk") == F.col("_ck"), "left")
-    matched = F.col("_hk").isNotNull() | F.col("_ck").isNotNull()
+    hot_key, cold_key, salted, *mine = unused(left, "hot_key", "cold_key", "salted_key", *[f"hot_{c}" for c in columns], *[f"cold_{c}" for c in columns])
+    of_hot, of_cold = mine[: len(columns)], mine[len(columns) :]
+    at = lambda c: F.col(f"`{c}`")
+    hot = right.filter(at(copies) > least).select(at(key).alias(hot_key), *[at(c).alias(x) for c, x in zip(columns, of_hot)])
+    cold = right.filter(at(copies) <= least).select(F.struct(at(key).alias("k"), F.lit(0).alias("s")).alias(cold_key), *[at(c).alias(x) for c, x in zip(columns, of_cold)])
+    out = left.join(F.broadcast(hot), at(key) == at(hot_key), "left")
+    spread = F.when(at(hot_key).isNull(), 0).otherwise(1 + F.pmod(salt, F.lit(997)).cast("int"))
+    out = out.withColumn(salted, F.struct(at(key).alias("k"), spread.alias("s"))).join(cold, at(salted) == at(cold_key), "left")
+    matched = at(hot_key).isNotNull() | at(cold_key).isNotNull()
     out = out if how == "left" else out.filter(matched)
-    return out.select(*[F.col(c) for c in left.columns], *[F.when(F.col("_hk").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in columns])
+    return out.select(*[at(c) for c in left.columns], *[F.when(at(hot_key).isNotNull(), at(h)).otherwise(at(x)).alias(c) for c, h, x in zip(columns, of_hot, of_cold)])
 
 
 # --- whole texts as bytes ---------------------------------------------------------------------------------------
@@ -148,15 +152,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
     return join(starts), join(ends)
 
 
-_ODD = np.array([0x9E3779B97F4A7C15], np.uint64)  # arrays wrap silently, scalars warn
-_P: list[np.ndarray] = [np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> np.ndarray:
-    while len(_P[0]) < n:
-        p = _P[0]
-        _P[0] = np.concatenate([p, p * (p[-1:] * _ODD)])
-    return _P[0]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -166,29 +164,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each lower-cased word. Equal words have equal hashes; callers compare the bytes of what matters."""
+    """A 64-bit hash of each lower-cased word, eight bytes at a time. Equal words have equal hashes; callers compare the bytes of what matters."""
     out = np.empty(len(starts), np.uint64)
-    i, step = 0, max(1, STEP_BYTES // 8)
-    while i < len(starts):
-        j = min(len(starts), i + step)
-        a, b = int(starts[i]), int(ends[j - 1])
-        length = (ends[i:j] - starts[i:j]).astype(np.int64)
-        if b - a > 4 * STEP_BYTES and j - i > 1:
-            j = max(i + 1, int(np.searchsorted(ends, a + 4 * STEP_BYTES)))
-            b, length = int(ends[j - 1]), (ends[i:j] - starts[i:j]).astype(np.int64)
-        terms = LOWER[data[a:b]].astype(np.uint64) + np.uint64(1)
-        # The place within its word is the exponent, counted from the word's start.
-        at = starts[i:j] - a
-        place = np.arange(b - a, dtype=np.int64)
-        base = np.zeros(b - a, np.int64)
-        base[at] = np.diff(at, prepend=0)
-        place -= np.cumsum(base)
-        terms *= _powers(int(length.max()) + int((b - a) - length.sum()) + 1)[place]
-        total = np.empty(b - a + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(terms, out=total[1:])
-        out[i:j] = mix(total[ends[i:j] - a] - total[at] + length.astype(np.uint64) * _ODD)
-        i = j
+    low = np.zeros(len(data) + 8, np.uint8)
+    np.take(LOWER, data, out=low[: len(data)])
+    at_any_byte = np.ndarray((len(data) + 1,), "<u8", low, strides=(1,))
+    step = STEP_BYTES // 8
+    for i in range(0, len(starts), step):
+        a, left = starts[i : i + step], ends[i : i + step] - starts[i : i + step]
+        h = mix(left.astype(np.uint64) * _ODD)
+        some, k = np.arange(len(a)), 0
+        many = np.flatnonzero(left > _LONG)
+        while len(some):
+            rest = left[some] - k
+            word = at_any_byte[a[some] + k]
+            short = rest < 8
+            word[short] &= (np.uint64(1) << (rest[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            h[some] = mix((h[some] ^ word) * _ODD)
+            k += 8
+            some = some[(rest > 8) & (k < _LONG)]
+        for j in many.tolist():
+            h[j] = xxhash.xxh64_intdigest(low[a[j] : a[j] + left[j]].tobytes(), 1)
+        out[i : i + step] = h
     return out
 
 
@@ -251,7 +248,8 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
         # small-star: a node and its smaller neighbours join the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = table(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, links = links, table(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop_table(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
@@ -274,12 +272,12 @@ def numbered(df: DataFrame, group: str, total: int, salt: Column, order: list[Co
     """
     from pyspark.sql import Window
 
-    key, first = unused(df, "bucket", "first")
+    key, first, same = unused(df, "bucket", "first", "same_bucket")
     # One key for the window and the join with the buckets' starts, so the rows are shuffled once.
-    d = df.withColumn(key, F.struct(F.col(group).alias("g"), F.pmod(salt, F.lit(max(1, -(-total // NUMBER_ROWS)))).alias("b")))
+    d = df.withColumn(key, F.struct(F.col(f"`{group}`").alias("g"), F.pmod(salt, F.lit(max(1, -(-total // NUMBER_ROWS)))).alias("b")))
     counts = d.groupBy(key).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(F.col(key)["g"]).orderBy(F.col(key)["b"]).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(key).alias("_k"), F.coalesce(before, F.lit(0)).alias(first))
+    starts = counts.select(F.col(key).alias(same), F.coalesce(before, F.lit(0)).alias(first))
     out = d.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    out = out.join(starts, out[key] == starts["_k"]).withColumn(name, (F.col(name) + F.col(first) - 1).cast("long"))
-    return out.drop(key, first, "_k")
+    out = out.join(starts, out[key] == starts[same]).withColumn(name, (F.col(name) + F.col(first) - 1).cast("long"))
+    return out.drop(key, first, same)

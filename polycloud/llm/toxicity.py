@@ -29,9 +29,11 @@ MAX_FIT_ROWS = 10_000
 #: the vocabulary whatever the corpus.
 MIN_DOCS, MIN_SHARE, MAX_SHARE = 3, 1e-5, 0.2
 #: Walks end when no more than TOLERANCE of the visits move in a step.
-WINDOW, RESTART, STEPS, TOLERANCE = 5, 0.15, 60, 1e-4
+WINDOW, RESTART, STEPS, TOLERANCE = 5, 0.15, 60, 1e-3
 #: Distinct words or pairs that a task holds before it passes them on; pairs of a bucket; passes that turn pairs into arcs.
-HELD, BUCKET_PAIRS, PASSES = 4_000_000, 4_000_000, 2
+HELD, BUCKET_PAIRS, PASSES = 3_000_000, 4_000_000, 2
+#: Codes that are packed together, so that a step over them stays in a core's cache.
+PACK = 1 << 16
 #: Graphs that are smaller once packed are walked by the driver (the same steps without a job for each).
 LOCAL_BYTES = 8 << 20
 STRONG = 0.5
@@ -113,7 +115,8 @@ def _rows(bucket: np.ndarray, code: np.ndarray, c: np.ndarray) -> pa.RecordBatch
     order = np.argsort(bucket, kind="stable")
     bucket, code, c = bucket[order], code[order], c[order]
     cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-    parts = [(int(bucket[a]), pack(np.diff(code[a:b], prepend=0)), pack(c[a:b])) for a, b in zip(cut[:-1], cut[1:]) if b > a]
+    cut = [(a, min(a + PACK, y)) for x, y in zip(cut[:-1], cut[1:]) for a in range(x, y, PACK)]
+    parts = [(int(bucket[a]), pack(np.diff(code[a:b], prepend=0)), pack(c[a:b])) for a, b in cut]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts), (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "codes", "counts"])
 
 
@@ -139,7 +142,7 @@ class Counter:
     def merge(self) -> tuple[np.ndarray, ...]:
         if len(self.parts) != 1 and self.parts:
             code, *counts = (np.concatenate(x) for x in zip(*self.parts))
-            order = np.argsort(code, kind="stable")
+            order = np.argsort(code)
             code = code[order]
             at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
             self.parts = [(code[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts))]
@@ -181,7 +184,8 @@ def word_counts(marked: DataFrame) -> DataFrame:
                 h, first = _tokens(batch.column(1))
                 rows = batch.num_rows
                 word, inverse = np.unique(h, return_inverse=True)
-                code = np.unique(inverse * rows + np.repeat(np.arange(rows), np.diff(first)))
+                code = np.sort(inverse * rows + np.repeat(np.arange(rows), np.diff(first)))
+                code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
                 mark = batch.column(0).fill_null(-1).to_numpy()[code % rows]
                 if held.add(word.view(np.int64), *(np.bincount(code // rows, w, len(word)).astype(np.int64) for w in (None, mark >= 0, mark == 1))):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.take()], names=["h", *"nmt"])
@@ -238,7 +242,7 @@ def arcs_of(pairs: DataFrame, size: int, buckets: int, part: int, parts: int) ->
                 to, at = np.concatenate([i, j]), np.concatenate([j, i])
                 bucket = to % buckets
                 mine = np.flatnonzero(bucket % parts == part)
-                order = mine[np.argsort((to * size + at)[mine], kind="stable")]
+                order = mine[np.argsort((to * size + at)[mine])]
                 if len(order):
                     yield _rows(bucket[order], (to * size + at)[order], np.concatenate([c, c])[order])
 
@@ -263,27 +267,31 @@ def walks(arcs: list[DataFrame], size: int, seeds: list[np.ndarray]) -> list[np.
                     code = np.cumsum(unpack(codes))
                     to = code // size
                     at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(to[at]), *[pa.array(np.add.reduceat(v, at)) for v in of(to, code - to * size, unpack(counts).astype(np.float64))]], names=["j", *"ab"[:columns]])
+                    yield pa.RecordBatch.from_arrays([pa.array(to[at]), *[pa.array(np.add.reduceat(v, at, dtype=np.float64)) for v in of(to, code - to * size, unpack(counts))]], names=["j", *"ab"[:columns]])
 
         if local is not None:
             got = pa.Table.from_batches(run(iter(local)), pa.schema([("j", pa.int64()), *((x, pa.float64()) for x in "ab"[:columns])]))
         else:
             got = rows.mapInArrow(run, "j long, " + ", ".join(f"{x} double" for x in "ab"[:columns])).toArrow()
-        return np.stack([np.bincount(got["j"].to_numpy(), got[x].to_numpy(), size) for x in "ab"[:columns]])
+        return np.stack([np.bincount(got["j"].to_numpy(), got[x].to_numpy().astype(np.float64), size) for x in "ab"[:columns]])
 
     mass = sums(1, lambda i, j, c: [c])[0]
-    sent = context.broadcast(np.log(np.maximum(mass, 1e-12)))
     total = float(np.log(max(mass.sum(), 1e-12)))
+    sent = context.broadcast(np.log(np.maximum(mass, 1e-12)).astype(np.float32))
+    logs = np.log(np.maximum(np.arange(256), 1))
 
     def weight(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> np.ndarray:
         m = sent.value
-        return np.maximum(np.log(c) + total - m[i] - m[j], 0.0)
+        lc = logs[c] if c.max(initial=0) < 256 else np.log(c)
+        lc = lc + total - m[i]
+        lc -= m[j]
+        return np.maximum(lc, 0.0, out=lc)
 
     out = np.maximum(sums(1, lambda i, j, c: [weight(i, j, c)])[0], 1e-300)
     start = np.stack([s / max(s.sum(), 1e-12) for s in seeds])
     x = start.copy()
     for _ in range(STEPS):
-        now = context.broadcast(x / out)
+        now = context.broadcast((x / out).astype(np.float32))
 
         def send(i: np.ndarray, j: np.ndarray, c: np.ndarray, now=now) -> list[np.ndarray]:
             w = weight(i, j, c)
