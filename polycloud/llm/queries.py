@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("longest_match")
+    return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op2_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,17 +75,20 @@ def oracle_sql() -> dict[str, str]:
         "op1_suffix_decontamination": f"""
             WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
             b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
-            bp AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM b),
-            bw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM bp),
+            bp AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS ip FROM b),
+            bw AS (SELECT item_id, n, ip, array_to_string(w[ip:ip + n - 1], ' ') AS g FROM bp),
             sizes AS (SELECT DISTINCT n FROM bw),
             dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n),
             dg AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM dp),
-            h AS (SELECT doc_id, p, n, item_id FROM dg JOIN bw USING (n, g)),
+            h AS (SELECT doc_id, p, n, item_id, ip FROM dg JOIN bw USING (n, g)),
+            runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - ip ORDER BY p) AS run FROM h),
+            m AS (SELECT doc_id, item_id, min(p) - 1 AS dw, min(ip) - 1 AS iw, count(*) + any_value(n) - 1 AS size FROM runs GROUP BY doc_id, item_id, p - ip, run),
+            longest AS (SELECT doc_id, max(size) AS longest, string_agg(concat_ws(':', item_id, dw, iw, size), ',' ORDER BY dw, iw, item_id::VARCHAR) AS places FROM m GROUP BY doc_id),
             hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
             hi AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM h) GROUP BY doc_id)
             SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-                   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-            FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+                   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match, coalesce(places, '') AS places
+            FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id) LEFT JOIN longest USING (doc_id)""",
         "op3_warc_chunk_table": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
             h AS (SELECT page_id, strlen(body) AS size, sha1(body) AS x FROM p),
