@@ -18,7 +18,7 @@ from .common import NUMBER_ROWS, numbered, unused
 BLOCK_ROWS = 64
 #: Exponent of the default weights (rows of the source to this power) and the slots of a period.
 ALPHA, PERIOD = 0.5, 1000
-#: The schedule is broadcast, at most this many numbers.
+#: The schedules are broadcast, at most this many places in all.
 MAX_SCHEDULE = 4_000_000
 
 
@@ -41,17 +41,25 @@ def pfair(shares: list[int]) -> list[int]:
     return out
 
 
-def phases(shares: list[int], blocks: list[int]) -> list[dict]:
-    """Phases of the whole mix: first slot, period, and for each source still running its first block, share and places in the period."""
-    left, done, start, out = list(blocks), [0] * len(blocks), 0, []
+def phases(shares: list[int], blocks: list[int], most: int | None = None) -> list[dict]:
+    """Phases of the whole mix: first slot, period, and for each source still running its first block, share and places in the period.
+
+    A phase ends with the first source that does: with the period, if that source's blocks fill its last one (all sources
+    are then exactly in proportion), else with its last block. Sources that end together need one phase. More than
+    ``most`` places in all raise a ValueError.
+    """
+    left, done, start, out, size = list(blocks), [0] * len(blocks), 0, [], 0
     while any(left):
         active = [i for i, n in enumerate(left) if n]
+        d = sum(shares[i] for i in active)
+        size += d
+        if most is not None and size > most:
+            raise ValueError(f"the schedule of {len(shares)} sources takes more than {most} places; use smaller shares or larger blocks")
         pattern = pfair([shares[i] for i in active])
-        d = len(pattern)
         places: dict[int, list[int]] = {i: [] for i in active}
         for t, k in enumerate(pattern):
             places[active[k]].append(t)
-        end = min((left[i] - 1) // shares[i] * d + places[i][(left[i] - 1) % shares[i]] + 1 for i in active)
+        end = min(left[i] // shares[i] * d if left[i] % shares[i] == 0 else left[i] // shares[i] * d + places[i][left[i] % shares[i] - 1] + 1 for i in active)
         out.append({"start": start, "period": d, "sources": {i: (done[i], shares[i], places[i]) for i in active}})
         whole, rest = divmod(end, d)
         for i in active:
@@ -78,6 +86,8 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", shares:
 
     ``shares`` maps sources to integer weights (default: rows to the power ALPHA). Blocks hold ``block_rows`` rows in
     hash order, the last of a source perhaps fewer. Null is a source of its own; sources without a share get 1.
+    Columns of any name and kind stay; an empty table gives an empty one. A ValueError says when the schedules would take
+    more than MAX_SCHEDULE places: the sum over phases of their periods, of which there are no more than distinct ends of sources.
     With ``within``, each value of that column is a mix of its own, to the same weights. ``order`` names the gapless
     position of an earlier mix; a source's rows then keep that order instead of the hash's.
     """
@@ -90,27 +100,27 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", shares:
         per_part.setdefault(r.g, {})[r.s] = r.n
     rows = [sum(p.get(s, 0) for p in per_part.values()) for s in names]
     weight = default_shares(rows) if shares is None else [int(shares.get(n, 1)) for n in names]
-    if len(names) * sum(weight) * max(1, len(per_part)) > MAX_SCHEDULE:
-        raise ValueError(f"{len(names)} sources with {sum(weight)} shares in {len(per_part)} mixes: the schedules would exceed {MAX_SCHEDULE} numbers; use smaller shares")
-    per = []
+    per, room = [], MAX_SCHEDULE
     for g, have in per_part.items():
         blocks = [-(-have.get(s, 0) // block_rows) for s in names]
-        plan = phases(weight, blocks)
+        plan = phases(weight, blocks, room)
+        room -= sum(p["period"] for p in plan)
         short = [(slot_of(plan, i, blocks[i] - 1), block_rows * blocks[i] - have[s]) for i, s in enumerate(names) if s in have]
         for i, s in enumerate(names):
             if s in have:
                 per.append((g, s, *map(list, zip(*[(p["sources"][i][0], p["start"], p["period"], p["sources"][i][1], p["sources"][i][2]) for p in plan if i in p["sources"]])), [x for x in short if x[1]]))
-    no, pair, first, start, period, share, places, lacks, block, position = unused(docs, "mix_row", "mix_pair", "mix_first", "mix_start", "mix_period", "mix_share", "mix_places", "mix_short", "mix_block", "mix_position")
+    no, pair, gcol, scol, first, start, period, share, places, lacks, block, position = unused(docs, "mix_row", "mix_pair", "mix_part", "mix_source", "mix_first", "mix_start", "mix_period", "mix_share", "mix_places", "mix_short", "mix_block", "mix_position")
     kind, part_kind = docs.schema[source].dataType.simpleString(), "int" if within is None else docs.schema[within].dataType.simpleString()
-    side = spark.createDataFrame(per, f"_g {part_kind}, _s {kind}, `{first}` array<long>, `{start}` array<long>, `{period}` array<long>, `{share}` array<long>, `{places}` array<array<long>>, `{lacks}` array<struct<s:long,m:long>>")
+    side = spark.createDataFrame(per, f"`{gcol}` {part_kind}, `{scol}` {kind}, `{first}` array<long>, `{start}` array<long>, `{period}` array<long>, `{share}` array<long>, `{places}` array<array<long>>, `{lacks}` array<struct<s:long,m:long>>")
     if order is None:
         # Hash order spreads a source's documents; all columns take part, so only wholly equal rows share a place.
-        salt = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.simpleString() != "map"])
-        sort = [salt, F.col(id_col)]
+        # (Maps have no hash; they take part as sorted entries written out.)
+        salt = F.xxhash64(*[F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema if "variant" not in f.dataType.simpleString()])
+        sort = [salt, F.col(f"`{id_col}`")]
     else:  # numbered() takes its buckets in turn, and these are runs of the order
         salt, sort = F.floor(F.col(f"`{order}`") / NUMBER_ROWS), [F.col(f"`{order}`")]
     out = numbered(docs.withColumn(pair, F.struct(part.alias("g"), F.col(f"`{source}`").alias("s"))), pair, sum(rows), salt, sort, no)
-    out = out.join(F.broadcast(side), out[pair]["g"].eqNullSafe(side["_g"]) & out[pair]["s"].eqNullSafe(side["_s"])).drop("_g", "_s", pair)
+    out = out.join(F.broadcast(side), out[pair]["g"].eqNullSafe(side[gcol]) & out[pair]["s"].eqNullSafe(side[scol])).drop(gcol, scol, pair)
     j = F.floor(F.col(no) / block_rows)
     k = F.size(F.filter(first, lambda f: f <= j)) - 1
     at = lambda c: F.get(c, k)
@@ -122,7 +132,7 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", shares:
 
 
 def in_mix_order(docs: DataFrame, rows_per_file: int = 20_000, **how) -> DataFrame:
-    """The rows of ``docs`` with its columns only, laid out so that each file is a run of the mix, in order."""
+    """The rows of ``docs`` with its columns only, laid out so that each file is a run of the mix, in order; hard rows as for ``mix``."""
     mixed = mix(docs, **how)
     position = mixed.columns[-1]
     parts = max(1, -(-docs.count() // rows_per_file))
