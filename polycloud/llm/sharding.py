@@ -123,6 +123,8 @@ def into_shards(docs: DataFrame, shards: int = SHARDS, mixed: str | None = None,
 
     ``mixed`` names the position that ``mixing.mix`` gave the rows (it is dropped): the slots of every shard are then a
     mix to the same weights (``how`` as for ``mix``), in which each source keeps the order of its positions.
+
+    Null and empty texts are one group; equal rows get a slot each; columns of any name stay; an empty table stays empty.
     """
     shard, slot, row = unused(docs, "shard", "slot", "row_no")
     key, = unused(docs, "text_key")
@@ -130,7 +132,7 @@ def into_shards(docs: DataFrame, shards: int = SHARDS, mixed: str | None = None,
     groups = keyed.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("copies"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("bytes"))
     placed = table(assign_groups(groups, shards).withColumnRenamed("key", key).withColumnRenamed("shard", shard), "placed")
     total = docs.count()
-    rows = join_hot(keyed, placed, key, "copies", total, F.xxhash64("doc_id"))
+    rows = join_hot(keyed, placed, key, "copies", total, F.monotonically_increasing_id())
     if mixed is not None:
         out = mix(rows.drop(key), within=shard, order=mixed, **how)
         return out.withColumnRenamed(out.columns[-1], slot).drop(out.columns[-2], mixed)

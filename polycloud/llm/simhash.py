@@ -257,7 +257,7 @@ def similar_components(docs: DataFrame, budget: int = 4, shingle: int = 4) -> Da
     roots = components(hamming_links(nodes.select("fp"), "fp", budget))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root"))
     named = table(joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "copies", "component_id"), "components")
-    out = join_hot(fp, named, "fp", "copies", fp.count(), F.xxhash64("doc_id"))
+    out = join_hot(fp, named, "fp", "copies", fp.count(), F.monotonically_increasing_id())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
