@@ -68,6 +68,8 @@ def test_decontamination_equals_brute_force(spark):
     rows = [(1, None), (2, ""), (3, "..."), (4, words(9, 50)), (5, "x " + items[0][1].upper() + " y"), (6, " ".join(b[5:20])), (7, " ".join(b[:9])), (8, "-".join(b[3:13])), (9, "Only, four: WORDS here"), (9, "Only, four: WORDS here"), (None, items[1][1]), (11, words(10, 20_000) + " " + items[6][1])]
     docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(docs, bench).collect())
+    places = {r.doc_id: r.places for r in decontaminate.report(docs, bench).collect()}
+    assert places[5] == "1:1:0:30" and places[6] == "1:0:5:15" and places[7] == ""
     assert got == sorted((str(x[0]), *x[1:]) for x in decontaminate.brute_force(rows, items))
     longest = {r.doc_id: r.longest_match for r in decontaminate.report(docs, bench).collect()}
     assert longest[5] == 30 and longest[6] == 15 and longest[7] == 0
@@ -84,9 +86,23 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(tuple, decontaminate.report(docs, bench).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 300)
     assert sorted(map(tuple, decontaminate.report(docs, bench).collect())) == one
 
 
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30), min_size=1, max_size=5), st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=4), min_size=1, max_size=8))
+@settings(max_examples=80, deadline=None)
+def test_binary_search_finds_every_place(texts, heads):
+    flat = np.array([x for t in texts for x in t], np.uint64) * np.uint64(2**62)
+    first = np.cumsum([0, *map(len, texts)])
+    array = decontaminate.SuffixArray(flat, np.repeat(first[1:], np.diff(first)), 4)
+    padded = np.array([np.pad(np.array(x, np.uint64) * np.uint64(2**62), (0, 4 - len(x))) for x in heads])
+    lo, hi = array.find(padded, np.array([len(x) for x in heads]))
+    for head, a, b in zip(heads, lo, hi):
+        want = [first[i] + p for i, t in enumerate(texts) for p in range(len(t)) if t[p : p + len(head)] == head]
+        assert sorted(array.order[a:b].tolist()) == want
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------
 
 
@@ -170,9 +186,10 @@ def test_shards_keep_groups_and_number_slots(spark):
     for s in range(8):
         mine = sorted(r.slot for r in got if r.shard == s)
         assert mine == list(range(len(mine)))
-    clash = docs_of(spark, rows).withColumns({"shard": F.lit("a"), "slot": F.lit(1)})
+    clash = docs_of(spark, rows).withColumns({"shard": F.lit("a"), "slot": F.lit(1), "_hk": F.lit("h"), "_ck": F.lit("c"), "_lk": F.lit("l"), "_k": F.lit("k"), "key": F.lit("q"), "hot_key": F.lit("r"), "copies": F.lit(9)})
     out = sharding.into_shards(clash)
-    assert out.columns[:4] == clash.columns and out.count() == 303
+    assert out.columns[: len(clash.columns)] == clash.columns
+    assert out.filter("shard = 'a' and slot = 1 and _hk = 'h' and _ck = 'c' and _lk = 'l' and _k = 'k' and key = 'q' and hot_key = 'r' and copies = 9").count() == 303
     assert sharding.shard_documents(docs_of(spark, [])).count() == 0
 
 
@@ -209,6 +226,15 @@ def test_mix_keeps_all_rows_and_follows_the_plan(spark):
     assert mixing.mix(d.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(d, shares={"a": 10**7})
+    hard = d.withColumns({"_k": F.lit("k"), "_s": F.lit(2), "_g": F.lit(3), "mix_part": F.lit(4), "bucket": F.lit(5), "m": F.create_map(F.lit("a"), F.col("doc_id"))})
+    out = mixing.mix(hard, block_rows=8)
+    assert out.columns[: len(hard.columns)] == hard.columns and out.filter("_k = 'k' and _s = 2 and _g = 3 and mix_part = 4 and bucket = 5").count() == 203
+
+
+def test_thousands_of_sources_are_mixed(spark):
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2500).alias("source"))
+    got = mixing.mix(d, block_rows=1).select("mix_position").collect()
+    assert sorted(r.mix_position for r in got) == list(range(6000))
 
 
 def test_slots_of_every_shard_follow_the_mix(spark):
@@ -374,6 +400,24 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert kdtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_large_and_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 20)
+    g = np.random.default_rng(3)
+    v = np.round(g.normal(size=(200, 3)), 1).astype(np.float32)
+    v[50:150] = v[50]  # more than a shard of equal ones
+    v[0], v[7], v[20], v[33] = [4e7, 1, -1], [3e9, 0, 0], [1e12, -1e12, 3], [-5e37, 0, 1]
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    d = d.withColumns({"id": F.lit(1), "v": F.lit(2), "dim": F.lit(3), "cell": F.lit(4)})
+    got = {}
+    for r in kdtree.top_k(d, k=15).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    q = [[int(np.floor(64 * float(x))) for x in row] for row in v]
+    for i in range(0, 200, 20):
+        s = [max(-kdtree.LIMIT, min(kdtree.LIMIT, sum(a * b for a, b in zip(q[i], x)))) for x in q]
+        want = sorted((-s[j], j) for j in range(200) if j != i)[:15]
+        assert sorted(got[i]) == [(n + 1, j, -x) for n, (x, j) in enumerate(want)]
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------
 
 
@@ -498,6 +542,31 @@ def test_every_notice_of_a_block_is_found(spark):
         assert all(x["end"] <= y["start"] for x, y in zip(found, found[1:]))
 
 
+def test_wrapped_headers_long_lines_and_brute_force(spark):
+    import textwrap
+
+    by = lambda name: [w for n, w, _ in licenses.TEMPLATES if n == name]
+    mit, bsd, apache = by("MIT")[2], by("BSD")[0], by("Apache-2.0")[1]
+    wrapped = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 72))
+    texts = [wrapped(mit), wrapped(bsd, "# "), wrapped(apache, " * "), mit + " " + bsd, words(3, 3000) + " " + mit + " " + words(4, 3000), "\n\n".join([wrapped(x) for x in by("MIT")[2:5]]), "SPDX-License-Identifier: GPL-3.0-or-later", "Copyright 2019 X. All rights reserved.", "a license to use the software is a permission of the owner", mit.replace("free of charge", "at no cost"), None, ""]
+    d = docs_of(spark, [*enumerate(texts), (3, texts[3])]).withColumns({"found": F.lit(1), "license": F.lit("x")})
+    rows = licenses.report(d).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts) + 1
+    assert [got[i].licenses for i in range(len(texts))] == ["MIT", "BSD", "Apache-2.0", "BSD,MIT", "MIT", "MIT", "GPL-3.0", "Proprietary", "", "MIT", "", ""]
+    assert got[5].n_notices == 3 and ":variant:" in got[9].spans
+    s = licenses.Scanner().scan(texts[4])[0]
+    assert texts[4][s["start"] : s["end"]] == mit[:-1] and s["kind"] in ("exact", "contains")
+    assert licenses.report(d.limit(0)).count() == 0
+    # Every window of the words, without looking for cues or regions first, confirms nothing else.
+    scanner = licenses.Scanner()
+    for t in texts[:10]:
+        w = tuple(x.decode() for x in common.lower_words(t.encode()))
+        every = {scanner.classify(w[p : p + 400]) for p in range(0, len(w), 200)}
+        assert {x[0] for x in every if x} <= set(got[texts.index(t)].licenses.split(","))
+        assert any(every) == bool(got[texts.index(t)].n_notices)
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------
 
 
