@@ -1,7 +1,8 @@
 """WARC archives by way of a chunked record table.
 
 A payload travels as rows (record, chunk number, chunk, digest so far), so no step after the page's own row holds a whole
-record: the writer streams sorted chunk rows into gzip members, the reader streams members back into chunk rows.
+record: the writer streams sorted chunk rows into gzip members and holds its own running digest against each row's, the
+reader streams members back into chunk rows and holds the digest of what it read against the record's.
 """
 
 from __future__ import annotations
@@ -81,10 +82,11 @@ def chunk_table(pages: DataFrame, chunk: int = CHUNK, least: int = 0) -> DataFra
             view = memoryview(data)
             ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                full = hashlib.sha1()
-                for p in range(a, b, chunk):
-                    full.update(view[p : min(b, p + chunk)])
-                digest, sha = _b32(full.digest()), hashlib.sha1()
+                sha, so_far = hashlib.sha1(), []
+                for p in range(a, max(b, a + 1), chunk):
+                    sha.update(view[p : min(b, p + chunk)])
+                    so_far.append(_b32(sha.digest()))
+                digest = so_far[-1]
                 if b - a >= least:
                     if (ids[i], digest) in seen:
                         rows.append((ids[i], urls[i], digest, b - a, 0, b - a <= chunk, True, None, None))
@@ -92,8 +94,7 @@ def chunk_table(pages: DataFrame, chunk: int = CHUNK, least: int = 0) -> DataFra
                     seen.add((ids[i], digest))
                 for n, p in enumerate(range(a, max(b, a + 1), chunk)):
                     piece = view[p : min(b, p + chunk)]
-                    sha.update(piece)
-                    rows.append((ids[i], urls[i], digest, b - a, n, p + chunk >= b, False, bytes(piece), _b32(sha.digest())))
+                    rows.append((ids[i], urls[i], digest, b - a, n, p + chunk >= b, False, bytes(piece), so_far[n]))
                     held += len(piece) + 100
                     if held >= BATCH_BYTES:
                         yield flush()
@@ -140,15 +141,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, chunk: int = C
         raise ValueError("payloads below the revisit limit must fit in one chunk")
     # One shuffle of the payloads: a page's decision travels as a row ahead of its chunks.
     decided = record_types(pages, least).select("page_id", "digest", F.lit(-1).cast("long").alias("chunk_no"), "shared", "response")
-    rows = chunk_table(pages, chunk, least).drop("so_far").unionByName(decided, allowMissingColumns=True)
+    rows = chunk_table(pages, chunk, least).unionByName(decided, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         path = out = member = None
         shared = answers = opened = False
-        response, written, extra = None, -1, 0
+        response, written, extra, sha = None, -1, 0, hashlib.sha1()
         for batch in batches:
-            for page_id, url, digest, total, n, last, data, is_shared, said in zip(*[col.to_pylist() for col in batch.columns]):
+            for page_id, url, digest, total, n, last, data, so_far, is_shared, said in zip(*[col.to_pylist() for col in batch.columns]):
                 if n < 0:
                     shared, response, opened = is_shared, said, False
                     answers = not shared or page_id == response
@@ -163,11 +164,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, chunk: int = C
                 if n == 0 and shared and opened:
                     extra += 1  # another copy of the row whose payload is being written
                 elif n == 0:
-                    opened, written, extra, member = True, -1, 0, _Member(out)
+                    opened, written, extra, member, sha = True, -1, 0, _Member(out), hashlib.sha1()
                     for part in _head(page_id, url, digest, total, "response", None):
                         member.write(part)
                 if member is not None and n == written + 1:  # copies bring each chunk again
                     member.write(data or b"")
+                    sha.update(data or b"")
+                    if _b32(sha.digest()) != so_far or (last and so_far != digest):
+                        raise ValueError(f"chunk {n} of page {page_id} does not continue the digest before it")
                     written = n
                     if last:
                         member.write(b"\r\n\r\n")
@@ -180,7 +184,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, chunk: int = C
             yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
     ordered = rows.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", "chunk_no", "copy")
-    files = ordered.select("page_id", "url", "digest", "bytes", "chunk_no", "last", "data", "shared", "response").mapInArrow(run, "path string")
+    files = ordered.select("page_id", "url", "digest", "bytes", "chunk_no", "last", "data", "so_far", "shared", "response").mapInArrow(run, "path string")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     return sorted(r.path for r in files.collect())
@@ -279,7 +283,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes all ``pages`` to archives in the shared folder and returns what reading them back gives.
+    """Writes all ``pages`` to archives in the shared folder and returns what reading them back gives. Only page_id, url and html are read.
 
     A null html is an empty payload; rows that repeat both page_id and payload give one response and revisits of it; a
     null page_id is the smallest; an empty table gives no archive and no row.
