@@ -1,9 +1,10 @@
 """SimHash near-duplicates: fingerprints of whole texts, a binary-trie self-join under a Hamming budget, components.
 
 The self-join is spread by pigeonhole: fingerprints within ``budget`` bits agree on at least one of budget + 1 blocks,
-so each distinct fingerprint goes to one bucket per block. Inside a bucket the trie is traversed pairwise: two nodes
-start equal, each level adds the differing bit, and a pair is dropped once it is over budget. A bucket returns at most
-one link per member (a spanning forest), never its pairs.
+so each distinct fingerprint goes to one bucket per block. A bucket of more than BUCKET_ROWS is cut by the same argument
+over its remaining bits. Inside a bucket the trie is traversed pairwise: two nodes start equal, each level adds the
+differing bit, and a pair is dropped once it is over budget. A bucket returns at most one link per member (a spanning
+forest), never its pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ BITS = 64
 LEAF = 64
 #: Node or member pairs handled by one numpy step; bounds memory only.
 STEP = 1 << 19
+#: Larger buckets are cut into smaller ones.
+BUCKET_ROWS = 1 << 20
 #: Near-duplicate stage: words of the wide fingerprint, and the slices of it that the trie joins.
 WIDE_WORDS, SLICE_BITS, SLICES, SLICE_BUDGET = 8, 22, 16, 2
 SHINGLE, SIMILARITY = 5, 0.8
@@ -204,18 +207,49 @@ def _bounds(bucket: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
 
 
+def _cut(bucket: np.ndarray, kind: int, kinds: int, value: np.ndarray, rest: int, budget: int) -> list[np.ndarray]:
+    """Buckets (negative, ``kind`` can be read off) for members whose last ``rest`` bits of ``value`` may differ in ``budget``: one per block of those bits."""
+    out = []
+    for j, (off, w) in enumerate(blocks(rest, budget)):
+        part = (value >> np.uint64(rest - off - w)) & np.uint64((1 << w) - 1)
+        h = mix(mix(bucket.view(np.uint64) * np.uint64(8) + np.uint64(j)) ^ part) >> np.uint64(16)
+        out.append(-(1 + kind + kinds * h.astype(np.int64)))
+    return out
+
+
+def _bounded(keyed: DataFrame, members: int, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``keyed(bucket, ...)`` of ``members`` nodes with the buckets of more than BUCKET_ROWS rows cut."""
+    if members <= BUCKET_ROWS:  # no bucket can hold more
+        return keyed
+    large = table(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS).select("bucket"), "large")
+    if large.isEmpty():
+        return keyed
+    hot = keyed.join(large, "bucket", "left_semi").mapInArrow(cut, keyed.schema)
+    return keyed.join(large, "bucket", "left_anti").select(keyed.columns).unionAll(hot)
+
+
 def hamming_links(nodes: DataFrame, fp: str, budget: int) -> DataFrame:
     """Links (u, v) whose transitive closure is that of all pairs of 64-bit values (signed, distinct) within ``budget`` bits."""
     plan = blocks(BITS, budget)
     top = lambda off, w: F.shiftrightunsigned(F.shiftleft(F.col(fp), off), 64 - w)
     keyed = nodes.select(F.explode(F.array(*[F.struct((F.lit(k << 32).cast("long") + top(off, w)).alias("bucket"), F.col(fp).alias("x")) for k, (off, w) in enumerate(plan)])).alias("b")).select("b.bucket", "b.x")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _buckets(batches):
-            bucket, x = whole.column(0).to_numpy(), whole.column(1).to_numpy().view(np.uint64)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, x = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             for k in np.unique(bucket >> 32).tolist():
                 mine = bucket >> 32 == k
                 off, width = plan[k]
+                for b in _cut(bucket[mine], k, len(plan), _rotated(x[mine], off, BITS), BITS - width, budget):
+                    yield pa.RecordBatch.from_arrays([pa.array(b), batch.column(1).filter(pa.array(mine))], names=["bucket", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _buckets(batches):
+            bucket, x = whole.column(0).to_numpy(), whole.column(1).to_numpy().view(np.uint64)
+            kind = np.where(bucket < 0, -1, bucket >> 32)
+            for k in np.unique(kind).tolist():
+                mine = kind == k
+                off, width = plan[k] if k >= 0 else (0, 0)  # members of a cut bucket share no leading bits
                 value, group = _rotated(x[mine], off, BITS), bucket[mine]
                 order = np.lexsort((value, group))
                 value, node = value[order], x[mine][order].view(np.int64)
@@ -224,7 +258,7 @@ def hamming_links(nodes: DataFrame, fp: str, budget: int) -> DataFrame:
                 linked = np.flatnonzero(parent != np.arange(len(parent)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[parent[linked]])], names=["u", "v"])
 
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return _bounded(keyed, nodes.count(), cut).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
 # --- operators --------------------------------------------------------------------------------------------------
@@ -273,6 +307,7 @@ def candidates(nodes: DataFrame, budget: int, forest: bool) -> DataFrame:
     All of them, or with ``forest`` at most one a member of a bucket, which touch every node that has a pair.
     """
     plan = blocks(SLICE_BITS, SLICE_BUDGET)
+    kinds = SLICES * len(plan)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,14 +320,27 @@ def candidates(nodes: DataFrame, budget: int, forest: bool) -> DataFrame:
                 some = buckets[a : a + 6]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.concat_arrays([batch.column(0)] * len(some)), pa.concat_arrays([batch.column(1)] * len(some))], names=["bucket", "fp", "root"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+            for t in np.unique(bucket >> 32).tolist():
+                mine = bucket >> 32 == t
+                off, width = plan[t % len(plan)]
+                rest = [c.filter(pa.array(mine)) for c in batch.columns[1:]]
+                for b in _cut(bucket[mine], t, kinds, _rotated(_slice(raw[mine], t // len(plan)), off, SLICE_BITS), SLICE_BITS - width, SLICE_BUDGET):
+                    yield pa.RecordBatch.from_arrays([pa.array(b), *rest], names=["bucket", "fp", "root"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _buckets(batches, 1 << 16):
             bucket, roots = whole.column(0).to_numpy(), whole.column(2).to_numpy()
             raw = np.frombuffer(b"".join(whole.column(1).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-            kind = bucket >> 32
+            # Members of a cut bucket (negative) share no leading bits.
+            kind = np.where(bucket < 0, kinds + (-bucket - 1) % kinds, bucket >> 32)
             for t in np.unique(kind).tolist():
                 mine = np.flatnonzero(kind == t)
-                off, width = plan[t % len(plan)]
+                off, width = plan[t % len(plan)] if t < kinds else (0, 0)
+                t %= kinds
                 value = _rotated(_slice(raw[mine], t // len(plan)), off, SLICE_BITS)
                 order = np.lexsort((value, bucket[mine]))
                 value, w, root = value[order], raw[mine[order]], roots[mine[order]]
@@ -317,7 +365,8 @@ def candidates(nodes: DataFrame, budget: int, forest: bool) -> DataFrame:
                     for a in range(0, len(i), 1 << 16):
                         yield pa.RecordBatch.from_arrays([give(i[a : a + (1 << 16)]), give(j[a : a + (1 << 16)])], names=["u", "v"])
 
-    out = nodes.select("fp", "root").mapInArrow(slices, "bucket long, fp binary, root long").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u binary, v binary")
+    keyed = nodes.select("fp", "root").mapInArrow(slices, "bucket long, fp binary, root long")
+    out = _bounded(keyed, nodes.count(), cut).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u binary, v binary")
     return out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
