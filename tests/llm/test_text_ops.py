@@ -145,12 +145,40 @@ def test_pii_over_hard_rows(spark):
     assert pii.masked("to a@b.com", [(3, 0, 10)]) == "to <email>"
 
 
+def test_stored_tagger_on_fresh_windows_and_long_regions(monkeypatch):
+    finder = pii.Finder(pii.trained())
+    x, y = labelled_windows(400, pii.WIDTH, seed=99)
+    got = viterbi(finder.tagger.emissions(x), np.full(400, pii.WIDTH), finder.transitions)
+    assert (got == y).mean() > 0.95 and (got == y)[y > 0].mean() > 0.85
+    again = [Tagger(4, 3) for _ in range(2)]
+    for t in again:
+        t.train(*labelled_windows(60, 32), 1)
+    assert all(np.array_equal(again[0].p[k], again[1].p[k]) for k in again[0].p)
+    find = lambda t: [t[a:b] for a, _, b in finder.spans([t])[0]]
+    assert find("write to alice (at) example (dot) com now") == ["alice (at) example (dot) com"]
+    name = "abcdefghijklmnopqrstuvwxyzabcdefghijklmn"
+    assert find(f"write to {name} (at) example (dot) com now") == [f"{name} (at) example (dot) com"]
+    r = random.Random(4)
+    text = " ".join(r.choice(["12", "(at)", "4111 1111 1111 1111", "bob (at) site (dot) com", "x" * 30, "10.0.0.1 "]) for _ in range(200))
+    whole = finder.decode([text])[0]
+    monkeypatch.setattr(pii, "LONGEST", 128)
+    parts = finder.decode([text])[0]
+    assert len(whole) > 20 and [x[:3] for x in parts] == [x[:3] for x in whole]
+
+
+def test_pii_of_repeated_and_clashing_rows(spark):
+    d = docs_of(spark, [(1, "a.b@c.de"), (1, "a.b@c.de"), (None, "+49 30 1234567")]).withColumns({"base": F.lit(1), "added": F.lit(2), "n_email": F.lit(3)})
+    rows = pii.report(d).collect()
+    assert sorted(r.spans for r in rows) == ["email:0:8", "email:0:8", "phone:0:14"]
+    assert pii.report(d.limit(0)).count() == 0
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------
 
 
 def test_warc_round_trip(spark):
     rows = [(1, "u", "abc"), (2, "u v", "abc"), (3, "x", None), (4, None, ""), (5, "b", "é" * 50_000), (6, "b", "é" * 50_000), (6, "b", "é" * 50_000), (None, "n", "zz"), (None, "n", "zz"), (7, "n", "yy\r\n\r\nWARC/1.1"), (8, "a", "q" * 65_536)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("d"), "chunk_no": F.lit(1), "so_far": F.lit("s")})
     got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.round_trip(pages).collect())
     assert got == sorted([("1", 3, "revisit", "2"), ("2", 3, "response", "None"), ("3", 0, "revisit", "4"), ("4", 0, "response", "None"), ("5", 100_000, "revisit", "6"), ("6", 100_000, "response", "None"), ("6", 100_000, "revisit", "6"), ("None", 2, "response", "None"), ("None", 2, "revisit", "None"), ("7", 14, "response", "None"), ("8", 65_536, "response", "None")])
     kinds = {r.record_type: r["count"] for r in warc.round_trip(pages, least=5).groupBy("record_type").count().collect()}
@@ -291,7 +319,9 @@ def test_trie_join_equals_all_pairs(budget):
     assert got == want
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_components_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", most)
     base = [words(i, 200) for i in range(12)]
     rows = [(i, t) for i, t in enumerate(base)]
     rows += [(100 + 10 * i + k, t + " tail" * k) for i, t in enumerate(base[:6]) for k in range(1, 6)]
@@ -346,7 +376,9 @@ def jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def test_near_duplicate_stage_cuts_at_the_similarity(spark):
+@pytest.mark.parametrize("most", [1 << 20, 20])
+def test_near_duplicate_stage_cuts_at_the_similarity(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", most)
     rows, want = [], set()
     for i in range(120):
         w = words(20_000 + i, 204).split()
@@ -372,6 +404,37 @@ def test_near_duplicate_stage_cuts_at_the_similarity(spark):
     assert len(set(got) - want) <= 1  # the slices miss a pair at 0.8 with probability 0.002
 
 
+def test_near_duplicate_recall_against_all_pairs(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(70):
+        w = words(70_000 + i, r.randint(30, 400)).split()
+        rows.append((10 * i, " ".join(w)))
+        for k in range(1, 4):
+            x = list(w)
+            for _ in range(int(len(w) * r.choice([0.005, 0.01, 0.02, 0.03]))):
+                x[r.randrange(len(x))] = "q" + str(r.random())[2:6]
+            rows.append((10 * i + k, " ".join(x)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    root, links = list(range(len(rows))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {rows[find(i)][0] for i in range(len(rows))}
+    got = {x.doc_id for x in simhash.keep_one(docs_of(spark, rows)).collect()}
+    assert links > 100 and len(want) < len(rows) - 60
+    assert want <= got and len(got - want) <= 0.1 * (len(rows) - len(want))
+
+
 def test_rows_of_one_id_replace_each_other_within_a_group_only(spark):
     a, b = words(60_000, 100), words(60_001, 100)
     d = docs_of(spark, [(1, a), (1, b), (1, b), (2, a), (3, b)])
