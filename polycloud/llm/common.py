@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Shuffle files go as soon as the query that wrote them has ended, not when the driver happens to collect its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files as soon as they end, not when the driver happens to collect its garbage, and hand Python a few MB at a time."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -48,15 +59,10 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
     The shuffles behind it are deleted once it is written. ``drop_table`` deletes the table itself.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = shared_path(df.sparkSession, name)
+    with lean(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:

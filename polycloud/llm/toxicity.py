@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, batches_of, drop_table, mix, table, text_bytes, unused, word_hashes, word_spans
+from .common import ALNUM, batches_of, drop_table, lean, mix, table, text_bytes, unused, word_hashes, word_spans
 
 #: Labelled rows that seeds and scale are fitted on, at most about (chosen by hash of doc_id); words and their pairs are counted in all documents.
 MAX_FIT_ROWS = 10_000
@@ -31,7 +31,7 @@ MIN_DOCS, MIN_SHARE, MAX_SHARE = 3, 1e-5, 0.2
 #: Walks end when no more than TOLERANCE of the visits move in a step.
 WINDOW, RESTART, STEPS, TOLERANCE = 5, 0.15, 60, 1e-3
 #: Distinct words or pairs that a task holds before it passes them on; pairs of a bucket; passes that turn pairs into arcs.
-HELD, BUCKET_PAIRS, PASSES = 3_000_000, 4_000_000, 2
+HELD, BUCKET_PAIRS, PASSES = 2_500_000, 4_000_000, 4
 #: Codes that are packed together, so that a step over them stays in a core's cache.
 PACK = 1 << 16
 #: Graphs that are smaller once packed are walked by the driver (the same steps without a job for each).
@@ -101,7 +101,7 @@ def pack(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def unpack(raw: bytes) -> np.ndarray:
+def unpack(raw: bytes | pa.Buffer) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
     wide = np.flatnonzero(planes.any(1))
     out = np.zeros(planes.shape[1], np.int64)
@@ -161,12 +161,12 @@ def _merged(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, Counter()
         for batch in batches:
-            for b, codes, counts in zip(*(x.to_pylist() for x in batch.columns)):
+            for b, codes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if b != now and now is not None:
                     code, c = held.take()
                     yield _rows(np.full(len(code), now), code, c)
                 now = b
-                held.add(np.cumsum(unpack(codes)), unpack(counts))
+                held.add(np.cumsum(unpack(codes.as_buffer())), unpack(counts.as_buffer()))
         if now is not None:
             code, c = held.take()
             yield _rows(np.full(len(code), now), code, c)
@@ -235,16 +235,27 @@ def arcs_of(pairs: DataFrame, size: int, buckets: int, part: int, parts: int) ->
     """The pairs in both directions, code to * size + from, in buckets of ``to``; those buckets that ``part`` of ``parts`` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            code, c = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(code)
+            return _rows(code[order] // size % buckets, code[order], c[order])
+
         for batch in batches:
-            for codes, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                code, c = np.cumsum(unpack(codes)), unpack(counts)
+            for codes, counts in zip(batch.column(1), batch.column(2)):
+                code, c = np.cumsum(unpack(codes.as_buffer())), unpack(counts.as_buffer())
                 i, j = code // size, code % size
-                to, at = np.concatenate([i, j]), np.concatenate([j, i])
-                bucket = to % buckets
-                mine = np.flatnonzero(bucket % parts == part)
-                order = mine[np.argsort((to * size + at)[mine])]
-                if len(order):
-                    yield _rows(bucket[order], (to * size + at)[order], np.concatenate([c, c])[order])
+                for to, at in ((i, j), (j, i)):
+                    mine = np.flatnonzero(to % buckets % parts == part)
+                    held.append((to[mine] * size + at[mine], c[mine]))
+                    n += len(mine)
+                if n > HELD:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
 
     return _merged(pairs.mapInArrow(run, PACKED))
 
@@ -263,16 +274,17 @@ def walks(arcs: list[DataFrame], size: int, seeds: list[np.ndarray]) -> list[np.
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for codes, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    code = np.cumsum(unpack(codes))
+                for codes, counts in zip(batch.column(1), batch.column(2)):
+                    code = np.cumsum(unpack(codes.as_buffer()))
                     to = code // size
                     at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(to[at]), *[pa.array(np.add.reduceat(v, at, dtype=np.float64)) for v in of(to, code - to * size, unpack(counts))]], names=["j", *"ab"[:columns]])
+                    yield pa.RecordBatch.from_arrays([pa.array(to[at]), *[pa.array(np.add.reduceat(v, at, dtype=np.float64)) for v in of(to, code - to * size, unpack(counts.as_buffer()))]], names=["j", *"ab"[:columns]])
 
         if local is not None:
             got = pa.Table.from_batches(run(iter(local)), pa.schema([("j", pa.int64()), *((x, pa.float64()) for x in "ab"[:columns])]))
         else:
-            got = rows.mapInArrow(run, "j long, " + ", ".join(f"{x} double" for x in "ab"[:columns])).toArrow()
+            with lean(rows.sparkSession):
+                got = rows.mapInArrow(run, "j long, " + ", ".join(f"{x} double" for x in "ab"[:columns])).toArrow()
         return np.stack([np.bincount(got["j"].to_numpy(), got[x].to_numpy().astype(np.float64), size) for x in "ab"[:columns]])
 
     mass = sums(1, lambda i, j, c: [c])[0]
