@@ -31,7 +31,7 @@ MIN_DOCS, MIN_SHARE, MAX_SHARE = 3, 1e-5, 0.2
 #: Walks end when no more than TOLERANCE of the visits move in a step.
 WINDOW, RESTART, STEPS, TOLERANCE = 5, 0.15, 60, 1e-3
 #: Distinct words or pairs that a task holds before it passes them on; pairs of a bucket; passes that turn pairs into arcs.
-HELD, BUCKET_PAIRS, PASSES = 2_500_000, 4_000_000, 4
+HELD, BUCKET_PAIRS, PASSES = 1_500_000, 4_000_000, 4
 #: Codes that are packed together, so that a step over them stays in a core's cache.
 PACK = 1 << 16
 #: Graphs that are smaller once packed are walked by the driver (the same steps without a job for each).
