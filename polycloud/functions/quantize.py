@@ -7,12 +7,13 @@ persists no codes.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 
-NAMES = ("none", "pq", "fastscan", "rabitq", "tq4", "tq8", "tq1", "tq1a", "sympq", "tqc", "tq2")
+NAMES = ("none", "pq", "fastscan", "rabitq", "tq4", "tq8", "tq1", "tq1a", "sympq", "sympq1", "sympq2", "sympq8", "sympq16", "tqc", "tq2")
 #: Vectors the data-dependent quantizers are fitted on, at most.
 FIT_VECTORS = 50_000
 
@@ -23,14 +24,14 @@ def rotation(dim: int, seed: int = 42) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def lloyd(x: np.ndarray, k: int, iters: int = 10, seed: int = 0, weights: np.ndarray | None = None, spherical: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Plain (weighted) k-means: centers and assignment. Empty centers restart at a random row; ``spherical`` keeps unit centers and assigns by inner product."""
+def lloyd(x: np.ndarray, k: int, iters: int = 10, seed: int = 0, weights: np.ndarray | None = None, spherical: bool = False, scorer: Quantizer | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Plain (weighted) k-means: centers and assignment. Empty centers restart at a random row; ``spherical`` keeps unit centers and assigns by inner product; ``scorer`` (an 8-bit code, say) replaces exact distances."""
     g = np.random.default_rng(seed)
     k = min(k, len(x))
     c = x[g.choice(len(x), k, replace=False)].astype(np.float64)
     w = np.ones(len(x)) if weights is None else weights
     for step in range(iters + 1):
-        near = x @ c.T if spherical else 2 * x @ c.T - (c * c).sum(1)
+        near = -scorer.scorer("ip" if spherical else "l2")(x, c) if scorer else x @ c.T if spherical else 2 * x @ c.T - (c * c).sum(1)
         a = near.argmax(1)
         if step == iters:
             break
@@ -112,7 +113,7 @@ class ProductQuantizer(Quantizer):
         low = np.stack([t.min(1) for t in tables], 1)
         span = np.max([t.max(1) - t.min(1) for t in tables], axis=0)
         step = np.maximum(span, 1e-12) / 255
-        cut = np.floor if self.truncate else np.rint
+        cut = (lambda v: np.floor(v + 1e-9)) if self.truncate else np.rint
         out = np.zeros((len(q), len(codes["code"])))
         for b, t in enumerate(tables):
             out += cut((t - low[:, b : b + 1]) / step[:, None])[:, codes["code"][:, b]]
@@ -214,7 +215,7 @@ class SymmetricPQ(_Rotated):
 
     def __init__(self, block: int = 4, seed: int = 42):
         super().__init__(seed)
-        self.block = block
+        self.block, self.name = block, "sympq" if block == 4 else f"sympq{block}"
         self.book = lloyd(np.random.default_rng(11).normal(size=(20_000, block)), 16, 20, 1)[0]
         self.table = self.book @ self.book.T
 
@@ -233,6 +234,19 @@ class SymmetricPQ(_Rotated):
         return out * c["scale"][:, None] * codes["scale"][None]
 
 
+def sign_reference(q: list[float], d: list[float], rows: list[list[float]], asymmetric: bool) -> float:
+    """The one-bit estimate of <q, d> spelt out a coordinate at a time; ``rows`` is the rotation (coordinate, rotated coordinate)."""
+    dim = len(d)
+    turned = [[sum(x[i] * rows[i][j] for i in range(dim)) for j in range(dim)] for x in (q, d)]
+    sign = [1 if y > 0 else -1 for y in turned[1]]
+    if not asymmetric:
+        return sum(s if y > 0 else -s for s, y in zip(sign, turned[0])) / dim
+    top = max(abs(y) for y in turned[0])
+    code = [round(7 * y / top) for y in turned[0]]
+    length = lambda x: sum(y * y for y in x) ** 0.5
+    return sum(c * s for c, s in zip(code, sign)) * length(q) / length(code) * length(d) / dim**0.5
+
+
 class RaBitQ(_Rotated):
     """Residual to a fitted mean, rotated; ``bits`` a coordinate; the published unbiased estimator <o, q> / <o, code>."""
 
@@ -284,11 +298,32 @@ def make(name: str, dim: int = 0) -> Quantizer:
     table: dict[str, Callable[[], Quantizer]] = {
         "none": Quantizer, "pq": ProductQuantizer, "fastscan": lambda: ProductQuantizer(4, 16, True, name="fastscan"), "rabitq": RaBitQ,
         "tq4": TurboQuant, "tq8": TurboQuant8, "tq1": SignQuant, "tq1a": lambda: SignQuant(True), "sympq": SymmetricPQ, "tqc": CenteredTurboQuant, "tq2": lambda: TurboQuant(2),
+        **{f"sympq{b}": (lambda b=b: SymmetricPQ(b)) for b in (1, 2, 8, 16)},
     }
     if name not in table:
         raise ValueError(f"quantizer must be one of {NAMES}, not {name!r}")
     return table[name]()
 
 
+def fitted_state(q: Quantizer) -> bytes | None:
+    """What ``fit`` learnt, if anything."""
+    learnt = {f"b{i}": b for i, b in enumerate(getattr(q, "books", []))} or ({"mean": q.mean} if getattr(q, "mean", None) is not None else {})
+    if not learnt:
+        return None
+    out = io.BytesIO()
+    np.savez(out, **learnt)
+    return out.getvalue()
+
+
+def restored(name: str, state: bytes) -> Quantizer:
+    q = make(name)
+    with np.load(io.BytesIO(state)) as learnt:
+        if "mean" in learnt:
+            q.mean = learnt["mean"]
+        else:
+            q.books = [learnt[f"b{i}"] for i in range(len(learnt))]
+    return q
+
+
 #: Compressed queries come in multiples of these, by quantizer.
 ALIGNMENT = {"tq4": 6, "tq1": 4, "tq8": 6, "sympq": 3, "fastscan": 6}

@@ -20,6 +20,11 @@ def clouds8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clouds_by(spark, sf_dir, F.floor(F.col("vec_id") / 8))
 
 
+def clouds2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small clouds."""
+    return clouds_by(spark, sf_dir, F.floor(F.col("vec_id") / 2))
+
+
 def clouds_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clouds_by(spark, sf_dir, F.floor(F.sqrt(F.col("vec_id"))))
 

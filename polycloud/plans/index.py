@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..functions.compress import compress_queries
 from ..functions.fde import FDEConfig, encode_clouds
-from ..functions.quantize import FIT_VECTORS, Quantizer, make
+from ..functions.quantize import FIT_VECTORS, Quantizer, fitted_state, make, restored
 from ..operators import clouds as C
 from ..operators import cluster, graph, search
 from ..sources.manifest import read_manifest, write_manifest
@@ -36,7 +36,7 @@ class Index:
     # --- search ---------------------------------------------------------------------------------------------
 
     def quantizer(self, name: str) -> Quantizer | None:
-        """Fitted anew on a bounded sample of the corpus after a load; nothing encoded is persisted."""
+        """Fitted on a bounded sample of the corpus when first asked for; what has been fitted is saved with the index. Codes are derived where they are used."""
         if name == "none":
             return None
         if name not in self._fitted:
@@ -84,7 +84,17 @@ class Index:
     def save(self, path: str) -> None:
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-        write_manifest(next(iter(self.tables.values())).sparkSession, f"{path}/manifest", {"version": VERSION, "params": asdict(self.params), "tables": sorted(self.tables)})
+        spark = next(iter(self.tables.values())).sparkSession
+        fitted = [(n, bytearray(state)) for n, q in self._fitted.items() if (state := fitted_state(q))]
+        if fitted:
+            spark.createDataFrame(fitted, "name string, state binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/codebooks")
+        write_manifest(spark, f"{path}/manifest", {"version": VERSION, "params": asdict(self.params), "tables": sorted(self.tables), "codebooks": bool(fitted), "routing": self._routing()})
+
+    def _routing(self) -> str | None:
+        """The order of the prototypes that a routing graph is about."""
+        if "routing" not in self.tables:
+            return None
+        return str(self.tables["prototypes"].agg(F.sum(F.xxhash64("proto_id", "train_row").cast("decimal(38,0)"))).first()[0])
 
     @staticmethod
     def load(spark, path: str) -> Index:
@@ -92,7 +102,12 @@ class Index:
         if m["version"] != VERSION:
             raise ValueError(f"index version {m['version']} is not {VERSION}")
         p = m["params"] | {"spill": tuple(m["params"]["spill"])}
-        return Index(IndexParams(**p), {t: spark.read.parquet(f"{path}/{t}") for t in m["tables"]})
+        index = Index(IndexParams(**p), {t: spark.read.parquet(f"{path}/{t}") for t in m["tables"]})
+        if m.get("routing") != index._routing():
+            raise ValueError("the routing graph belongs to other prototypes")
+        if m.get("codebooks"):
+            index._fitted = {r.name: restored(r.name, bytes(r.state)) for r in spark.read.parquet(f"{path}/codebooks").collect()}
+        return index
 
 
 # --- build ------------------------------------------------------------------------------------------------------
@@ -106,11 +121,6 @@ def build(clouds: DataFrame, params: IndexParams = IndexParams()) -> Index:
     return index
 
 
-def _persisted(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iterative build in the session's checkpoint folder, if there is one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
-
-
 def _children(n: int, p: IndexParams) -> int:
     return max(1, max(4, min(p.k_per_level or math.ceil(math.sqrt(n)), 4 * (n + p.max_leaf - 1) // p.max_leaf, n))) if n >= 4 else n
 
@@ -134,13 +144,13 @@ def _build_tree(index: Index, depth: int | None = None, spill: tuple[int, int] =
         ks = {n: (math.ceil(math.sqrt(c)) if one and not p.k_per_level else min(c, p.k_per_level) if one else _children(c, p)) for n, c in big.items()}
         centers = cluster.train(at, ks, big, p.metric, p.niters, p.center_size, p.mpcc, p.seed + level, p.assign_on)
         top = spill[level - 1] if level <= 2 else 1
-        placed = cluster.assign(at, cluster.centers_of(centers), p.metric, top)
+        placed = cluster.assign(at, centers, p.metric, top)
         first = {}
         for n in ks:  # children of a node get consecutive ids
             first[n] = fresh
             fresh += ks[n]
         start = F.broadcast(spark.createDataFrame(list(first.items()), "node_id long, first long"))
-        moved = _persisted(placed.join(start, "node_id").select((F.col("first") + F.col("child")).alias("node_id"), F.col("node_id").alias("parent_id"), "cloud_id", "vectors").dropDuplicates(["node_id", "cloud_id"]))
+        moved = cluster.persisted(placed.join(start, "node_id").select((F.col("first") + F.col("child")).alias("node_id"), F.col("node_id").alias("parent_id"), "cloud_id", "vectors").dropDuplicates(["node_id", "cloud_id"]))
         here = {r.node_id: (r.n, r.parent_id) for r in moved.groupBy("node_id").agg(F.count("*").alias("n"), F.first("parent_id").alias("parent_id")).collect()}
         # A split that moves everything into one child is no split: that child stays a leaf.
         stuck = {n for n, (c, up) in here.items() if c == counts[up]}
@@ -160,27 +170,48 @@ def _build_tree(index: Index, depth: int | None = None, spill: tuple[int, int] =
         nodes, leaves = [center], [base.select(F.lit(1).cast("long").alias("leaf_id"), "cloud_id")]
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     index.tables["nodes"], index.tables["postings"] = union(nodes), union(leaves)
+    index.tables["lists"] = index.tables["postings"].join(base, "cloud_id").select("leaf_id", "cloud_id", "vectors")
 
 
 def _vector_rows(clouds: DataFrame) -> DataFrame:
-    """Every vector as a cloud of one, under an id that keeps its cloud apart (2^20 vectors a cloud)."""
-    return C.flatten(clouds).select((F.col("cloud_id") * (1 << 20) + F.col("vec_pos")).alias("cloud_id"), F.array("v").alias("vectors"))
+    """Every vector as a cloud of one, under an id that keeps its cloud apart (2^20 vectors a cloud, ids below 2^43, or it fails)."""
+    return C.flatten(clouds).select(_packed("cloud_id", "vec_pos", 20).alias("cloud_id"), F.array("v").alias("vectors"))
+
+
+def _packed(id_col: str, pos: str, bits: int):
+    ok = F.col(id_col).between(0, (1 << (63 - bits)) - 1) & (F.col(pos) < (1 << bits))
+    return F.when(ok, F.col(id_col) * (1 << bits) + F.col(pos)).otherwise(F.raise_error(F.concat(F.lit(f"cloud id out of range or more than {1 << bits} vectors: "), F.col(id_col).cast("string"))))
 
 
 def _build_vector_tree(index: Index) -> None:
     own = Index(index.params, {"clouds": _vector_rows(index.tables["clouds"])})
     _build_tree(own)
-    index.tables |= {"nodes": own.tables["nodes"], "postings": own.tables["postings"], "vectors": own.tables["clouds"]}
+    index.tables |= {"nodes": own.tables["nodes"], "postings": own.tables["postings"], "lists": own.tables["lists"]}
 
 
-def _graph(index: Index, clouds: DataFrame, metric: str | None = None) -> DataFrame:
+def _graph(index: Index, clouds: DataFrame, metric: str | None = None) -> None:
     p = index.params
-    return _persisted(graph.build_graphs(clouds, metric or p.metric, p.degree, p.beam, p.alpha, p.shard_rows))
+    made, routes = graph.build_graphs(clouds, metric or p.metric, p.degree, p.beam, p.alpha, p.shard_rows, p.two_pass, p.seed)
+    index.tables |= {"graph": cluster.persisted(made), "routes": routes}
+
+
+def _walk(index: Index, queries: DataFrame, sp: SearchParams, k: int, beam: int, metric: str | None = None, scorer: Quantizer | None = None) -> DataFrame:
+    return graph.search_graphs(queries, index.tables["graph"], index.tables["routes"], k, beam, metric or index.params.metric, scorer, sp.cells)
+
+
+def _build_fde_graph(index: Index) -> None:
+    _build_fde_scan(index)
+    _graph(index, index.tables["encodings"], "ip")
+
+
+def _build_pooled_graph(index: Index) -> None:
+    _build_pooled_scan(index)
+    _graph(index, index.tables["pooled"])
 
 
 def _build_fde_scan(index: Index) -> None:
     cfg = FDEConfig.preset(index.params.fde, seed=index.params.seed)
-    index.tables["encodings"] = _persisted(encode_clouds(index.tables["clouds"], cfg, False))
+    index.tables["encodings"] = cluster.persisted(encode_clouds(index.tables["clouds"], cfg, False))
 
 
 def _build_pooled_scan(index: Index) -> None:
@@ -195,19 +226,27 @@ def _build_emd_routes(index: Index) -> None:
     chosen, radius = cluster.farthest_first(vectors, p.prototypes)
     spark = base.sparkSession
     protos = spark.createDataFrame([(i, pool[c].cloud_id, radius[i], pool[c].vectors) for i, c in enumerate(chosen)], "proto_id long, train_row long, cover_radius double, vectors array<array<float>>")
-    buckets = search.exact_top_k(protos.select(F.col("proto_id").alias("query_id"), "vectors"), base, p.bucket, p.metric)
-    near = _persisted(buckets.select(F.col("query_id").alias("proto_id"), "rank", "cloud_id", "distance"))
+    asks = protos.select(F.col("proto_id").alias("query_id"), "vectors")
+    if p.bucket_build == "tq8":
+        buckets = search.rerank(search.exact_top_k(asks, base, 2 * p.bucket, p.metric, make("tq8")), asks, base, p.bucket, p.metric)
+    else:
+        buckets = search.exact_top_k(asks, base, p.bucket, p.metric)
+    near = cluster.persisted(buckets.select(F.col("query_id").alias("proto_id"), "rank", "cloud_id", "distance"))
     # As a query is routed: by the distance from the cloud to the prototype.
     left = base.join(near.select("cloud_id"), "cloud_id", "left_anti").select(F.lit(0).cast("long").alias("node_id"), "cloud_id", "vectors")
-    centers = cluster.centers_of(protos.select(F.lit(0).cast("long").alias("node_id"), F.col("proto_id").alias("child"), "vectors"))
+    centers = protos.select(F.lit(0).cast("long").alias("node_id"), F.col("proto_id").cast("int").alias("child"), "vectors")
     placed = cluster.assign(left, centers, p.metric).select(F.col("child").cast("long").alias("proto_id"), F.lit(None).cast("int").alias("rank"), "cloud_id", "distance")
-    index.tables |= {"prototypes": protos, "buckets": _persisted(near.unionByName(placed))}
+    index.tables |= {"prototypes": protos, "buckets": cluster.persisted(near.unionByName(placed))}
+    index.tables["lists"] = index.tables["buckets"].select(F.col("proto_id").alias("leaf_id"), "cloud_id").join(base, "cloud_id").select("leaf_id", "cloud_id", "vectors")
+    made, routes = graph.build_graphs(protos.select(F.col("proto_id").alias("cloud_id"), "vectors"), p.metric, p.degree, p.beam, p.alpha, p.shard_rows, p.two_pass, p.seed)
+    index.tables |= {"routing": cluster.persisted(made), "routing_routes": routes}
 
 
 _BUILD = {
     "cluster_tree": lambda i: _build_tree(i), "lists": lambda i: _build_tree(i, depth=1), "spill_tree": lambda i: _build_tree(i, spill=i.params.spill),
     "fde_scan": _build_fde_scan, "pooled_scan": _build_pooled_scan, "vector_tree": _build_vector_tree, "emd_routes": _build_emd_routes,
-    "cloud_graph": lambda i: i.tables.update(graph=_graph(i, i.tables["clouds"])), "vector_graph": lambda i: i.tables.update(graph=_graph(i, _vector_rows(i.tables["clouds"]))),
+    "fde_graph": _build_fde_graph, "pooled_graph": _build_pooled_graph,
+    "cloud_graph": lambda i: _graph(i, i.tables["clouds"]), "vector_graph": lambda i: _graph(i, _vector_rows(i.tables["clouds"])),
 }
 
 # --- search -----------------------------------------------------------------------------------------------------
@@ -245,8 +284,9 @@ def _search_flat(index: Index, queries: DataFrame, sp: SearchParams) -> DataFram
 
 
 def _search_tree(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
-    pairs = search.probe_join(_probe(index, queries, sp), index.tables["postings"])
-    return search.score_pairs(pairs, queries, index.tables["clouds"], index.params.metric, index.quantizer(sp.quantizer))
+    """Each probed list gives its best max(num_rerank, k) per query (all of them where nothing is reranked)."""
+    probes = cluster.persisted(_probe(index, queries, sp).select("query_id", "leaf_id"))
+    return search.nearest(search.score_lists(probes, queries, index.tables["lists"], index.params.metric, max(sp.k, sp.num_rerank) if sp.num_rerank else None, index.quantizer(sp.quantizer)))
 
 
 def _search_fde_scan(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
@@ -259,8 +299,19 @@ def _search_pooled_scan(index: Index, queries: DataFrame, sp: SearchParams) -> D
     return search.exact_top_k(pooled, index.tables["pooled"], max(sp.k, sp.num_rerank), index.params.metric).drop("rank")
 
 
+def _search_fde_graph(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
+    cfg = FDEConfig.preset(index.params.fde, seed=index.params.seed)
+    return _walk(index, encode_clouds(queries, cfg, True, "query_id"), sp, max(sp.k, sp.num_rerank), sp.beam, "ip")
+
+
+def _search_pooled_graph(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
+    """Documents' means are normalized, queries' are not."""
+    return _walk(index, queries.select("query_id", F.array(V.mean_pool("vectors")).alias("vectors")), sp, max(sp.k, sp.num_rerank), sp.beam)
+
+
 def _query_vectors(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.posexplode("vectors").alias("p", "v")).select((F.col("query_id") * (1 << 12) + F.col("p")).alias("query_id"), F.array("v").alias("vectors"))
+    """Every vector of a query as a query (2^12 vectors a query, ids below 2^51, or it fails)."""
+    return queries.select("query_id", F.posexplode("vectors").alias("p", "v")).select(_packed("query_id", "p", 12).alias("query_id"), F.array("v").alias("vectors"))
 
 
 def _vector_hits(scored: DataFrame, per_vector: int) -> DataFrame:
@@ -271,28 +322,30 @@ def _vector_hits(scored: DataFrame, per_vector: int) -> DataFrame:
 
 
 def _search_vector_tree(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
-    own = Index(index.params, {"clouds": index.tables["vectors"], "nodes": index.tables["nodes"], "postings": index.tables["postings"]})
-    own._fitted = index._fitted
-    return _vector_hits(_search_tree(own, _query_vectors(queries), sp), max(sp.k, sp.num_rerank))
+    return _vector_hits(_search_tree(index, _query_vectors(queries), sp), max(sp.k, sp.num_rerank))
 
 
 def _search_cloud_graph(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
-    return graph.search_graphs(queries, index.tables["graph"], max(sp.k, sp.num_rerank), sp.beam, index.params.metric, index.quantizer(sp.quantizer))
+    return _walk(index, queries, sp, max(sp.k, sp.num_rerank), sp.beam, scorer=index.quantizer(sp.quantizer))
 
 
 def _search_vector_graph(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
-    return _vector_hits(graph.search_graphs(_query_vectors(queries), index.tables["graph"], sp.beam, 2 * sp.beam, index.params.metric, index.quantizer(sp.quantizer)), max(sp.k, sp.num_rerank))
+    return _vector_hits(_walk(index, _query_vectors(queries), sp, sp.beam, 2 * sp.beam, scorer=index.quantizer(sp.quantizer)), max(sp.k, sp.num_rerank))
 
 
 def _search_emd_routes(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
-    """Routes to the nearest prototypes, unites their buckets, scores with the quantizer (one bit by default)."""
-    protos = index.tables["prototypes"].select(F.col("proto_id").alias("cloud_id"), "vectors")
-    routes = search.exact_top_k(queries, protos, sp.nprobes, index.params.metric).select("query_id", F.col("cloud_id").alias("proto_id"))
-    pairs = routes.join(index.tables["buckets"].select("proto_id", "cloud_id"), "proto_id").select("query_id", "cloud_id").distinct()
-    return search.score_pairs(pairs, queries, index.tables["clouds"], index.params.metric, index.quantizer(sp.quantizer if sp.quantizer != "none" else "tq1"))
+    """Ward-compressed queries shortlist prototypes by 4-bit codes (or walk their graph), 8-bit codes rank the shortlist, the best buckets are united and scored with the quantizer (one bit by default)."""
+    protos, metric = index.tables["prototypes"].select(F.col("proto_id").alias("cloud_id"), "vectors"), index.params.metric
+    small, wide = compress_queries(queries, method="ward", threshold=sp.threshold, metric=metric, quantizer="tq4"), sp.shortlist * sp.nprobes
+    if sp.routing == "graph":
+        some = graph.search_graphs(small, index.tables["routing"], index.tables["routing_routes"], wide, max(sp.beam, wide), metric, make("tq4"), sp.cells)
+    else:
+        some = search.exact_top_k(small, protos, wide, metric, make("tq4"))
+    routes = cluster.persisted(search.rerank(some, queries, protos, sp.nprobes, metric, wide, make("tq8")).select("query_id", F.col("cloud_id").alias("leaf_id")))
+    return search.nearest(search.score_lists(routes, queries, index.tables["lists"], metric, max(sp.k, sp.num_rerank) if sp.num_rerank else None, index.quantizer(sp.quantizer if sp.quantizer != "none" else "tq1")))
 
 
 _SEARCH: dict[str, Any] = {
     "flat": _search_flat, "cluster_tree": _search_tree, "lists": _search_tree, "spill_tree": _search_tree, "fde_scan": _search_fde_scan,
-    "pooled_scan": _search_pooled_scan, "vector_tree": _search_vector_tree, "vector_graph": _search_vector_graph, "cloud_graph": _search_cloud_graph, "emd_routes": _search_emd_routes,
+    "pooled_scan": _search_pooled_scan, "fde_graph": _search_fde_graph, "pooled_graph": _search_pooled_graph, "vector_tree": _search_vector_tree, "vector_graph": _search_vector_graph, "cloud_graph": _search_cloud_graph, "emd_routes": _search_emd_routes,
 }

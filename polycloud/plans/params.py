@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-FAMILIES = ("flat", "cluster_tree", "lists", "spill_tree", "fde_scan", "cloud_graph", "pooled_scan", "vector_tree", "vector_graph", "emd_routes")
+FAMILIES = ("flat", "cluster_tree", "lists", "spill_tree", "fde_scan", "fde_graph", "cloud_graph", "pooled_scan", "pooled_graph", "vector_tree", "vector_graph", "emd_routes")
 
 
 @dataclass(frozen=True)
@@ -28,10 +28,13 @@ class IndexParams:
     degree: int = 24
     beam: int = 48
     alpha: float = 1.0
+    two_pass: bool = False
     shard_rows: int = 4096
     #: Prototypes and bucket size of emd_routes.
     prototypes: int = 64
     bucket: int = 256
+    #: "exact" or "tq8": buckets by exact distance, or from an 8-bit shortlist of twice their size.
+    bucket_build: str = "exact"
     #: "float" or "tq8": what clustering compares.
     assign_on: str = "float"
     seed: int = 0
@@ -53,8 +56,12 @@ class SearchParams:
     num_rerank: int = 50
     rerank_on: str = "float"
     quantizer: str = "none"
-    #: Beam of graph searches.
+    #: Beam of graph searches, and the cells whose graphs are searched.
     beam: int = 64
+    cells: int = 8
+    #: emd_routes: "scan" all prototypes or walk their "graph"; prototypes shortlisted per list read.
+    routing: str = "scan"
+    shortlist: int = 4
     #: "tree" or "flat_leaf": walk the levels, or score every leaf's center.
     strategy: str = "tree"
     #: Query compression for the first scoring: none, ball, ward, dynamic, strict.

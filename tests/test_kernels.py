@@ -125,3 +125,80 @@ def test_lloyd_separates_two_blobs():
     x = np.concatenate([g.normal(size=(30, 2)), g.normal(size=(30, 2)) + 20])
     _, a = Q.lloyd(x, 2, 10, 1)
     assert len(set(a[:30])) == 1 and len(set(a[30:])) == 1 and a[0] != a[-1]
+
+
+@pytest.mark.parametrize("name", ["tq1", "tq1a"])
+def test_sign_codes_equal_their_scalar_reference(name):
+    g = np.random.default_rng(2)
+    q, d = g.normal(size=(4, 24)), g.normal(size=(5, 24))
+    z = Q.make(name)
+    got = z.dots(q, z.encode(d))
+    want = [[Q.sign_reference(a.tolist(), b.tolist(), Q.rotation(24).tolist(), name == "tq1a") for b in d] for a in q]
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_smaller_symmetric_blocks_estimate_better():
+    g = np.random.default_rng(3)
+    q, d = g.normal(size=(30, 32)), g.normal(size=(40, 32))
+    error = []
+    for name in ("sympq1", "sympq2", "sympq", "sympq8", "sympq16"):
+        z = Q.make(name)
+        error.append(np.abs(z.dots(q, z.encode(d)) - q @ d.T).mean())
+    assert error == sorted(error)
+
+
+def naive_ward(q, target):
+    """Merges by definition: the pair whose union adds least to the summed squared distances to the means."""
+    groups = [[v] for v in q]
+    cost = lambda m: ((np.array(m) - np.mean(m, 0)) ** 2).sum()
+    while len(groups) > target:
+        i, j = min(itertools.combinations(range(len(groups)), 2), key=lambda p: cost(groups[p[0]] + groups[p[1]]) - cost(groups[p[0]]) - cost(groups[p[1]]))
+        groups[i] += groups.pop(j)
+    return sorted(tuple(np.round(np.sum(m, 0), 9)) for m in groups)
+
+
+@pytest.mark.parametrize("target", [1, 3, 7])
+def test_ward_equals_its_definition(target):
+    q = np.random.default_rng(target).normal(size=(12, 5))
+    assert sorted(tuple(np.round(x, 9)) for x in C.ward(q, target=target, strict=True)) == naive_ward(q, target)
+
+
+def test_ball_carving_equals_its_definition():
+    q = np.random.default_rng(1).normal(size=(20, 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    left, want = list(range(20)), []
+    while left:
+        ball = [j for j in left if j == left[0] or q[left[0]] @ q[j] >= 0.4]
+        want.append(q[ball].sum(0))
+        left = [j for j in left if j not in ball]
+    assert np.allclose(C.ball_carving(q, 0.4), want)
+
+
+@pytest.mark.parametrize("scorer", [None, "tq8"])
+def test_lloyd_lowers_the_cost(scorer):
+    x = np.concatenate([np.random.default_rng(0).normal(size=(50, 6)) + 9 * k for k in range(3)])
+    c, a = Q.lloyd(x, 3, 8, 1, None, False, Q.make(scorer) if scorer else None)
+    assert ((x - c[a]) ** 2).sum() < 0.2 * ((x - x.mean(0)) ** 2).sum()
+
+
+@given(st.integers(0, 50))
+@settings(max_examples=20, deadline=None)
+def test_encodings_follow_their_definition(seed):
+    g = np.random.default_rng(seed)
+    cfg = fde.FDEConfig(repetitions=2, bits=2, projected=3, fill_empty=False, seed=seed)
+    cloud = g.normal(size=(5, 7))
+    for query in (True, False):
+        want = []
+        for r in range(2):
+            d = np.random.default_rng([seed, r])
+            planes = d.normal(size=(7, 2))
+            to, sign = d.integers(0, 3, 7), d.choice([-1.0, 1.0], 7)
+            cells = {c: [] for c in range(4)}
+            for v in cloud:
+                low = np.zeros(3)
+                for i in range(7):
+                    low[to[i]] += sign[i] * v[i]
+                first, second = (int(v @ planes[:, k] > 0) for k in range(2))
+                cells[2 * first + (second ^ first)].append(low)
+            want += [np.sum(m, 0) if query else np.mean(m, 0) if m else np.zeros(3) for m in (cells[c] or [np.zeros(3)] for c in range(4))]
+        assert np.allclose(fde.encode(cloud, cfg, query), np.concatenate(want))
