@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
 
 from . import kernels as K
 from .compress import compress
@@ -48,3 +48,21 @@ def register(spark: SparkSession, fde: int = 1280) -> None:
 
     for name, f in {"chamfer_ip": pairwise(ch("ip")), "chamfer_l2": pairwise(ch("l2")), "emd": pairwise(lambda a, b: emd(a, b)), "mean_pool": single(lambda a: a.mean(0)), "fde_query": single(lambda a: encode(a, cfg, True)), "fde_document": single(lambda a: encode(a, cfg, False)), "compress_query": squeeze}.items():
         spark.udf.register(name, f)
+
+
+def register_probe(spark: SparkSession, centers: list[tuple[int, list[list[float]]]], metric: str = "ip", name: str = "probe") -> None:
+    """The table function probe(vectors, n): (leaf_id, rank, distance) of the ``n`` lists nearest to a cloud, for ``LATERAL`` joins. ``centers`` are (leaf_id, center vectors) of bounded number."""
+    ids = [i for i, _ in centers]
+    flat = np.array([v for _, c in centers for v in c], np.float64)
+    off = np.concatenate([[0], np.cumsum([len(c) for _, c in centers])])
+
+    @udtf(returnType="leaf_id bigint, rank int, distance double")
+    class Probe:
+        def eval(self, vectors, n: int):
+            q = _cloud(vectors)
+            if len(q):
+                d = K.chamfer(q, np.array([0, len(q)]), flat, off, metric)[0]
+                for rank, i in enumerate(sorted(range(len(ids)), key=lambda i: (d[i], ids[i]))[:n], 1):
+                    yield int(ids[i]), rank, float(d[i])
+
+    spark.udtf.register(name, Probe)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import vector as V
 
 
@@ -14,6 +17,18 @@ def group_vectors(vectors: DataFrame, cloud_id: Column, position: Column, v: str
     return rows.groupBy("cloud_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("vectors"))
 
 
+def from_arrays(spark: SparkSession, data: np.ndarray, offsets: np.ndarray, dim: int, ids: np.ndarray | None = None) -> DataFrame:
+    """clouds(cloud_id, vectors) from flat coordinates and offsets counted in coordinates; ids are row numbers unless given."""
+    off = np.asarray(offsets, np.int64)
+    if len(off) < 1 or off[0] != 0 or off[-1] != len(data) or (np.diff(off) < 0).any() or (off % dim).any():
+        raise ValueError("offsets must run from 0 to the number of coordinates, whole vectors a cloud")
+    n = len(off) - 1
+    if ids is not None and len(ids) != n:
+        raise ValueError(f"{len(ids)} ids for {n} clouds")
+    vectors = K.nested(np.asarray(data, np.float32).reshape(-1, dim), off // dim)
+    return spark.createDataFrame(pa.table({"cloud_id": pa.array(np.arange(n) if ids is None else np.asarray(ids), pa.int64()), "vectors": vectors}))
+
+
 def flatten(clouds: DataFrame) -> DataFrame:
     """(cloud_id, vec_pos, v)."""
     return clouds.select("cloud_id", F.posexplode("vectors").alias("vec_pos", "v"))
@@ -49,9 +64,13 @@ def flatten_only(clouds: DataFrame, ids: DataFrame) -> DataFrame:
     return flatten(only(clouds, ids))
 
 
-def clean(clouds: DataFrame) -> DataFrame:
-    """Zero rows dropped, the others at unit norm, clouds that lose all rows dropped."""
-    return clouds.withColumn("vectors", V.clean_cloud("vectors")).filter(F.size("vectors") > 0)
+def clean(clouds: DataFrame, strict: bool = False) -> DataFrame:
+    """Zero rows dropped, the others at unit norm; clouds that lose all rows are dropped, or with ``strict`` fail the query."""
+    out = clouds.withColumn("vectors", V.clean_cloud("vectors"))
+    if strict:
+        lost = (F.size("vectors") <= 0) | F.col("vectors").isNull()
+        return out.withColumn("vectors", F.when(lost, F.raise_error(F.concat(F.lit("no vector left in cloud "), F.col("cloud_id").cast("string")))).otherwise(F.col("vectors")))
+    return out.filter(F.size("vectors") > 0)
 
 
 def mean_pooled(clouds: DataFrame, normalize: bool = False) -> DataFrame:
@@ -64,6 +83,12 @@ def subsample(rows: DataFrame, n: int, id_col: str, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)
 
 
+def subsample_with_truth(queries: DataFrame, truth: DataFrame, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The same ``n`` queries in both tables."""
+    some = subsample(queries, n, "query_id", seed)
+    return some, truth.join(some.select("query_id"), "query_id", "left_semi")
+
+
 def stratified_sample(rows: DataFrame, size: Column, flag: Column, n: int, strata: int = 4, id_col: str = "cloud_id", seed: int = 0) -> DataFrame:
     """``n`` rows over strata (quantiles of ``size`` x ``flag``) in proportion, by largest remainder."""
     from pyspark.sql import Window

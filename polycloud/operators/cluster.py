@@ -213,6 +213,16 @@ def subsample_assign(vectors: DataFrame, k: int, max_size: int, mppc: int = MPPC
     return centers, placed, sizes.select("cluster", "size", (~((F.col("size") > max_size) & (F.col("most") >= F.col("size") - 2))).alias("kept"))
 
 
+def spark_kmeans(vectors: DataFrame, k: int, weight: str | None = None, iters: int = 10, seed: int = 0) -> tuple[np.ndarray, DataFrame, float]:
+    """Plain L2 k-means by Spark ML over vectors(vec_id, v[, weight]): (centers, (vec_id, cluster), cost)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.withColumn("features", array_to_vector(F.col("v").cast("array<double>")))
+    model = KMeans(k=k, maxIter=iters, seed=seed, **({"weightCol": weight} if weight else {})).fit(rows)
+    return np.array(model.clusterCenters()), model.transform(rows).select("vec_id", F.col("prediction").alias("cluster")), float(model.summary.trainingCost)
+
+
 def two_stage(vectors: np.ndarray, k1: int, k2: int, iters: int = 10, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coarse k-means, and k-means of the residuals: (coarse centers, residual centers, codes (n, 2)). For bounded training sets."""
     coarse, a = lloyd(vectors, k1, iters, seed)

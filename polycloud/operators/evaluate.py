@@ -57,6 +57,14 @@ def pareto(rows: DataFrame, recall_col: str = "recall", qps: str = "qps", by: st
     return best.withColumn("_m", above).filter(F.col("_m").isNull() | (F.col(qps) > F.col("_m"))).drop("_m")
 
 
+def spaced(front: DataFrame, gap: float = 0.01, recall_col: str = "recall", by: str = "method") -> DataFrame:
+    """A front thinned for plotting: from the highest recall down, points at least ``gap`` below the last one kept; the highest stays."""
+    ordered = F.reverse(F.array_sort(F.collect_list(F.struct(recall_col, F.struct(*[c for c in front.columns if c != by]).alias("row")))))
+    keep = lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)[recall_col] - x[recall_col] >= gap - 1e-12), F.concat(acc, F.array(x))).otherwise(acc)
+    rows = front.groupBy(by).agg(ordered.alias("o")).select(by, F.aggregate("o", F.filter("o", lambda x: F.lit(False)), keep).alias("kept"))
+    return rows.select(by, F.explode("kept").alias("x")).select(by, "x.row.*")
+
+
 def qps_at_recall(rows: DataFrame, target: float, recall_col: str = "recall", qps: str = "qps", by: str = "method") -> DataFrame:
     """(method, qps) interpolated linearly between the bracketing points of each front; null where the target is not reached."""
     front = pareto(rows, recall_col, qps, by)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -35,6 +36,26 @@ def load_jsonl(spark: SparkSession, folder: str, split: str = "test") -> Dataset
     return Dataset(one("corpus"), one("queries"), qrels.toDF("query_id", "doc_id", "score").withColumn("score", F.col("score").cast("int")))
 
 
+def load_passages(spark: SparkSession, folder: str, queries: str = "search", split: str = "test") -> Dataset:
+    """collection.tsv (id, passage), questions.<queries>.tsv (id, question; sets "search" and "forum") and qas.<queries>.jsonl (qid, answer_pids), under ``folder``/``split``."""
+    at = f"{folder}/{split}"
+    two = lambda name: spark.read.option("sep", "\t").option("quote", "").schema("id string, text string").csv(f"{at}/{name}.tsv")
+    answers = spark.read.schema("qid string, answer_pids array<string>").json(f"{at}/qas.{queries}.jsonl")
+    qrels = answers.select(F.col("qid").alias("query_id"), F.explode("answer_pids").alias("doc_id"), F.lit(1).alias("score"))
+    return Dataset(two("collection"), two(f"questions.{queries}"), qrels)
+
+
+def load_pages(spark: SparkSession, folder: str) -> Dataset:
+    """Parquet folders corpus (corpus-id, image), queries (query-id, query) and qrels (query-id, corpus-id, score); judgments of score 0 are left out. The corpus column ``text`` holds the image's bytes, for an encoder of images."""
+    corpus, queries, qrels = (spark.read.parquet(f"{folder}/{x}") for x in ("corpus", "queries", "qrels"))
+    image = F.col("image.bytes") if "struct" in dict(corpus.dtypes)["image"] else F.col("image")
+    return Dataset(
+        corpus.select(F.col("`corpus-id`").cast("string").alias("id"), image.alias("text")),
+        queries.select(F.col("`query-id`").cast("string").alias("id"), F.col("query").alias("text")),
+        qrels.filter("score > 0").select(F.col("`query-id`").cast("string").alias("query_id"), F.col("`corpus-id`").cast("string").alias("doc_id"), F.col("score").cast("int").alias("score")),
+    )
+
+
 class Encoder(Protocol):
     dim: int
 
@@ -57,6 +78,33 @@ class HashingTokenEncoder:
         return out
 
 
+@dataclass
+class ModelEncoder:
+    """A late-interaction model in ONNX form behind the same interface: ``model`` maps token ids and mask to one vector per token, ``tokenizer`` is a tokenizers JSON file. Loaded once per worker."""
+
+    model: str
+    tokenizer: str
+    dim: int = 128
+    max_tokens: int = 180
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        session, words = _loaded(self.model, self.tokenizer)
+        out = []
+        for t in texts:
+            ids = words.encode(t or "").ids[: self.max_tokens]
+            feed = {session.get_inputs()[0].name: np.array([ids], np.int64), session.get_inputs()[1].name: np.ones((1, len(ids)), np.int64)}
+            out.append(session.run(None, feed)[0][0].astype(np.float64))
+        return out
+
+
+@lru_cache(maxsize=2)
+def _loaded(model: str, tokenizer: str):
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    return onnxruntime.InferenceSession(model), Tokenizer.from_file(tokenizer)
+
+
 def encode_texts(rows: DataFrame, encoder: Encoder, id_col: str, text: str, out: str = "cloud_id") -> DataFrame:
     """(id, vectors) of ``rows`` by an encoder; rows without vectors after cleanup fail."""
 

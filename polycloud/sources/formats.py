@@ -15,10 +15,12 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -285,11 +287,38 @@ def write_clouds(clouds: DataFrame, path: str) -> None:
     clouds.orderBy("cloud_id").write.format("pcs").mode("append").save(path)
 
 
+def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+
+
+@contextmanager
+def _finished(path: str) -> Iterator[pa.NativeFile]:
+    """A stream whose file takes its name only once it is whole, on any file system that Arrow knows."""
+    fs, at = _place(path)
+    with fs.open_output_stream(at + ".tmp", compression=None) as out:
+        yield out
+    fs.move(at + ".tmp", at)
+
+
 def _atomic(path: str, *arrays: np.ndarray) -> None:
-    with open(path + ".tmp", "wb") as f:
+    with _finished(path) as out:
         for a in arrays:
-            a.tofile(f)
-    os.replace(path + ".tmp", path)
+            out.write(np.ascontiguousarray(a).tobytes())
+
+
+def _streamed(path: str, head: np.ndarray, rows: DataFrame, bytes_of) -> None:
+    """Head, then ``bytes_of(batch)`` of each batch of ordered ``rows``: the driver holds a partition at a time."""
+    names = rows.columns
+    with _finished(path) as out:
+        out.write(head.tobytes())
+        held: list[tuple] = []
+        for r in rows.toLocalIterator(prefetchPartitions=True):
+            held.append(tuple(r))
+            if len(held) == 10_000:
+                out.write(bytes_of(dict(zip(names, zip(*held)))))
+                held = []
+        if held:
+            out.write(bytes_of(dict(zip(names, zip(*held)))))
 
 
 def write_gold(gold: DataFrame, n_queries: int, path: str) -> None:
@@ -301,20 +330,23 @@ def write_gold(gold: DataFrame, n_queries: int, path: str) -> None:
 
 
 def write_truth(truth: DataFrame, k: int, path: str) -> None:
-    """Ground truth of queries 0, 1, ... with exactly ``k`` ranks each."""
-    t = truth.filter(F.col("rank") <= k).orderBy("query_id", "rank").toArrow()
-    q, n = t["query_id"].to_numpy(), t.num_rows // k
-    if t.num_rows != n * k or not np.array_equal(q, np.repeat(np.arange(n), k)):
+    """Ground truth of queries 0, 1, ... with exactly ``k`` ranks each, streamed in order."""
+    rows = truth.filter(F.col("rank") <= k)
+    n = rows.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("q"), F.min("query_id").alias("a"), F.max("query_id").alias("b")).first()
+    if n.n != n.q * k or (n.q and (n.a != 0 or n.b != n.q - 1)):
         raise ValueError(f"queries must be 0 .. n - 1 with {k} ranks each")
-    rows = np.empty(t.num_rows, _GT)
-    rows["distance"], rows["id"] = t["distance"].to_numpy(), t["cloud_id"].to_numpy()
-    _atomic(path, np.array([k], "<i4"), rows)
+
+    def raw(cols: dict) -> bytes:
+        out = np.empty(len(cols["cloud_id"]), _GT)
+        out["distance"], out["id"] = cols["distance"], cols["cloud_id"]
+        return out.tobytes()
+
+    _streamed(path, np.array([k], "<i4"), rows.orderBy("query_id", "rank").select("distance", "cloud_id"), raw)
 
 
 def write_dense(rows: DataFrame, path: str) -> None:
-    t = rows.orderBy("vec_id").select("v").toArrow()["v"].combine_chunks()
-    flat = t.flatten().to_numpy(zero_copy_only=False).astype("<f4")
-    _atomic(path, np.array([len(t), len(flat) // max(1, len(t))], "<u4"), flat)
+    n = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    _streamed(path, np.array([n.n, n.d or 0], "<u4"), rows.orderBy("vec_id").select("v"), lambda cols: np.array(cols["v"], "<f4").tobytes())
 
 
 def write_graph(rows: DataFrame, degree: int, path: str) -> None:
@@ -330,14 +362,23 @@ def write_ids(ids: DataFrame, path: str) -> None:
     bad = ids.filter(F.col("external_id").rlike("[\r\n]") | F.col("external_id").isNull())
     if not bad.isEmpty():
         raise ValueError("an external id is null or holds a line break")
-    with open(path + ".tmp", "w", encoding="utf-8", newline="\n") as f:
-        for r in ids.orderBy("row").toLocalIterator():
-            f.write(r.external_id + "\n")
-    os.replace(path + ".tmp", path)
+    _streamed(path, np.zeros(0, "u1"), ids.orderBy("row").select("external_id"), lambda cols: "".join(x + "\n" for x in cols["external_id"]).encode())
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """ids(row, external_id); row numbers are exact, so this reads the file in one pass on the driver side of the scan."""
-    with open(path, encoding="utf-8", newline="\n") as f:
-        rows = [(i, line.rstrip("\n")) for i, line in enumerate(f)]
-    return spark.createDataFrame(rows, "row long, external_id string")
+    """ids(row, external_id). One file has one order, so one task reads it, a block at a time, wherever it lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                fs, at = _place(p)
+                row, rest = 0, b""
+                with fs.open_input_stream(at, compression=None) as stream:
+                    while block := stream.read(1 << 20):
+                        *lines, rest = (rest + block).split(b"\n")
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(lines))), pa.array([x.decode() for x in lines], pa.string())], names=["row", "external_id"])
+                        row += len(lines)
+                if rest:
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([rest.decode()])], names=["row", "external_id"])
+
+    return spark.createDataFrame([(path,)], "path string").coalesce(1).mapInArrow(run, "row long, external_id string")
