@@ -157,6 +157,15 @@ def validate_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.validate(X.clouds8(spark, sf_dir))
 
 
+@_query("""WITH v AS (SELECT vec_id // 8 AS c, vec_id % 71 = 0 AS nan, vec_id % 50 = 0 AS off FROM embeddings), u AS (SELECT c, bool_or(nan) AS nan, count(*) FILTER (nan OR off) AS off FROM v GROUP BY c)
+           SELECT count(*) FILTER (c % 13 = 0) AS empty, count(*) FILTER (c % 13 <> 0 AND nan) AS non_finite, 0::BIGINT AS ragged_dim, sum(off) FILTER (c % 13 <> 0)::BIGINT AS off_unit, 1::BIGINT AS dims FROM u""")
+def validate_spoilt_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding")
+    spoilt = F.when(F.col("vec_id") % 71 == 0, F.transform(x, lambda y, i: F.when(i == 0, F.lit(float("nan")).cast("float")).otherwise(y))).when(F.col("vec_id") % 50 == 0, F.transform(x, lambda y: y * F.lit(2).cast("float"))).otherwise(x)
+    c = C.group_vectors(X.vectors(spark, sf_dir).withColumn("embedding", spoilt), F.floor(F.col("vec_id") / 8), F.col("vec_id"), "embedding")
+    return C.validate(c.withColumn("vectors", F.when(F.col("cloud_id") % 13 == 0, F.filter("vectors", lambda v: F.lit(False))).otherwise(F.col("vectors"))))
+
+
 @_query("SELECT vec_id // 8 AS cloud_id, (vec_id % 8)::INTEGER AS vec_pos, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE vec_id // 8 IN (SELECT n_nationkey FROM nation)")
 def filter_and_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = X.clouds8(spark, sf_dir)
@@ -373,9 +382,24 @@ for _m in ("ball", "ward", "dynamic"):
     _query(_PAIRED, f"compressed_{_m}_search")(partial(_recall, family="flat", sp=SearchParams(k=10, num_rerank=60, compression=_m)))
 
 
-@_query()
+@_query("SELECT DISTINCT vec_id // 8 AS cloud_id, true AS nearest FROM embeddings")
 def cluster_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster(X.clouds8(spark, sf_dir), 6, "l2", iters=3)[1]
+    """Every cloud once, and whether its cluster's center is the nearest of all by the native expression."""
+    c = X.clouds8(spark, sf_dir)
+    centers, placed = cluster.cluster(c, 6, "l2", iters=3)
+    some = F.collect_list(F.struct("cluster", "vectors")).alias("centers")
+    j = placed.join(c, "cloud_id").crossJoin(F.broadcast(centers.agg(some)))  # six centers in one row
+    d = F.transform("centers", lambda x: F.struct(V.chamfer(F.col("vectors"), x["vectors"], "l2").alias("d"), x["cluster"].alias("cluster")))
+    own = F.element_at(F.filter(d, lambda x: x["cluster"] == F.col("cluster")), 1)["d"]
+    return j.select("cloud_id", (own <= F.array_min(F.transform(d, lambda x: x["d"])) + 1e-6).alias("nearest"))
+
+
+@_query("SELECT DISTINCT vec_id // 8 AS cloud_id, 1::BIGINT AS leaves, true AS small FROM embeddings")
+def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cloud with its number of leaves, and whether they keep the bound on their size (none of these nodes is stuck)."""
+    tree = build(X.clouds8(spark, sf_dir), IndexParams.of("cluster_tree", max_leaf=12, niters=2))
+    at = tree.flat_clustering().join(tree.tables["nodes"].select(F.col("node_id").alias("leaf_id"), "n_clouds"), "leaf_id")
+    return at.groupBy("cloud_id").agg(F.count("*").alias("leaves"), (F.max("n_clouds") <= 12).alias("small"))
 
 
 @_query()
@@ -383,12 +407,14 @@ def tree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.tree_stats(build(X.clouds8(spark, sf_dir), IndexParams.of("cluster_tree", max_leaf=12, niters=2)).tables["nodes"])
 
 
-@_query()
+@_query("SELECT unnest([10, 20, 50])::INTEGER AS budget, true AS enough")
 def recall_curve_tq4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a ranking by 4-bit codes holds 0.85, 0.99 and all of the true ten in its first 10, 20 and 50."""
     c = X.clouds8(spark, sf_dir)
     q = X.as_queries(c)
     found = build(c, IndexParams.of("flat")).search(q, SearchParams(k=50, num_rerank=0, quantizer="tq4"))
-    return evaluate.over_retrieval(found, search.exact_top_k(q, c, 10), 10, (10, 20, 50))
+    curve = evaluate.over_retrieval(found, search.exact_top_k(q, c, 10), 10, (10, 20, 50))
+    return curve.select("budget", (F.col("recall") >= F.when(F.col("budget") == 10, 0.85).when(F.col("budget") == 20, 0.99).otherwise(1.0)).alias("enough"))
 
 
 @_query()
