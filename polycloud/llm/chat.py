@@ -153,4 +153,9 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
 
 
 def report(conversations: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation, read back from its formatted text.
+
+    Null roles and texts are empty; a null conv_id is a conversation of its own; repeated rows are turns of their own, in the
+    order of turn, role, text; texts of any length are kept whole; other columns are not read; an empty table gives no row.
+    """
     return digest_conversations(format_turns(conversations))

@@ -448,8 +448,10 @@ def _slice(raw: np.ndarray, k: int) -> np.ndarray:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows with a null doc_id cannot be told apart, so they stay; of rows that repeat a doc_id within a group one stays.
+    Rows with a null doc_id cannot be told apart, so they stay; of rows that repeat a doc_id within a group one stays. Null
+    and empty texts are one group; columns of any name stay as they are; an empty table stays empty.
     """
     rows, row, groups = near_duplicates(docs)
-    one = rows.join(groups.select("keep").distinct(), rows[row] == F.col("keep"), "left_semi")
+    keep, = unused(rows, "keep")
+    one = rows.join(groups.select(F.col("keep").alias(keep)).distinct(), F.col(row) == F.col(keep), "left_semi")
     return one.unionByName(rows.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -362,7 +362,7 @@ def test_near_duplicate_stage_takes_copies_and_leaves_others(spark):
         half = w[:150] + words(5000 + i, 150).split()  # a third in common: no copy
         rows.append((300 + i, " ".join(half)))
     rows += [(900, None), (901, ""), (None, "no id"), (None, "no id")]
-    d = docs_of(spark, rows).withColumns({"fp": F.lit("x"), "id": F.lit(1), "n": F.lit(2)})
+    d = docs_of(spark, rows).withColumns({"fp": F.lit("x"), "id": F.lit(1), "n": F.lit(2), "keep": F.lit(3), "group": F.lit(4), "_row": F.lit(5), "row_no": F.lit(6)})
     kept = simhash.keep_one(d)
     ids = [x.doc_id for x in kept.collect()]
     assert kept.columns == d.columns
