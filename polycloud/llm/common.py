@@ -106,7 +106,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, copies: str, total: in
     return out.select(*[at(c) for c in left.columns], *[F.when(at(hot_key).isNotNull(), at(h)).otherwise(at(x)).alias(c) for c, h, x in zip(columns, of_hot, of_cold)])
 
 
-# --- whole texts as bytes ---------------------------------------------------------------------------------------
+# --- whole texts as bytes
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -216,7 +216,7 @@ def batches_of(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterato
         a = b
 
 
-# --- components -------------------------------------------------------------------------------------------------
+# --- components
 
 
 def union_arrays(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -264,7 +264,7 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
     return roots.unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
 
 
-# --- numbering --------------------------------------------------------------------------------------------------
+# --- numbering
 
 #: Rows that one task numbers at a time, on average.
 NUMBER_ROWS = 100_000

@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Standard deviations that a candidate's differing bits may lie above those expected at SIMILARITY.
 MARGIN = 4.0
 
-# --- fingerprints -----------------------------------------------------------------------------------------------
+# --- fingerprints
 
 
 def _majority(h: np.ndarray, groups: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def wide_batch(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, wo
     return np.stack([_majority(mix(g ^ np.uint64(0xA0761D6478BD642F * (k + 1) % 2**64)), doc, n) for k in range(words)], 1) if len(n) else np.zeros((0, words), np.uint64)
 
 
-# --- the trie ---------------------------------------------------------------------------------------------------
+# --- the trie
 
 
 def trie_self_join(x: np.ndarray, roots: np.ndarray, depth: int, bits: int, budget: int, found: Callable[[np.ndarray, np.ndarray], None]) -> None:
@@ -261,7 +261,7 @@ def hamming_links(nodes: DataFrame, fp: str, budget: int) -> DataFrame:
     return _bounded(keyed, nodes.count(), cut).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
-# --- operators --------------------------------------------------------------------------------------------------
+# --- operators
 
 
 def fingerprints(docs: DataFrame, text: str = "text", carry: list[str] | None = None, shingle: int = 4, name: str = "fp") -> DataFrame:

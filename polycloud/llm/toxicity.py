@@ -93,7 +93,7 @@ def features(column: pa.Array, words: Words, polarity: np.ndarray) -> np.ndarray
     return out
 
 
-# --- packed counts ----------------------------------------------------------------------------------------------
+# --- packed counts
 
 
 def pack(x: np.ndarray) -> bytes:

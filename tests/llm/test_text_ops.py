@@ -29,7 +29,7 @@ def docs_of(spark, rows):
     return spark.createDataFrame(rows, DOCS)
 
 
-# --- common -----------------------------------------------------------------------------------------------------
+# --- common
 
 
 @given(st.lists(st.text(alphabet="aB9 \n.é_-日", max_size=30), max_size=6))
@@ -59,7 +59,7 @@ def test_join_hot_keeps_every_row(spark, monkeypatch):
     assert out.count() == 30_000 and out.filter("key = 'hot' and least = 0").count() == 20_000 and out.filter("least is null").count() == 10
 
 
-# --- 1 ----------------------------------------------------------------------------------------------------------
+# --- 1
 
 
 def test_decontamination_equals_brute_force(spark):
@@ -103,7 +103,7 @@ def test_binary_search_finds_every_place(texts, heads):
         assert sorted(array.order[a:b].tolist()) == want
 
 
-# --- 2 ----------------------------------------------------------------------------------------------------------
+# --- 2
 
 
 @given(st.text(alphabet="0123456789.@+-() aZ%_é\n", max_size=60))
@@ -173,7 +173,7 @@ def test_pii_of_repeated_and_clashing_rows(spark):
     assert pii.report(d.limit(0)).count() == 0
 
 
-# --- 3 ----------------------------------------------------------------------------------------------------------
+# --- 3
 
 
 def test_warc_round_trip(spark):
@@ -188,7 +188,7 @@ def test_warc_round_trip(spark):
     assert len(chunks) == 25 and all(len(c.data) <= 4096 for c in chunks) and chunks[-1].so_far == chunks[-1].digest
 
 
-# --- 4, 8 -------------------------------------------------------------------------------------------------------
+# --- 4, 8
 
 
 def test_differencing_beats_greedy_here_and_balances():
@@ -290,7 +290,7 @@ def test_slots_of_every_shard_follow_the_mix(spark):
             assert all(abs(seen[s] - n * shares[s] / sum(shares.values())) <= 4 for s in seen)
 
 
-# --- 5 ----------------------------------------------------------------------------------------------------------
+# --- 5
 
 
 def slow_fingerprint(text):
@@ -441,7 +441,7 @@ def test_rows_of_one_id_replace_each_other_within_a_group_only(spark):
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(d).collect()) == sorted([(1, a), (1, b)])
 
 
-# --- 6 ----------------------------------------------------------------------------------------------------------
+# --- 6
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
@@ -481,7 +481,7 @@ def test_top_k_of_large_and_equal_vectors(spark, monkeypatch):
         assert sorted(got[i]) == [(n + 1, j, -x) for n, (x, j) in enumerate(want)]
 
 
-# --- 7 ----------------------------------------------------------------------------------------------------------
+# --- 7
 
 
 def test_toxicity_separates_held_out_rows(spark):
@@ -582,7 +582,7 @@ def test_places_of_words():
     assert not toxicity.Words(h[:0]).find(h)[1].any()
 
 
-# --- 9 ----------------------------------------------------------------------------------------------------------
+# --- 9
 
 
 def test_license_notices(spark):
@@ -630,7 +630,7 @@ def test_wrapped_headers_long_lines_and_brute_force(spark):
         assert any(every) == bool(got[texts.index(t)].n_notices)
 
 
-# --- 10 ---------------------------------------------------------------------------------------------------------
+# --- 10
 
 
 @given(st.text(alphabet="\\#</turn>: \nab", max_size=40), st.text(alphabet="\\:<#\n x", max_size=10))
