@@ -47,7 +47,7 @@ def _rounded(found: DataFrame) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
-# --- exact search -----------------------------------------------------------------------------------------------
+# --- exact search
 
 _V = "v AS (SELECT vec_id, {id} AS cloud_id, embedding::DOUBLE[] AS e, label FROM embeddings)"
 _DIST = {"ip": "-list_inner_product(a.e, b.e)", "l2": "greatest(0, list_inner_product(a.e, a.e) + list_inner_product(b.e, b.e) - 2 * list_inner_product(a.e, b.e))"}
@@ -120,7 +120,7 @@ def single_vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact(X.vectors(spark, sf_dir).select(F.col("vec_id").alias("cloud_id"), F.array("embedding").alias("vectors")), 10, "l2")
 
 
-# --- scalar vector functions and cloud operators ----------------------------------------------------------------
+# --- scalar vector functions and cloud operators
 
 
 @_query("""SELECT a.vec_id, round(-list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS ip, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2, 6) AS l2,
@@ -177,7 +177,7 @@ def hamming_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", V.hamming(F.array(F.col("o_orderkey").cast("long")), F.array(F.col("o_custkey").cast("long"))).alias("bits"))
 
 
-# --- joins around an index, on fixed centers --------------------------------------------------------------------
+# --- joins around an index, on fixed centers
 
 _FIXED = f"""{_V.format(id="vec_id // 8")},
     w AS (SELECT label::INTEGER AS cloud_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -248,7 +248,7 @@ def graph_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hop(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("node_id")), edges)
 
 
-# --- evaluation -------------------------------------------------------------------------------------------------
+# --- evaluation
 
 
 @_query("""WITH t AS (SELECT vec_id // 10 AS query_id, vec_id % 10 + 1 AS rank, vec_id AS cloud_id FROM embeddings), g AS (SELECT query_id, cloud_id FROM t WHERE rank <= 5),
@@ -328,13 +328,13 @@ def posting_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.posting_stats(postings, X.clouds8(spark, sf_dir))
 
 
-# --- quantizers: codes and estimates, against their definitions ---------------------------------------------------
+# --- quantizers: codes and estimates, against their definitions
 
 for _z in codes.NAMES:
     _query(codes.sql(_z), f"quantized_{_z}")(partial(codes.quantized, name=_z))
 
 
-# --- index families ---------------------------------------------------------------------------------------------
+# --- index families
 # Probing everything must give the exact answer; ordinary settings must find the neighbours: every query gets its k rows
 # and the mean recall@10 against brute force is 0.9 or more, which is what the SQL says.
 

@@ -33,7 +33,7 @@ class Index:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     _fitted: dict[str, Quantizer] = field(default_factory=dict)
 
-    # --- search ---------------------------------------------------------------------------------------------
+    # --- search
 
     def quantizer(self, name: str) -> Quantizer | None:
         """Fitted on a bounded sample of the corpus when first asked for; what has been fitted is saved with the index. Codes are derived where they are used."""
@@ -60,7 +60,7 @@ class Index:
         """(query_id, leaf_id, rank) of the lists a query reads."""
         return _probe(self, queries, params)
 
-    # --- introspection --------------------------------------------------------------------------------------
+    # --- introspection
 
     def flat_clustering(self) -> DataFrame:
         return self.tables["postings"]
@@ -79,7 +79,7 @@ class Index:
     def height(self) -> int:
         return int(self.tables["nodes"].agg(F.max("level")).first()[0]) if "nodes" in self.tables else 0
 
-    # --- storage --------------------------------------------------------------------------------------------
+    # --- storage
 
     def save(self, path: str) -> None:
         for name, df in self.tables.items():
@@ -110,7 +110,7 @@ class Index:
         return index
 
 
-# --- build ------------------------------------------------------------------------------------------------------
+# --- build
 
 
 def build(clouds: DataFrame, params: IndexParams = IndexParams()) -> Index:
@@ -249,7 +249,7 @@ _BUILD = {
     "cloud_graph": lambda i: _graph(i, i.tables["clouds"]), "vector_graph": lambda i: _graph(i, _vector_rows(i.tables["clouds"])),
 }
 
-# --- search -----------------------------------------------------------------------------------------------------
+# --- search
 
 
 def _probe(index: Index, queries: DataFrame, sp: SearchParams) -> DataFrame:
