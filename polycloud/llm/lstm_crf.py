@@ -141,8 +141,32 @@ class Tagger:
 
     def emissions(self, chars: np.ndarray) -> np.ndarray:
         """(windows, width, TAGS) scores."""
-        x = self.p["E"][chars]
-        return np.concatenate([self._run(x, "f", False)[0], self._run(x, "b", False)[0]], 2) @ self.p["O"] + self.p["o"]
+        n, width = chars.shape
+        steps = np.ascontiguousarray(chars.T, np.intp)
+        out = np.empty((width, TAGS, n), np.float32)
+        out[:] = self.p["o"][:, None]
+        scale, half, one = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), self.h), np.float32(0.5), np.float32(1)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        for d, part in (("f", self.p["O"][: self.h]), ("b", self.p["O"][self.h :])):
+            inputs = ((self.p["E"] @ self.p["X" + d] + self.p["c" + d]) * scale).astype(np.float32)
+            again, part = np.ascontiguousarray((self.p["H" + d] * scale).T, np.float32), np.ascontiguousarray(part.T, np.float32)
+            h, c = np.zeros((self.h, n), np.float32), np.zeros((self.h, n), np.float32)
+            for t in range(width) if d == "f" else range(width - 1, -1, -1):
+                z = again @ h
+                z += inputs.take(steps[t], 0).T
+                np.tanh(z, out=z)
+                i, f, o, cand = z.reshape(4, self.h, n)
+                f += one
+                i += one
+                c *= f
+                i *= cand
+                c += i
+                c *= half
+                np.tanh(c, out=h)
+                o += one
+                h *= o
+                h *= half
+                out[t] += part @ h
+        return out.transpose(2, 0, 1)
 
     def transitions(self) -> np.ndarray:
         return np.where(_FORBIDDEN, -1e4, self.p["A"]).astype(np.float32)

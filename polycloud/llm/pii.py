@@ -1,15 +1,16 @@
 """Personal data: exact base patterns over whole texts, plus spans that a character BiLSTM-CRF finds around them.
 
-The tagger reads every neighbourhood of a digit, @ or bracket (a span has one by definition) in overlapping windows; the
-windows' scores are averaged, weighted by how central a character is, and one Viterbi pass decodes each neighbourhood
-as a whole, however long it is. A decoded span counts if the tagger is sure of it (SURE), or, where it is less so, if the
-span is valid for its kind once its disguise is taken off; and if it touches no base span.
+The tagger reads every character of every text, in overlapping windows; the windows' scores are averaged, weighted by
+how central a character is, and Viterbi decodes the whole text. Its pass is made only where it can leave "outside": a
+bound on what tags can win over a stretch shows, from the scores, where the best path has no span. A decoded span counts
+if the tagger is sure of it (SURE), or, where it is less so, if the span is valid for its kind once its disguise is taken
+off; and if it touches no base span.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -22,17 +23,15 @@ from pyspark.sql import types as T
 from .common import batches_of, byte_set, text_bytes
 from .lstm_crf import KINDS, Tagger, encode, labelled_windows, luhn_ok, spans_of, viterbi, viterbi_back, viterbi_forward
 
-WIDTH, STRIDE, REACH = 64, 32, 32
+WIDTH, STRIDE = 64, 32
 TRAIN_WINDOWS, EPOCHS = 6000, 10
-#: Regions decoded together, and windows scored together; bounds memory.
-REGIONS, WINDOWS = 256, 512
+#: Regions decoded together, and windows scored together; characters whose scores are held at once; bounds memory.
+REGIONS, WINDOWS, HELD = 256, 512, 1 << 18
 #: A region longer than this is decoded by itself, its scores a stretch at a time; its Viterbi pass still goes over the whole.
 LONGEST = 4096
 #: Least mean probability of its tags for a span that needs no other confirmation, and the least for any.
 SURE, LIKELY = 0.999, 0.5
 WEIGHTS = Path(__file__).with_name("tagger.npz")
-_BLANK = re.compile(r"\s")
-_ANCHOR = byte_set((0x30, 0x39), (0x40, 0x40), (0x28, 0x28), (0x5B, 0x5B))
 _BASE_ANCHOR = byte_set((0x30, 0x39), (0x40, 0x40))
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -120,23 +119,12 @@ def trained(windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS) -> Tagger:
     return t
 
 
-def _regions(text: str, anchors: np.ndarray) -> list[tuple[int, int]]:
-    """Neighbourhoods (REACH characters around anchors, on to the next blank), merged."""
-    new = np.flatnonzero(np.diff(anchors, prepend=-10 * REACH) > 2 * REACH)
-    out: list[tuple[int, int]] = []
-    for i, j in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(anchors) - 1]):
-        a, b = max(0, int(anchors[i]) - REACH), min(len(text), int(anchors[j]) + REACH + 1)
-        floor = out[-1][1] if out else 0
-        while a > floor and not text[a - 1].isspace():
-            a -= 1
-        if a < floor:
-            a = floor
-        m = _BLANK.search(text, b)
-        b = m.start() if m else len(text)
-        if out and a <= out[-1][1]:
-            a = out.pop()[0]
-        out.append((a, b))
-    return out
+def _most(scores: np.ndarray, tags: range, more: np.ndarray) -> np.ndarray:
+    """What the best of ``tags``, each with its ``more``, wins over tag 0."""
+    best = scores[:, tags[0]] + more[0]
+    for k, m in zip(tags[1:], more[1:]):
+        np.maximum(best, scores[:, k] + m, out=best)
+    return best - scores[:, 0]
 
 
 class Finder:
@@ -144,52 +132,119 @@ class Finder:
         self.tagger, self.transitions = tagger, tagger.transitions()
         ramp = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)
         self.weight = ramp / ramp.max()
+        # Most that the step to a tag from outside, from another, and back outside can win over staying outside.
+        stay = self.transitions[0, 0]
+        self.enter, self.go, self.leave = self.transitions[0, 1::2] - stay, self.transitions[1:, 1:].max(0) - stay, float(self.transitions[1:, 0].max() - stay)
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Per text the decoded and confirmed (start, kind, end)."""
-        todo = []
-        for i, text in enumerate(texts):
-            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            anchors = np.flatnonzero(_ANCHOR[np.where(code < 128, code, 0)])
-            todo += [(i, a, b) for a, b in _regions(text, anchors)] if len(anchors) else []
         out: list[set] = [set() for _ in texts]
-        todo.sort(key=lambda x: x[2] - x[1])
         at = 0
-        while at < len(todo):
-            n = REGIONS
-            while n > 1 and n * (todo[min(at + n, len(todo)) - 1][2] - todo[min(at + n, len(todo)) - 1][1]) > REGIONS * 512:
-                n //= 2
-            part = todo[at : at + n]
-            at += n
-            for (i, a, _), found in zip(part, self.decode([texts[i][a:b] for i, a, b in part])):
+        while at < len(texts):
+            n, held = 1, len(texts[at])
+            while at + n < len(texts) and held + len(texts[at + n]) + WIDTH <= HELD:
+                held += len(texts[at + n]) + WIDTH
+                n += 1
+            for i, found in zip(range(at, at + n), self.decode(texts[at : at + n])):
+                text = texts[i]
                 for kind, s, e, sure in found:
-                    got = texts[i][a + s : a + e]
+                    got = text[s:e]
                     s, e = s + len(got) - len(got.lstrip()), e - len(got) + len(got.rstrip())
-                    before, after = texts[i][a + s - 1 : a + s] if a + s else "", texts[i][a + e : a + e + 1]
+                    before, after = text[s - 1 : s] if s else "", text[e : e + 1]
                     whole = s < e and not (before.isalnum() or after.isalnum() or (after in "-_@" and after))
-                    if whole and (sure >= SURE and plausible(KINDS[kind], texts[i][a + s : a + e]) or sure >= LIKELY and undisguised(KINDS[kind], texts[i][a + s : a + e])):
-                        out[i].add((a + s, kind, a + e))
+                    if whole and (sure >= SURE and plausible(KINDS[kind], text[s:e]) or sure >= LIKELY and undisguised(KINDS[kind], text[s:e])):
+                        out[i].add((s, kind, e))
+            at += n
         return [sorted(x) for x in out]
 
-    def decode(self, regions: list[str]) -> list[list[tuple[int, int, int, float]]]:
-        """(kind, start, end, mean probability of its tags) of each region's spans."""
-        if len(regions) > 1 or len(regions[0]) <= LONGEST:
-            scores = self._scores(regions)
-            length = np.array([len(r) for r in regions])
+    def decode(self, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
+        """(kind, start, end, mean probability of its tags) of each text's spans: those of the best path over the whole text."""
+        length = np.array([len(t) for t in texts])
+        blocks = np.maximum(-(-length // STRIDE), WIDTH // STRIDE)
+        first = np.cumsum(blocks) - blocks
+        chars, inside = np.zeros(blocks.sum() * STRIDE, np.int8), np.zeros(blocks.sum() * STRIDE, bool)
+        for t, a in zip(texts, (first * STRIDE).tolist()):
+            chars[a : a + len(t)] = encode(t)
+            inside[a : a + len(t)] = True
+        opens = np.ones(blocks.sum(), bool)  # a window begins at every block but a text's last
+        opens[first + blocks - 1] = False
+        whole, lead, win = None, np.empty(len(chars)), np.empty(len(chars))
+        for p in range(0, len(opens), HELD // STRIDE):
+            scores = self._scores(chars, opens, p, min(p + HELD // STRIDE, len(opens)))
+            here = slice(p * STRIDE, p * STRIDE + len(scores))
+            lead[here] = _most(scores, range(1, scores.shape[1], 2), self.enter)
+            win[here] = _most(scores, range(1, scores.shape[1]), self.go)
+            whole = scores if len(chars) <= HELD else None
+        starts, lasts = first[length > 0] * STRIDE, first[length > 0] * STRIDE + length[length > 0] - 1
+        lead[starts] += max(0.0, -float(self.enter.min()))  # no step leads to a text's first character, nor from its last
+        win[lasts] += max(0.0, -self.leave)
+        lead[lasts] += max(0.0, -self.leave)
+        lead[~inside] = win[~inside] = -1e3
+        total = np.cumsum(win)
+        # Some stretch around the character could win, begun by a beginning tag; elsewhere the best path is outside.
+        least = np.minimum.accumulate(total - lead)
+        open_ = (np.maximum.accumulate(total[::-1])[::-1] - least > -self.leave - 1e-3) & inside
+        begins = open_ & ~np.concatenate([[False], open_[:-1]])
+        begins[starts] = open_[starts]
+        ends = open_ & np.concatenate([begins[1:] | ~open_[1:], [True]])
+        todo = list(zip(np.flatnonzero(begins).tolist(), (np.flatnonzero(ends) + 1).tolist()))
+        out: list[list] = [[] for _ in texts]
+        for p in range(0, len(chars), HELD):
+            mine = [x for x in todo if p <= x[0] < p + HELD] if whole is None else todo
+            low, held = 0, whole
+            if whole is None and mine:  # scores of so many characters are not kept but made again
+                low = max(0, p - STRIDE)
+                held = self._scores(chars, opens, low // STRIDE, min((p + HELD + LONGEST) // STRIDE + 2, len(opens)))
+
+            def of(a: int, b: int, low: int = low, held: np.ndarray | None = held) -> np.ndarray:
+                if low <= a and b <= low + len(held):
+                    return held[a - low : b - low]
+                return self._scores(chars, opens, a // STRIDE, -(-b // STRIDE))[a % STRIDE : a % STRIDE + b - a]
+
+            mine.sort(key=lambda x: x[1] - x[0])
+            at = 0
+            while at < len(mine):
+                n = REGIONS
+                while n > 1 and n * (mine[min(at + n, len(mine)) - 1][1] - mine[min(at + n, len(mine)) - 1][0]) > REGIONS * 512:
+                    n //= 2
+                part = mine[at : at + n]
+                at += n
+                text = np.searchsorted(first * STRIDE, [a for a, _ in part], "right") - 1
+                origin = (first[text] * STRIDE).tolist()
+                # With the character before, which is outside, and that behind.
+                before = [int(a > o) for (a, _), o in zip(part, origin)]
+                behind = [int(b < o + m) for (_, b), o, m in zip(part, origin, length[text].tolist())]
+                for i, o, (a, _), x, found in zip(text.tolist(), origin, part, before, self._paths(part, before, behind, of)):
+                    out[i] += [(k, a - x + s - o, a - x + e - o, sure) for k, s, e, sure in found]
+        return [sorted(x, key=lambda y: y[1]) for x in out]
+
+    def _paths(self, part: list[tuple[int, int]], before: list[int], behind: list[int], of: Callable[[int, int], np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+        """The spans of regions, whose scores ``of`` gives; positions count from the character before."""
+
+        def outside(scores: np.ndarray, x: int, y: int) -> np.ndarray:
+            scores = scores.copy()
+            scores[:x, 1:] = -1e4
+            scores[len(scores) - y :, 1:] = -1e4
+            return scores
+
+        wide = [(a - x, b + y) for (a, b), x, y in zip(part, before, behind)]
+        length = np.array([b - a for a, b in wide])
+        if len(part) > 1 or length[0] <= LONGEST:
+            scores = np.zeros((len(part), int(length.max()), 1 + 2 * len(KINDS)), np.float32)
+            for k, ((a, b), x, y) in enumerate(zip(wide, before, behind)):
+                scores[k, : b - a] = outside(of(a, b), x, y)
             tags = viterbi(scores, length, self.transitions)
             return [self._with_sureness(t[:n], s[:n]) for t, s, n in zip(tags, scores, length.tolist())]
-        # One long region: scores of a stretch need the text a window around it, the Viterbi pass carries on from stretch to stretch.
-        text, back, best, sure = regions[0], [], None, []
-        for a in range(0, len(text), LONGEST):
-            lead = min(a, WIDTH)  # a multiple of the stride, so that the windows are those of the whole region
-            part = self._scores([text[a - lead : a + LONGEST + WIDTH]], last=a + LONGEST + WIDTH >= len(text))[0]
-            part = part[lead : lead + min(LONGEST, len(text) - a)]
-            pointers, best = viterbi_forward(part, best, self.transitions)
+        # One long region: the Viterbi pass carries on from stretch to stretch of scores.
+        (start, end), back, best, sure = wide[0], [], None, []
+        for a in range(start, end, LONGEST):
+            b = min(a + LONGEST, end)
+            scores = outside(of(a, b), before[0] * (a == start), behind[0] * (b == end))
+            pointers, best = viterbi_forward(scores, best, self.transitions)
             back.append(pointers)
-            top = np.exp(part - part.max(1, keepdims=True))
+            top = np.exp(scores - scores.max(1, keepdims=True))
             sure.append((top / top.sum(1, keepdims=True)).astype(np.float16))
-        tags = viterbi_back(back, best)
-        return [self._with_sureness(tags, None, np.concatenate(sure))]
+        return [self._with_sureness(viterbi_back(back, best), None, np.concatenate(sure))]
 
     @staticmethod
     def _with_sureness(tags: np.ndarray, scores: np.ndarray | None, p: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
@@ -199,25 +254,21 @@ class Finder:
             p /= p.sum(1, keepdims=True)
         return [(k, a, b, float(p[np.arange(a, b), tags[a:b]].astype(np.float32).mean())) for k, a, b in found]
 
-    def _scores(self, regions: list[str], last: bool = True) -> np.ndarray:
-        """(regions, width, tags): emissions averaged over the windows; windows start every STRIDE characters, one at least."""
-        length = np.array([len(r) for r in regions])
-        width = int(length.max())
-        padded = -(-max(0, width - WIDTH) // STRIDE) * STRIDE + WIDTH
-        chars = np.zeros((len(regions), padded), np.int64)
-        for i, r in enumerate(regions):
-            chars[i, : len(r)] = encode(r)
-        starts = range(0, padded - WIDTH + 1, STRIDE)
-        # Only windows that begin inside their region are read.
-        where = [(i, s) for s in starts for i in np.flatnonzero(length > s).tolist() if s == 0 or length[i] > s + STRIDE or not last]
-        total, weight = np.zeros((len(regions), padded, 1 + 2 * len(KINDS)), np.float32), np.zeros((len(regions), padded, 1), np.float32)
+    def _scores(self, chars: np.ndarray, opens: np.ndarray, p: int, q: int) -> np.ndarray:
+        """(characters, tags): emissions of blocks ``p`` to ``q`` of STRIDE characters, averaged over the windows that begin at blocks where ``opens``."""
+        total, weight = np.zeros((q - p, STRIDE, 1 + 2 * len(KINDS)), np.float32), np.zeros((q - p, STRIDE, 1), np.float32)
+        where = np.flatnonzero(opens[max(0, p - 1) : q]) + max(0, p - 1)
+        lead, tail = self.weight[:STRIDE, None], self.weight[STRIDE:, None]
         for k in range(0, len(where), WINDOWS):
             some = where[k : k + WINDOWS]
-            scores = self.tagger.emissions(np.stack([chars[i, s : s + WIDTH] for i, s in some]))
-            for (i, s), e in zip(some, scores):
-                total[i, s : s + WIDTH] += e * self.weight[:, None]
-                weight[i, s : s + WIDTH] += self.weight[:, None]
-        return total / np.maximum(weight, 1e-6)
+            at = np.minimum(some[:, None] * STRIDE + np.arange(WIDTH), len(chars) - 1)
+            scores = self.tagger.emissions(chars[at])
+            here, next_ = some >= p, some + 1 < q
+            total[some[here] - p] += scores[here, :STRIDE] * lead
+            weight[some[here] - p] += lead
+            total[some[next_] + 1 - p] += scores[next_, STRIDE:] * tail
+            weight[some[next_] + 1 - p] += tail
+        return (total / np.maximum(weight, 1e-6)).reshape(-1, total.shape[2])
 
 
 def find(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tagger: Tagger | None = None) -> DataFrame:
@@ -234,13 +285,14 @@ def find(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tagger: Ta
             for batch in batches_of(whole, text):
                 column = batch.column(1)
                 data, offsets = text_bytes(column)
-                near = np.concatenate([[0], np.cumsum(_ANCHOR[data], dtype=np.int64)])
-                rows = np.flatnonzero(near[offsets[1:]] > near[offsets[:-1]]).tolist()
+                near = np.concatenate([[0], np.cumsum(_BASE_ANCHOR[data], dtype=np.int64)])
+                bare = near[offsets[1:]] == near[offsets[:-1]]  # no base pattern goes without a digit or an @
+                rows = np.flatnonzero(np.diff(offsets)).tolist()
                 texts = [column[i].as_py() for i in rows]
                 base: list[list] = [[] for _ in range(batch.num_rows)]
                 added: list[list] = [[] for _ in range(batch.num_rows)]
                 for i, t, more in zip(rows, texts, finder.spans(texts)):
-                    base[i] = base_spans(t)
+                    base[i] = [] if bare[i] else base_spans(t)
                     added[i] = [x for x in more if not any(x[0] < e and s < x[2] for s, _, e in base[i])]
                 name = lambda rows: pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in r] for r in rows], span)
                 yield pa.RecordBatch.from_arrays([batch.column(0), name(base), name(added)], names=[id_col, "base", "added"])

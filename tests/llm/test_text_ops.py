@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from polycloud.llm import chat, common, decontaminate, kdtree, licenses, mixing, pii, sharding, simhash, toxicity, warc
-from polycloud.llm.lstm_crf import Tagger, labelled_windows, viterbi
+from polycloud.llm.lstm_crf import Tagger, encode, labelled_windows, spans_of, viterbi
 
 DOCS = "doc_id long, text string"
 
@@ -166,6 +166,35 @@ def test_stored_tagger_on_fresh_windows_and_long_regions(monkeypatch):
     assert len(whole) > 20 and [x[:3] for x in parts] == [x[:3] for x in whole]
 
 
+def test_tagger_reads_every_character(spark, monkeypatch):
+    finder = pii.Finder(pii.trained())
+    plain = "words without any sign or number go on and on " * 60
+    hidden = "write to alice {at} example.com now"  # neither a digit nor an @, ( or [
+    r = {x.doc_id: x for x in pii.report(docs_of(spark, [(1, hidden), (2, plain + hidden + " " + plain), (3, plain)])).collect()}
+    assert (r[1].spans, r[2].spans, r[3].spans) == ("email:9:31", f"email:{len(plain) + 9}:{len(plain) + 31}", "")
+    seen, emissions = [], finder.tagger.emissions
+    monkeypatch.setattr(finder.tagger, "emissions", lambda x: seen.append(x) or emissions(x))
+    finder.decode([plain, "", "short"])
+    monkeypatch.undo()
+    assert sum(int((x > 0).sum()) for x in seen) == 2 * len(plain) - 32 - len(plain) % 32 + 5  # twice, but for the first and last block
+    # The bounded pass decodes what Viterbi over all scores of a text does, and so do stretches.
+    r = random.Random(5)
+    some = ["x", "a@b", "10.0.0.1", hidden, "7" * 70]
+    some += ["".join(r.choice([" ", "a", "bob", "at", "dot", "(at)", "@", ".", "4111 1111", "12", "-", "+", "{", "}", "com", plain[: r.randint(1, 90)]]) for _ in range(r.randint(1, 120))) for _ in range(60)]
+    found = [[x[:3] for x in y] for y in finder.decode(some)]
+    assert sum(map(len, found)) > 100
+    for text, got in zip(some, found):
+        n = max(2, -(-len(text) // pii.STRIDE))
+        chars = np.zeros(n * pii.STRIDE, np.int8)
+        chars[: len(text)] = encode(text)
+        scores = finder._scores(chars, np.arange(n) < n - 1, 0, n)[: len(text)]
+        assert got == [(k, a, b) for k, a, b in spans_of(viterbi(scores[None], np.array([len(text)]), finder.transitions)[0])]
+    monkeypatch.setattr(pii, "HELD", 256)
+    monkeypatch.setattr(pii, "LONGEST", 64)
+    for text, got in zip(some, found):
+        assert [x[:3] for x in finder.decode([text])[0]] == got
+
+
 def test_pii_of_repeated_and_clashing_rows(spark):
     d = docs_of(spark, [(1, "a.b@c.de"), (1, "a.b@c.de"), (None, "+49 30 1234567")]).withColumns({"base": F.lit(1), "added": F.lit(2), "n_email": F.lit(3)})
     rows = pii.report(d).collect()
