@@ -139,33 +139,40 @@ class Tagger:
                 steps.append((t, before, prev, i, f, o, cand, tc))
         return out, steps
 
-    def emissions(self, chars: np.ndarray) -> np.ndarray:
-        """(windows, width, TAGS) scores."""
-        n, width = chars.shape
-        steps = np.ascontiguousarray(chars.T, np.intp)
-        out = np.empty((width, TAGS, n), np.float32)
-        out[:] = self.p["o"][:, None]
-        scale, half, one = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), self.h), np.float32(0.5), np.float32(1)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-        for d, part in (("f", self.p["O"][: self.h]), ("b", self.p["O"][self.h :])):
-            inputs = ((self.p["E"] @ self.p["X" + d] + self.p["c" + d]) * scale).astype(np.float32)
-            again, part = np.ascontiguousarray((self.p["H" + d] * scale).T, np.float32), np.ascontiguousarray(part.T, np.float32)
-            h, c = np.zeros((self.h, n), np.float32), np.zeros((self.h, n), np.float32)
-            for t in range(width) if d == "f" else range(width - 1, -1, -1):
-                z = again @ h
-                z += inputs.take(steps[t], 0).T
+    def emissions(self, chars: np.ndarray, reach: int = 0) -> np.ndarray:
+        """(windows, width - 2 * reach, TAGS) scores of the characters but the ``reach`` outer ones on each side, which are only read; pads (class 0) are where a text ends."""
+        p, k, (n, width) = self.p, self.h, chars.shape
+        steps = np.ascontiguousarray(chars.T)
+        pads = {t: np.flatnonzero(steps[t] == 0) for t in np.flatnonzero((steps == 0).any(1)).tolist()}
+        x = p["E"].astype(np.float32)[steps].transpose(0, 2, 1)
+        out = np.empty((width - 2 * reach, TAGS, n), np.float32)
+        out[:] = p["o"][:, None]
+        both, z, more, half = np.ones((k + x.shape[1] + 1, n), np.float32), np.empty((4 * k, n), np.float32), np.empty((TAGS, n), np.float32), np.float32(0.5)
+        h, gates, (i, f, o, cand) = both[:k], z[: 3 * k], z.reshape(4, k, n)
+        scale = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), k)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        for d, tags in (("f", p["O"][:k]), ("b", p["O"][k:])):
+            # ``h`` holds twice the state.
+            w = np.ascontiguousarray((np.concatenate([p["H" + d] * half, p["X" + d], p["c" + d][None]]) * scale).T, np.float32)
+            tags = np.ascontiguousarray(tags.T * half, np.float32)
+            c = np.zeros((k, n), np.float32)
+            h[:] = 0
+            for t in range(width - reach) if d == "f" else range(width - 1, reach - 1, -1):
+                both[k:-1] = x[t]
+                np.matmul(w, both, out=z)
                 np.tanh(z, out=z)
-                i, f, o, cand = z.reshape(4, self.h, n)
-                f += one
-                i += one
+                gates += 1
                 c *= f
                 i *= cand
                 c += i
                 c *= half
-                np.tanh(c, out=h)
-                o += one
-                h *= o
-                h *= half
-                out[t] += part @ h
+                np.tanh(c, out=cand)
+                np.multiply(o, cand, out=h)
+                if t in pads:
+                    c[:, pads[t]] = 0
+                    h[:, pads[t]] = 0
+                if reach <= t < width - reach:
+                    np.matmul(tags, h, out=more)
+                    out[t - reach] += more
         return out.transpose(2, 0, 1)
 
     def transitions(self) -> np.ndarray:

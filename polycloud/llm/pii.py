@@ -1,10 +1,10 @@
 """Personal data: exact base patterns over whole texts, plus spans that a character BiLSTM-CRF finds around them.
 
-The tagger reads every character of every text, in overlapping windows; the windows' scores are averaged, weighted by
-how central a character is, and Viterbi decodes the whole text. Its pass is made only where it can leave "outside": a
-bound on what tags can win over a stretch shows, from the scores, where the best path has no span. A decoded span counts
-if the tagger is sure of it (SURE), or, where it is less so, if the span is valid for its kind once its disguise is taken
-off; and if it touches no base span.
+The tagger reads every character of every text, in blocks that it enters REACH characters early from either side, and
+Viterbi decodes the whole text. Its pass is made only where it can leave "outside": a bound on what tags can win over a
+stretch shows, from the scores, where the best path has no span. A decoded span counts if the tagger is sure of it
+(SURE), or, where it is less so, if the span is valid for its kind once its disguise is taken off; and if it touches no
+base span.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 from .common import batches_of, byte_set, text_bytes
 from .lstm_crf import KINDS, Tagger, encode, labelled_windows, luhn_ok, spans_of, viterbi, viterbi_back, viterbi_forward
 
-WIDTH, STRIDE = 64, 32
+#: Characters of a training window; of a block; and read before and behind a block.
+WIDTH, BLOCK, REACH = 64, 224, 32
 TRAIN_WINDOWS, EPOCHS = 6000, 10
-#: Regions decoded together, and windows scored together; characters whose scores are held at once; bounds memory.
-REGIONS, WINDOWS, HELD = 256, 512, 1 << 18
+#: Regions decoded together, and blocks scored together; characters whose scores are held at once; bounds memory.
+REGIONS, BLOCKS, HELD = 256, 512, 1 << 18
 #: A region longer than this is decoded by itself, its scores a stretch at a time; its Viterbi pass still goes over the whole.
 LONGEST = 4096
 #: Least mean probability of its tags for a span that needs no other confirmation, and the least for any.
@@ -130,8 +131,6 @@ def _most(scores: np.ndarray, tags: range, more: np.ndarray) -> np.ndarray:
 class Finder:
     def __init__(self, tagger: Tagger):
         self.tagger, self.transitions = tagger, tagger.transitions()
-        ramp = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)
-        self.weight = ramp / ramp.max()
         # Most that the step to a tag from outside, from another, and back outside can win over staying outside.
         stay = self.transitions[0, 0]
         self.enter, self.go, self.leave = self.transitions[0, 1::2] - stay, self.transitions[1:, 1:].max(0) - stay, float(self.transitions[1:, 0].max() - stay)
@@ -142,8 +141,8 @@ class Finder:
         at = 0
         while at < len(texts):
             n, held = 1, len(texts[at])
-            while at + n < len(texts) and held + len(texts[at + n]) + WIDTH <= HELD:
-                held += len(texts[at + n]) + WIDTH
+            while at + n < len(texts) and held + len(texts[at + n]) + BLOCK <= HELD:
+                held += len(texts[at + n]) + BLOCK
                 n += 1
             for i, found in zip(range(at, at + n), self.decode(texts[at : at + n])):
                 text = texts[i]
@@ -160,22 +159,23 @@ class Finder:
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
         """(kind, start, end, mean probability of its tags) of each text's spans: those of the best path over the whole text."""
         length = np.array([len(t) for t in texts])
-        blocks = np.maximum(-(-length // STRIDE), WIDTH // STRIDE)
+        blocks = np.maximum(-(-length // BLOCK), 1)
         first = np.cumsum(blocks) - blocks
-        chars, inside = np.zeros(blocks.sum() * STRIDE, np.int8), np.zeros(blocks.sum() * STRIDE, bool)
-        for t, a in zip(texts, (first * STRIDE).tolist()):
+        chars, inside = np.zeros(blocks.sum() * BLOCK, np.int8), np.zeros(blocks.sum() * BLOCK, bool)
+        for t, a in zip(texts, (first * BLOCK).tolist()):
             chars[a : a + len(t)] = encode(t)
             inside[a : a + len(t)] = True
-        opens = np.ones(blocks.sum(), bool)  # a window begins at every block but a text's last
-        opens[first + blocks - 1] = False
+        fresh = np.zeros(blocks.sum() + 1, bool)  # a text begins
+        fresh[first] = fresh[-1] = True
+        step = max(1, HELD // BLOCK) * BLOCK
         whole, lead, win = None, np.empty(len(chars)), np.empty(len(chars))
-        for p in range(0, len(opens), HELD // STRIDE):
-            scores = self._scores(chars, opens, p, min(p + HELD // STRIDE, len(opens)))
-            here = slice(p * STRIDE, p * STRIDE + len(scores))
+        for p in range(0, len(chars), step):
+            scores = self._scores(chars, fresh, p, min(p + step, len(chars)))
+            here = slice(p, p + len(scores))
             lead[here] = _most(scores, range(1, scores.shape[1], 2), self.enter)
             win[here] = _most(scores, range(1, scores.shape[1]), self.go)
-            whole = scores if len(chars) <= HELD else None
-        starts, lasts = first[length > 0] * STRIDE, first[length > 0] * STRIDE + length[length > 0] - 1
+            whole = scores if len(chars) <= step else None
+        starts, lasts = first[length > 0] * BLOCK, first[length > 0] * BLOCK + length[length > 0] - 1
         lead[starts] += max(0.0, -float(self.enter.min()))  # no step leads to a text's first character, nor from its last
         win[lasts] += max(0.0, -self.leave)
         lead[lasts] += max(0.0, -self.leave)
@@ -189,17 +189,15 @@ class Finder:
         ends = open_ & np.concatenate([begins[1:] | ~open_[1:], [True]])
         todo = list(zip(np.flatnonzero(begins).tolist(), (np.flatnonzero(ends) + 1).tolist()))
         out: list[list] = [[] for _ in texts]
-        for p in range(0, len(chars), HELD):
-            mine = [x for x in todo if p <= x[0] < p + HELD] if whole is None else todo
+        for p in range(0, len(chars), step):
+            mine = [x for x in todo if p <= x[0] < p + step] if whole is None else todo
             low, held = 0, whole
             if whole is None and mine:  # scores of so many characters are not kept but made again
-                low = max(0, p - STRIDE)
-                held = self._scores(chars, opens, low // STRIDE, min((p + HELD + LONGEST) // STRIDE + 2, len(opens)))
+                low = max(0, p - 1)
+                held = self._scores(chars, fresh, low, min(p + step + LONGEST, len(chars)))
 
             def of(a: int, b: int, low: int = low, held: np.ndarray | None = held) -> np.ndarray:
-                if low <= a and b <= low + len(held):
-                    return held[a - low : b - low]
-                return self._scores(chars, opens, a // STRIDE, -(-b // STRIDE))[a % STRIDE : a % STRIDE + b - a]
+                return held[a - low : b - low] if low <= a and b <= low + len(held) else self._scores(chars, fresh, a, b)
 
             mine.sort(key=lambda x: x[1] - x[0])
             at = 0
@@ -209,8 +207,8 @@ class Finder:
                     n //= 2
                 part = mine[at : at + n]
                 at += n
-                text = np.searchsorted(first * STRIDE, [a for a, _ in part], "right") - 1
-                origin = (first[text] * STRIDE).tolist()
+                text = np.searchsorted(first * BLOCK, [a for a, _ in part], "right") - 1
+                origin = (first[text] * BLOCK).tolist()
                 # With the character before, which is outside, and that behind.
                 before = [int(a > o) for (a, _), o in zip(part, origin)]
                 behind = [int(b < o + m) for (_, b), o, m in zip(part, origin, length[text].tolist())]
@@ -254,21 +252,17 @@ class Finder:
             p /= p.sum(1, keepdims=True)
         return [(k, a, b, float(p[np.arange(a, b), tags[a:b]].astype(np.float32).mean())) for k, a, b in found]
 
-    def _scores(self, chars: np.ndarray, opens: np.ndarray, p: int, q: int) -> np.ndarray:
-        """(characters, tags): emissions of blocks ``p`` to ``q`` of STRIDE characters, averaged over the windows that begin at blocks where ``opens``."""
-        total, weight = np.zeros((q - p, STRIDE, 1 + 2 * len(KINDS)), np.float32), np.zeros((q - p, STRIDE, 1), np.float32)
-        where = np.flatnonzero(opens[max(0, p - 1) : q]) + max(0, p - 1)
-        lead, tail = self.weight[:STRIDE, None], self.weight[STRIDE:, None]
-        for k in range(0, len(where), WINDOWS):
-            some = where[k : k + WINDOWS]
-            at = np.minimum(some[:, None] * STRIDE + np.arange(WIDTH), len(chars) - 1)
-            scores = self.tagger.emissions(chars[at])
-            here, next_ = some >= p, some + 1 < q
-            total[some[here] - p] += scores[here, :STRIDE] * lead
-            weight[some[here] - p] += lead
-            total[some[next_] + 1 - p] += scores[next_, STRIDE:] * tail
-            weight[some[next_] + 1 - p] += tail
-        return (total / np.maximum(weight, 1e-6)).reshape(-1, total.shape[2])
+    def _scores(self, chars: np.ndarray, fresh: np.ndarray, a: int, b: int) -> np.ndarray:
+        """(characters, tags) scores of characters ``a`` to ``b``; texts begin at blocks where ``fresh``, and are not read beyond their ends."""
+        p, q = a // BLOCK, -(-b // BLOCK)
+        out = np.empty((q - p, BLOCK, 1 + 2 * len(KINDS)), np.float32)
+        for k in range(p, q, BLOCKS):
+            some = np.arange(k, min(k + BLOCKS, q))
+            window = chars[np.clip(some[:, None] * BLOCK + np.arange(-REACH, BLOCK + REACH), 0, len(chars) - 1)]
+            window[fresh[some], :REACH] = 0
+            window[fresh[some + 1], -REACH:] = 0
+            out[some - p] = self.tagger.emissions(window, REACH)
+        return out.reshape(-1, out.shape[2])[a - p * BLOCK : b - p * BLOCK]
 
 
 def find(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tagger: Tagger | None = None) -> DataFrame:
