@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, batches_of, drop_table, lean, mix, table, text_bytes, unused, word_hashes, word_spans
+from .common import ALNUM, batches_of, drop_table, lean, mix, table, text_bytes, tidy, unused, word_hashes, word_spans
 
 #: Labelled rows that seeds and scale are fitted on, at most about (chosen by hash of doc_id); words and their pairs are counted in all documents.
 MAX_FIT_ROWS = 10_000
@@ -32,6 +32,8 @@ MIN_DOCS, MIN_SHARE, MAX_SHARE = 3, 1e-5, 0.2
 WINDOW, RESTART, STEPS, TOLERANCE = 5, 0.15, 60, 1e-3
 #: Distinct words or pairs that a task holds before it passes them on; pairs of a bucket; passes that turn pairs into arcs.
 HELD, BUCKET_PAIRS, PASSES = 1_500_000, 4_000_000, 4
+#: Bytes of text whose words or pairs a task counts at once.
+TEXT_BYTES = 1 << 19
 #: Codes that are packed together, so that a step over them stays in a core's cache.
 PACK = 1 << 16
 #: Graphs that are smaller once packed are walked by the driver (the same steps without a job for each).
@@ -110,14 +112,26 @@ def unpack(raw: bytes | pa.Buffer) -> np.ndarray:
     return out
 
 
-def _rows(bucket: np.ndarray, code: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    """Rows (bucket, codes, counts) of counts whose codes ascend within a bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, code, c = bucket[order], code[order], c[order]
-    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-    cut = [(a, min(a + PACK, y)) for x, y in zip(cut[:-1], cut[1:]) for a in range(x, y, PACK)]
-    parts = [(int(bucket[a]), pack(np.diff(code[a:b], prepend=0)), pack(c[a:b])) for a, b in cut]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts), (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "codes", "counts"])
+def _rows(bucket: np.ndarray | int, code: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, codes, counts) of counts whose codes ascend within a bucket; ``bucket`` may be one for all."""
+    if isinstance(bucket, np.ndarray):
+        order = np.argsort(bucket, kind="stable")
+        sizes = np.bincount(bucket)
+        ends = np.cumsum(sizes)
+        runs = [(k, int(ends[k] - sizes[k]), int(ends[k])) for k in np.flatnonzero(sizes).tolist()]
+    else:
+        order, runs = None, [(bucket, 0, len(code))] if len(code) else []
+    parts = []
+    for k, x, y in runs:
+        for a in range(x, y, PACK):
+            at = slice(a, min(a + PACK, y)) if order is None else order[a : min(a + PACK, y)]
+            parts.append((k, pack(np.diff(code[at], prepend=0)), pack(c[at])))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts) if parts else ((),) * 3, (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "codes", "counts"])
+
+
+def _small(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket numbers in few bytes (two sort by radix)."""
+    return bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int32)
 
 
 PACKED = "bucket long, codes binary, counts binary"
@@ -141,11 +155,24 @@ class Counter:
 
     def merge(self) -> tuple[np.ndarray, ...]:
         if len(self.parts) != 1 and self.parts:
-            code, *counts = (np.concatenate(x) for x in zip(*self.parts))
+            columns = [list(x) for x in zip(*self.parts)]
+            self.parts = []
+
+            def column() -> np.ndarray:  # the parts go as soon as they are together
+                out = np.concatenate(columns[0])
+                del columns[0]
+                return out
+
+            code = column()
             order = np.argsort(code)
             code = code[order]
             at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-            self.parts = [(code[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts))]
+            code = code[at]
+            counts = []
+            while columns:
+                c = column()[order]
+                counts.append(np.add.reduceat(c, at) if len(at) else c)
+            self.parts = [(code, *counts)]
             self.held = len(at)
         return self.parts[0] if self.parts else (np.zeros(0, np.int64),) * (1 + self.width)
 
@@ -164,14 +191,15 @@ def _merged(packed: DataFrame) -> DataFrame:
             for b, codes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if b != now and now is not None:
                     code, c = held.take()
-                    yield _rows(np.full(len(code), now), code, c)
+                    yield _rows(now, code, c)
+                    del code, c
                 now = b
                 held.add(np.cumsum(unpack(codes.as_buffer())), unpack(counts.as_buffer()))
         if now is not None:
             code, c = held.take()
-            yield _rows(np.full(len(code), now), code, c)
+            yield _rows(now, code, c)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), PACKED)
 
 
 def word_counts(marked: DataFrame) -> DataFrame:
@@ -180,7 +208,7 @@ def word_counts(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter(3)
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", TEXT_BYTES):
                 h, first = _tokens(batch.column(1))
                 rows = batch.num_rows
                 word, inverse = np.unique(h, return_inverse=True)
@@ -191,7 +219,7 @@ def word_counts(marked: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.take()], names=["h", *"nmt"])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held.take()], names=["h", *"nmt"])
 
-    return marked.mapInArrow(run, "h long, n long, m long, t long").groupBy("h").agg(*[F.sum(x).alias(x) for x in "nmt"])
+    return marked.mapInArrow(tidy(run), "h long, n long, m long, t long").groupBy("h").agg(*[F.sum(x).alias(x) for x in "nmt"])
 
 
 def pair_counts(docs: DataFrame, vocabulary: np.ndarray, ids: np.ndarray, buckets: int) -> DataFrame:
@@ -206,11 +234,14 @@ def pair_counts(docs: DataFrame, vocabulary: np.ndarray, ids: np.ndarray, bucket
         def flush() -> pa.RecordBatch:
             code, c = held.take()
             # A frequent word's pairs are spread over buckets by their other end.
-            key = mix((code // size * 65536 + (code % size >> 16)).astype(np.uint64))
-            return _rows((key % np.uint64(buckets)).astype(np.int64), code, c)
+            bucket = _small(np.empty(len(code), np.uint16), buckets)
+            for a in range(0, len(code), PACK):
+                some = code[a : a + PACK]
+                bucket[a : a + PACK] = mix((some // size * 65536 + (some % size >> 16)).astype(np.uint64)) % np.uint64(buckets)
+            return _rows(bucket, code, c)
 
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", TEXT_BYTES):
                 h, first = _tokens(batch.column(0))
                 k, ok = words.find(h)
                 k = np.where(ok, number[k], -1)
@@ -228,7 +259,7 @@ def pair_counts(docs: DataFrame, vocabulary: np.ndarray, ids: np.ndarray, bucket
         if held.held:
             yield flush()
 
-    return _merged(docs.select("text").mapInArrow(run, PACKED))
+    return _merged(docs.select("text").mapInArrow(tidy(run), PACKED))
 
 
 def arcs_of(pairs: DataFrame, size: int, buckets: int, part: int, parts: int) -> DataFrame:
@@ -240,8 +271,11 @@ def arcs_of(pairs: DataFrame, size: int, buckets: int, part: int, parts: int) ->
 
         def flush() -> pa.RecordBatch:
             code, c = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             order = np.argsort(code)
-            return _rows(code[order] // size % buckets, code[order], c[order])
+            code, c = code[order], c[order]
+            del order
+            return _rows(_small(code // size % buckets, buckets), code, c)
 
         for batch in batches:
             for codes, counts in zip(batch.column(1), batch.column(2)):
@@ -253,11 +287,11 @@ def arcs_of(pairs: DataFrame, size: int, buckets: int, part: int, parts: int) ->
                     n += len(mine)
                 if n > HELD:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield flush()
 
-    return _merged(pairs.mapInArrow(run, PACKED))
+    return _merged(pairs.mapInArrow(tidy(run), PACKED))
 
 
 def walks(arcs: list[DataFrame], size: int, seeds: list[np.ndarray]) -> list[np.ndarray]:
@@ -416,7 +450,7 @@ def score(docs: DataFrame, lex: Lexicon, carry: list[str] | None = None, text: s
                 p = 1 / (1 + np.exp(-np.clip(model.beta[0] + f @ model.beta[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in carry], pa.array(p)], names=[*carry, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
